@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.constants import PAGE_SIZE
 from cohortlens.functions import labels
 from cohortlens.functions.text import joined_conditions, therapeutic_area
+from cohortlens.operators.evaluation import overall_metrics
+from cohortlens.sources.studies import pages_of
 
 # --- Fixed values: how table codes read as trial values --------------------
 BRAND_CONDITIONS = (
@@ -208,3 +211,228 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
         )
         last["primary_outcome_measure"] = F.concat(F.lit("Change after "), F.col("first_name"))
     return df.withColumns(last).select(*columns)
+
+
+def _trial_number() -> Column:
+    return F.substring("nct_id", 4, 8).cast("long")
+
+
+def raw_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every trial as a nested registry document in the ``raw_json`` column.
+
+    Dates, ages, arms and the results marker come in all the shapes the
+    normaliser has to accept, chosen by the trial number.
+    """
+    n = _trial_number()
+
+    def date_text(column: str) -> Column:
+        return (
+            F.when(n % 3 == 0, F.date_format(column, "yyyy-MM-dd"))
+            .when(n % 3 == 1, F.date_format(column, "MMMM yyyy"))
+            .otherwise(F.date_format(column, "yyyy"))
+        )
+
+    def age_text(column: str) -> Column:
+        years = F.col(column)
+        return (
+            F.when(n % 4 == 0, F.concat(years.cast("string"), F.lit(" Years")))
+            .when(n % 4 == 1, F.concat((years * 12 + 5).cast("string"), F.lit(" Months")))
+            .when(n % 4 == 2, F.concat((years * 52 + 3).cast("string"), F.lit(" Weeks")))
+            .otherwise(years.cast("string"))
+        )
+
+    def struct(**fields: Column) -> Column:
+        return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+    types = F.col("intervention_types")
+    both = F.concat(types, types)
+    countries = F.concat("countries", "countries")
+    arm = F.transform(
+        F.sequence(F.lit(1), F.col("number_of_arms")),
+        lambda i: F.create_map(F.lit("label"), F.concat(F.lit("Arm "), i.cast("string"))),
+    )
+    results = F.create_map(F.lit("participants"), F.col("enrollment").cast("string"))
+    document = struct(
+        protocolSection=struct(
+            identificationModule=struct(nctId=F.col("nct_id"), briefTitle=F.col("title")),
+            statusModule=struct(
+                overallStatus=F.col("overall_status"),
+                startDateStruct=struct(date=date_text("start_date")),
+                primaryCompletionDateStruct=struct(date=date_text("primary_completion_date")),
+                completionDateStruct=struct(
+                    date=F.when(n % 5 != 0, date_text("completion_date"))
+                ),
+            ),
+            descriptionModule=struct(briefSummary=F.col("brief_summary")),
+            designModule=struct(
+                phases=F.when(F.col("phase").isNotNull(), F.array("phase", F.lit("PHASE4"))),
+                studyType=F.col("study_type"),
+                enrollmentInfo=struct(count=F.col("enrollment"), type=F.col("enrollment_type")),
+                armGroups=F.when((n % 2 == 0) & F.col("number_of_arms").isNotNull(), arm),
+                numberArms=F.when(n % 2 == 1, F.col("number_of_arms")),
+            ),
+            armsInterventionsModule=struct(
+                interventions=F.transform(
+                    both, lambda t: F.struct(t.alias("type"), F.concat(t, F.lit(" arm")).alias("name"))
+                )
+            ),
+            conditionsModule=struct(conditions=F.col("conditions")),
+            sponsorCollaboratorsModule=struct(
+                leadSponsor=F.struct(
+                    F.col("sponsor_name").alias("name"), F.col("sponsor_class").alias("class")
+                )
+            ),
+            outcomesModule=struct(
+                primaryOutcomes=F.array(
+                    struct(
+                        measure=F.col("primary_outcome_measure"),
+                        timeFrame=F.col("primary_outcome_timeframe"),
+                    ),
+                    struct(measure=F.lit("second"), timeFrame=F.lit("later")),
+                )
+            ),
+            eligibilityModule=struct(
+                minimumAge=age_text("eligibility_min_age"),
+                maximumAge=age_text("eligibility_max_age"),
+                sex=F.when(F.col("eligibility_gender") != "ALL", F.col("eligibility_gender")),
+            ),
+            contactsLocationsModule=struct(
+                locations=F.transform(countries, lambda c: F.struct(c.alias("country")))
+            ),
+        ),
+        resultsSection=F.when(F.col("has_results") & (n % 2 == 0), results),
+        hasResults=F.when(n % 2 == 1, F.col("has_results")),
+    )
+    return trials(spark, sf_dir).select(F.to_json(document).alias("raw_json"), n.alias("number"))
+
+
+def study_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw studies packed into registry pages by trial number, 100 to a page."""
+    rows = raw_studies(spark, sf_dir)
+    return pages_of(rows, F.floor(F.col("number") / PAGE_SIZE))
+
+
+INCOMING_COLUMNS = ("nct_id", "overall_status", "phase", "enrollment", "start_date", "outcome_success")
+
+
+def incoming_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert batch: every running trial twice, as two later states, and every
+    trial once more under a new number. ``revision`` orders the copies."""
+    stored = trials(spark, sf_dir, INCOMING_COLUMNS)
+    running = stored.filter(F.col("overall_status") == "RECRUITING").select(
+        "*", F.explode(F.array(F.lit(1), F.lit(2))).alias("revision")
+    )
+    moved = running.withColumns(
+        {
+            "enrollment": F.coalesce("enrollment", F.lit(0)) + F.col("revision") * 1000,
+            "overall_status": F.when(F.col("revision") == 2, "COMPLETED").otherwise("SUSPENDED"),
+        }
+    ).withColumn("outcome_success", labels.outcome_success(F.col("overall_status")))
+    new = stored.withColumns(
+        {
+            "nct_id": F.concat(F.lit("NCT9"), F.substring("nct_id", 4, 8)),
+            "revision": F.lit(1),
+        }
+    )
+    return moved.unionByName(new)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two model versions' scores of every labelled trial, by formula."""
+    n = _trial_number()
+    actual = F.col("outcome_success")
+    hit = actual.cast("int")
+    first = (F.lit(100) + 300 * hit + (n * 7919) % 500) / F.lit(1000.0)
+    second = (F.lit(200) + 200 * hit + (n * 104729) % 600) / F.lit(1000.0)
+    versions = F.array(
+        F.struct(F.lit("v1").alias("model_version"), first.alias("predicted_proba")),
+        F.struct(F.lit("v2").alias("model_version"), second.alias("predicted_proba")),
+    )
+    scored = (
+        trials(spark, sf_dir, ("nct_id", "outcome_success"))
+        .filter(actual.isNotNull())
+        .select("nct_id", actual.alias("actual_label"), F.explode(versions).alias("_v"))
+        .select("nct_id", "_v.*", "actual_label")
+    )
+    predicted = F.col("predicted_proba") >= 0.5
+    return scored.withColumns(
+        {"predicted_label": predicted, "correct": predicted == F.col("actual_label")}
+    )
+
+
+def metrics_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metrics table: one training run per model version and start year of trials."""
+    starts = trials(spark, sf_dir, ("nct_id", "start_date"))
+    scored = predictions(spark, sf_dir).join(starts, "nct_id")
+    scored = scored.withColumn("trained_at", F.trunc("start_date", "year"))
+    return overall_metrics(scored, ("model_version", "trained_at")).select(
+        "model_version", "trained_at", "accuracy", "precision_score", "recall_score",
+        "f1_score", "n_samples",
+    )
+
+
+def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hypothetical trial design per part; the brand number decides gaps."""
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("design_id"),
+        F.when(size <= 40, F.concat(F.lit("PHASE"), (size % 4 + 1).cast("string"))).alias("phase"),
+        F.when(size % 3 == 0, "INDUSTRY").when(size % 3 == 1, "NIH").alias("sponsor_class"),
+        F.when(size % 7 != 0, F.array(_choice(F.col("p_type"), PART_INTERVENTIONS))).alias(
+            "intervention_types"
+        ),
+        therapeutic_area(
+            F.lower(F.get(F.array(*[F.lit(c) for c in BRAND_CONDITIONS]), F.substring("p_brand", 7, 4).cast("int") - 1))
+        ).alias("therapeutic_area"),
+        F.floor("p_retailprice").cast("int").alias("enrollment"),
+        F.when(size % 5 != 0, size * 30).alias("duration_days"),
+        F.when(size % 2 == 0, size % 4 + 1).alias("number_of_arms"),
+    )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def incoming_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History batch: conversations with a system turn edited, every one also as new."""
+    stored = messages(spark, sf_dir)
+    prompted = stored.filter(F.col("role") == "system").select("conv_id").distinct()
+    edited = stored.join(prompted, "conv_id", "left_semi").withColumn(
+        "text", F.concat("text", F.lit(" (edited)"))
+    )
+    new = stored.withColumn("conv_id", F.col("conv_id") + 1_000_000_000)
+    return edited.unionByName(new)
+
+
+def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History whose assistant turns are tool results: chart JSON, some of it
+    without a type, some broken, with the calls that led there as ``tool_calls``."""
+    size = F.length("text")
+    kind = F.get(
+        F.array(F.lit("success_rate_by_phase"), F.lit("sponsor_comparison"), F.lit("")),
+        (size % 3).cast("int"),
+    )
+    body = F.concat(
+        F.lit('{"chart_type":"'), kind, F.lit('","data":[{"name":"all","total":'),
+        size.cast("string"), F.when(size % 7 == 0, "}").otherwise("}]}"),
+    )
+    calls = F.concat(
+        F.lit('[{"name":"get_statistics","args":{"n":'), size.cast("string"),
+        F.lit("}}"), F.when(size % 3 == 0, "").otherwise(',{"name":"generate_chart_data","args":{}}'),
+        F.lit("]"),
+    )
+    assistant = F.col("role") == "assistant"
+    return messages(spark, sf_dir).withColumns(
+        {
+            "tool_calls": F.when(assistant, calls),
+            "text": F.when(assistant, body).otherwise(F.col("text")),
+        }
+    )
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a request log; the event type stands for the service."""
+    return table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("service"), "value"
+    )
