@@ -13,16 +13,17 @@ def joined_conditions(conditions: Column) -> Column:
     return F.lower(F.array_join(F.coalesce(conditions, F.array().cast("array<string>")), " "))
 
 
-def therapeutic_area(lowered_text: Column) -> Column:
-    """Area of the first listed keyword that occurs anywhere in the text.
+def therapeutic_area(lowered_text: str) -> Column:
+    """Area of the first listed keyword that occurs anywhere in the named column.
 
-    Pass a materialised column rather than a long expression: it is looked at
-    once per keyword.
+    It takes a column name because the text is looked at once per keyword and
+    should have been worked out before.
     """
-    area = F.lit(OTHER_AREA)
-    for keyword, name in reversed(AREA_KEYWORDS):
-        area = F.when(F.contains(lowered_text, F.lit(keyword)), F.lit(name)).otherwise(area)
-    return area
+    branches = " ".join(
+        f"WHEN contains({lowered_text}, '{keyword}') THEN '{area}'"
+        for keyword, area in AREA_KEYWORDS
+    )
+    return F.expr(f"CASE {branches} ELSE '{OTHER_AREA}' END")
 
 
 def age_years(text: Column) -> Column:

@@ -65,8 +65,30 @@ TRIAL_COLUMNS = (
 )
 
 
+TABLES = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double,"
+    " props string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A provided table, with its declared schema instead of a look into the files."""
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _names(values) -> Column:
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
 
 
 def _choice(value: Column, pairs) -> Column:
@@ -158,8 +180,8 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
         stage["primary_completion_date"] = F.to_date("first_ship")
         stage["completion_date"] = F.to_date("last_ship")
     if wanted & _PART:
-        condition_names = F.array(*[F.lit(c) for c in BRAND_CONDITIONS])
-        type_names = F.array(*[F.lit(t) for _, t in PART_INTERVENTIONS])
+        condition_names = _names(BRAND_CONDITIONS)
+        type_names = _names(t for _, t in PART_INTERVENTIONS)
         stage["conditions"] = _members(F.col("condition_mask"), condition_names)
         stage["intervention_types"] = _members(F.col("type_mask"), type_names)
         stage["intervention_names"] = F.when(
@@ -205,7 +227,7 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
     if wanted & _LINES:
         last["primary_outcome_timeframe"] = F.concat(F.col("duration_days").cast("string"), F.lit(" days"))
     if wanted & _PART:
-        last["therapeutic_area"] = therapeutic_area(F.col("_conditions_text"))
+        last["therapeutic_area"] = therapeutic_area("_conditions_text")
         last["brief_summary"] = F.concat(
             F.col("title"), F.lit(" in "), F.coalesce(F.array_join("conditions", ", "), F.lit(""))
         )
@@ -374,16 +396,16 @@ def metrics_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hypothetical trial design per part; the brand number decides gaps."""
     size = F.col("p_size")
-    return table(spark, sf_dir, "part").select(
+    condition = F.get(_names(BRAND_CONDITIONS), F.substring("p_brand", 7, 4).cast("int") - 1)
+    parts = table(spark, sf_dir, "part").withColumn("_condition", F.lower(condition))
+    return parts.select(
         F.col("p_partkey").alias("design_id"),
         F.when(size <= 40, F.concat(F.lit("PHASE"), (size % 4 + 1).cast("string"))).alias("phase"),
         F.when(size % 3 == 0, "INDUSTRY").when(size % 3 == 1, "NIH").alias("sponsor_class"),
         F.when(size % 7 != 0, F.array(_choice(F.col("p_type"), PART_INTERVENTIONS))).alias(
             "intervention_types"
         ),
-        therapeutic_area(
-            F.lower(F.get(F.array(*[F.lit(c) for c in BRAND_CONDITIONS]), F.substring("p_brand", 7, 4).cast("int") - 1))
-        ).alias("therapeutic_area"),
+        therapeutic_area("_condition").alias("therapeutic_area"),
         F.floor("p_retailprice").cast("int").alias("enrollment"),
         F.when(size % 5 != 0, size * 30).alias("duration_days"),
         F.when(size % 2 == 0, size % 4 + 1).alias("number_of_arms"),
