@@ -17,6 +17,7 @@ from cohortlens.constants import FEATURE_COLUMNS
 from cohortlens.functions.labels import confidence_band, traffic_light, whole_percent
 from cohortlens.operators import evaluation, splits
 from cohortlens.operators.predicates import by_key
+from cohortlens.session import staged
 
 
 @dataclass(frozen=True)
@@ -92,8 +93,8 @@ def score_holdout(model: PipelineModel, test: DataFrame) -> DataFrame:
 def train_model(trials: DataFrame, settings: Boosting = Boosting(), version: str = "v1") -> Training:
     """Select, split, fit and evaluate; the hold-out rows come back scored."""
     rows = splits.training_set(trials)
+    rows = staged(splits.stratified_split(rows, seed=settings.seed), "training-rows")
     splits.require_rows(rows)
-    rows = splits.stratified_split(rows, seed=settings.seed)
     train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
     model = fit(train, settings)
     holdout = score_holdout(model, test).withColumn("model_version", F.lit(version))
@@ -118,7 +119,7 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """(area per fold, its mean and population deviation), one fit per fold."""
     dealt = splits.stratified_folds(splits.training_set(trials), folds, settings.seed)
-    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = staged(dealt, "fold-rows")
     scored = [
         score_holdout(fit(dealt.filter(F.col("fold") != k), settings), dealt.filter(F.col("fold") == k))
         for k in range(folds)

@@ -10,13 +10,17 @@ from pyspark.sql import types as T
 
 from cohortlens.constants import FEATURE_COLUMNS
 from cohortlens.operators import (
-    charts, evaluation, history, predicates, search, splits, statistics, upsert,
+    charts, evaluation, history, model, predicates, search, splits, statistics, upsert,
 )
+from cohortlens.operators.attribution import attributions, mean_attribution
+from cohortlens.operators.model import Boosting, Training, train_model
 from cohortlens.operators.normalize import normalise
 from cohortlens.plans import fixtures as X
+from cohortlens.session import shared_folder
 from cohortlens.sources.studies import parse_studies, split_pages, split_studies
 from cohortlens.sources.synthetic import generate_trials
 from cohortlens.streaming import monitor
+from cohortlens.streaming.ingest import current_trials, ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -536,3 +540,124 @@ def over_limit(spark, d):
 def request_series(spark, d):
     series = monitor.request_series(X.request_log(spark, d), DAY)
     return rounded(series.withColumn("period_start", F.to_date("period_start")), 6)
+
+
+# --- streams -----------------------------------------------------------------
+
+
+def _finish(run) -> None:
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise run.exception()
+
+
+@query
+def stream_ingest(spark, d):
+    """Landed pages through the ingest stream, read back as the current table."""
+    folder = shared_folder(spark, "stream-ingest")
+    X.study_pages(spark, d).select("page").write.text(f"{folder}/pages")
+    _finish(
+        ingest_stream(
+            spark, f"{folder}/pages", f"{folder}/changes", f"{folder}/quarantine",
+            f"{folder}/checkpoint", one_page_per_file=False,
+        )
+    )
+    return current_trials(spark.read.parquet(f"{folder}/changes")).select(
+        "nct_id", "overall_status", "therapeutic_area", "enrollment", "start_date",
+        "duration_days", "outcome_success",
+    )
+
+
+def _stream_log(spark: SparkSession, d: str) -> DataFrame:
+    # as a pattern, the path may be one file as well as a folder of files
+    path = f"{d.rstrip('/')}/{{events.parquet}}"
+    events = spark.readStream.schema(X.TABLES["events"]).parquet(path)
+    return monitor.with_lateness(events.withColumn("service", F.col("event_type")), "1 hour")
+
+
+def _drain(frame: DataFrame, folder: str) -> DataFrame:
+    """Run a closing-window stream to the end of its input into a table."""
+    spark = frame.sparkSession
+    _finish(
+        frame.writeStream.format("parquet")
+        .option("path", f"{folder}/rows")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    return spark.read.schema(frame.schema).parquet(f"{folder}/rows")
+
+
+@query
+def stream_alarms(spark, d):
+    """The alarm rule on the event stream, for the runs that closed."""
+    errors = _stream_log(spark, d).filter(F.col("service") == "error")
+    alarms = monitor.error_alarms(errors, DAY, threshold=65)
+    found = _drain(alarms, shared_folder(spark, "stream-alarms"))
+    return found.withColumn("period_start", F.to_date("period_start"))
+
+
+@query
+def stream_over_limit(spark, d):
+    """Clients over their limit on the event stream, for the periods that closed."""
+    over = monitor.over_limit(_stream_log(spark, d), DAY, most=5)
+    found = _drain(over, shared_folder(spark, "stream-over-limit"))
+    return found.withColumn("period_start", F.to_date("period_start"))
+
+
+# --- model -------------------------------------------------------------------
+
+# A short run of the same training: the library default is the full 300 trees.
+BRIEF = Boosting(trees=10)
+
+_trained: dict[tuple[str, str], Training] = {}
+
+
+def _model(spark: SparkSession, d: str) -> Training:
+    """The model of a data folder, trained once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _trained:
+        _trained[key] = train_model(X.trials(spark, d, splits.TRAINING_INPUTS), BRIEF)
+    return _trained[key]
+
+
+@query
+def gbt_metrics(spark, d):
+    return _model(spark, d).metrics
+
+
+@query
+def gbt_scores(spark, d):
+    trials = X.trials(spark, d, splits.TRAINING_INPUTS)
+    return model.score_trials(_model(spark, d).model, trials)
+
+
+@query
+def gbt_score_by_id(spark, d):
+    trials = X.trials(spark, d, splits.TRAINING_INPUTS)
+    return model.score_trial(_model(spark, d).model, trials, "nct00000042")
+
+
+@query
+def score_designs(spark, d):
+    return model.score_designs(_model(spark, d).model, X.designs(spark, d), "design_id")
+
+
+@query
+def gbt_importance(spark, d):
+    return model.importance(_model(spark, d).model, spark)
+
+
+@query
+def shap_importance(spark, d):
+    """Mean absolute attribution over all hold-out rows, relative to the strongest."""
+    trained = _model(spark, d)
+    means = mean_attribution(attributions(trained.model, trained.holdout))
+    return evaluation.relative_importance(means)
+
+
+@query
+def cv_auc(spark, d):
+    trials = X.trials(spark, d, splits.TRAINING_INPUTS)
+    return model.cross_validate(trials, BRIEF)[1]

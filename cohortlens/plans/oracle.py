@@ -586,4 +586,19 @@ ORACLE: dict[str, str] = {
     "request_series": """
         SELECT event_type AS service, CAST(ts AS DATE) AS period_start, count(*) AS requests,
                round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""",
+    "stream_ingest": _t(
+        f"SELECT nct_id, overall_status, therapeutic_area, enrollment, n.start_date, n.duration_days,"
+        f" outcome_success FROM trials JOIN ({NORMALISED_DATES}) n USING (nct_id)"
+    ),
+    "stream_alarms": """
+        WITH c AS (SELECT event_type AS service, CAST(ts AS DATE) AS day, count(*) AS errors FROM events
+                   WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) > 65),
+        w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events WHERE event_type = 'error')
+        SELECT a.service, a.day AS period_start, least(a.errors, b.errors) AS least_errors,
+               a.errors + b.errors AS errors_in_run
+        FROM c a JOIN c b ON a.service = b.service AND b.day = a.day - 1 JOIN w ON a.day + 1 <= mark""",
+    "stream_over_limit": """
+        WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+        SELECT user_id, CAST(ts AS DATE) AS period_start, count(*) AS requests FROM events
+        GROUP BY 1, 2 HAVING count(*) > 5 AND CAST(any_value(ts) AS DATE) + 1 <= (SELECT mark FROM w)""",
 }

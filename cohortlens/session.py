@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -46,3 +46,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             _local_folder[app] = tempfile.mkdtemp(prefix="cohortlens-")
         base = _local_folder[app]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows`` written below the shared folder and read back.
+
+    What follows starts from files: it is computed once, survives lost
+    executors, and is planned with the true size.
+    """
+    path = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)

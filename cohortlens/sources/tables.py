@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import schemas
 from cohortlens.operators.upsert import insert_absent, latest_per_key, upsert, upsert_counts
-from cohortlens.session import shared_folder
+from cohortlens.session import staged
 
 
 def read_trials(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -64,10 +64,10 @@ def upsert_trials(
     The batch is first reduced to the last row per key and staged, so that it is
     computed once and Spark knows its true size when it plans the joins.
     """
-    staged = shared_folder(spark, "upsert-batch")
     latest = latest_per_key(rows, ["nct_id"], order)
-    latest.drop(*[o for o in order if o not in schemas.NORMALISED_COLUMNS]).write.parquet(staged)
-    batch = spark.read.parquet(staged)
+    batch = staged(
+        latest.drop(*[o for o in order if o not in schemas.NORMALISED_COLUMNS]), "upsert-batch"
+    )
     now = F.current_timestamp()
     if current is None:
         with_bookkeeping(batch, now).write.parquet(snapshot)
