@@ -137,22 +137,23 @@ def auc_roc(scored: DataFrame, by: tuple[str, ...] = (), score: str = "predicted
     def big(c: str) -> Column:
         return F.col(c).cast("decimal(18,0)")
 
-    def pairs(nodes: DataFrame, parent: Column, order: str, ties: bool) -> DataFrame:
-        window = (
+    def pairs(nodes: DataFrame, parent: Column, order: str, ties=False, root=False) -> DataFrame:
+        earlier = (
             Window.partitionBy(*by, parent)
             .orderBy(order)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        below = nodes.withColumn("_below", F.coalesce(F.sum("_neg").over(window), F.lit(0)))
+        below = nodes.withColumn("_below", F.coalesce(F.sum("_neg").over(earlier), F.lit(0)))
         twice = big("_pos") * big("_below") * 2
         if ties:
             twice = twice + big("_pos") * big("_neg")
-        none = F.lit(0).cast("long")
+        # each row is counted in the class totals once, at the root
+        count = (lambda c: F.col(c)) if root else (lambda c: F.lit(0).cast("long"))
         return below.select(
             *by,
             twice.cast("decimal(38,0)").alias("_twice"),
-            (none if ties or order != "_top" else F.col("_pos")).alias("_p"),
-            (none if ties or order != "_top" else F.col("_neg")).alias("_n"),
+            count("_pos").alias("_p"),
+            count("_neg").alias("_n"),
         )
 
     parts = [pairs(scores, F.col("_cell"), "_score", ties=True)]
@@ -161,13 +162,10 @@ def auc_roc(scored: DataFrame, by: tuple[str, ...] = (), score: str = "predicted
         nodes = nodes.groupBy(*by, "_cell").agg(
             F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")
         )
-        parent = F.shiftright("_cell", _BITS)
-        if level == 1:
-            nodes = nodes.withColumnRenamed("_cell", "_top")
-            parts.append(pairs(nodes, F.shiftright("_top", _BITS), "_top", ties=False))
-        else:
-            parts.append(pairs(nodes, parent, "_cell", ties=False))
-            nodes = nodes.withColumn("_cell", parent)
+        root = level == 1
+        parent = F.lit(0) if root else F.shiftright("_cell", _BITS)
+        parts.append(pairs(nodes, parent, "_cell", root=root))
+        nodes = nodes.withColumn("_cell", parent)
     total = reduce(DataFrame.unionByName, parts).groupBy(*by).agg(
         F.sum("_twice").alias("_twice"),
         F.sum("_p").alias("n_positive"),
