@@ -17,10 +17,10 @@ from cohortlens.operators.model import Boosting, Training, train_model
 from cohortlens.operators.normalize import normalise
 from cohortlens.plans import fixtures as X
 from cohortlens.session import shared_folder
-from cohortlens.sources.studies import parse_studies, split_pages, split_studies
+from cohortlens.sources.studies import open_pages, parse_studies, split_studies
 from cohortlens.sources.synthetic import generate_trials
 from cohortlens.streaming import monitor
-from cohortlens.streaming.ingest import current_trials, ingest_stream
+from cohortlens.streaming.ingest import current_trials, ingest_stream, read_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -239,8 +239,7 @@ def normalize_arrays(spark, d):
 @query
 def page_source(spark, d):
     """Pages to studies to good rows, counted by status."""
-    studies, _ = split_pages(X.study_pages(spark, d))
-    good, _ = split_studies(parse_studies(studies))
+    good, _ = split_studies(parse_studies(open_pages(X.study_pages(spark, d))))
     return normalise(good).groupBy("overall_status").agg(
         F.count(F.lit(1)).alias("studies"), F.sum("enrollment").alias("enrolled")
     )
@@ -558,11 +557,11 @@ def stream_ingest(spark, d):
     X.study_pages(spark, d).select("page").write.text(f"{folder}/pages")
     _finish(
         ingest_stream(
-            spark, f"{folder}/pages", f"{folder}/changes", f"{folder}/quarantine",
-            f"{folder}/checkpoint", one_page_per_file=False,
+            spark, f"{folder}/pages", f"{folder}/changes", f"{folder}/checkpoint",
+            one_page_per_file=False,
         )
     )
-    return current_trials(spark.read.parquet(f"{folder}/changes")).select(
+    return current_trials(read_changes(spark, f"{folder}/changes")).select(
         "nct_id", "overall_status", "therapeutic_area", "enrollment", "start_date",
         "duration_days", "outcome_success",
     )

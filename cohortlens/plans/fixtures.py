@@ -123,22 +123,28 @@ def _lines(spark: SparkSession, sf_dir: str, need_part: bool, need_supplier: boo
         F.count_distinct("l_suppkey").alias("n_suppliers"),
     ]
     if need_part:
-        part = table(spark, sf_dir, "part")
-        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        # bits are made once per part, not once per line
         brand = F.substring("p_brand", 7, 4).cast("int") - 1
         kind = _choice(F.col("p_type"), [(t, F.lit(i)) for i, (t, _) in enumerate(PART_INTERVENTIONS)])
+        part = table(spark, sf_dir, "part").select(
+            "p_partkey", "p_name", "p_size",
+            _bit(brand).alias("condition_bit"), _bit(kind).alias("type_bit"),
+        )
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
         wanted += [
-            F.bit_or(_bit(brand)).alias("condition_mask"),
-            F.bit_or(_bit(kind)).alias("type_mask"),
+            F.bit_or("condition_bit").alias("condition_mask"),
+            F.bit_or("type_bit").alias("type_mask"),
             F.min("p_name").alias("first_name"),
             F.max("p_name").alias("last_name"),
             F.min("p_size").alias("min_size"),
             F.max("p_size").alias("max_size"),
         ]
     if need_supplier:
-        supplier = table(spark, sf_dir, "supplier")
+        supplier = table(spark, sf_dir, "supplier").select(
+            "s_suppkey", _bit(F.col("s_nationkey")).alias("nation_bit")
+        )
         lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        wanted.append(F.bit_or(_bit(F.col("s_nationkey"))).alias("nation_mask"))
+        wanted.append(F.bit_or("nation_bit").alias("nation_mask"))
     return lines.groupBy("l_orderkey").agg(*wanted)
 
 
@@ -152,7 +158,9 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
         df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     if wanted & _LINES:
         folded = _lines(spark, sf_dir, bool(wanted & _PART), bool(wanted & _SUPPLIER))
-        df = df.join(folded, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        # the folded lines are partitioned by order already and grow with the
+        # data: meet them there rather than broadcast them
+        df = df.join(folded.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
     key = F.col("o_orderkey")
     status = (

@@ -56,9 +56,8 @@ SAVED_ANALYSES_DDL = """
 
 # One page of the registry feed. Studies stay raw text here, so that one bad
 # study cannot spoil its page and the original document is kept as it came.
-PAGE_DDL = "studies array<string>, nextPageToken string"
-
 CORRUPT_COLUMN = "_corrupt_record"
+PAGE_DDL = f"studies array<string>, nextPageToken string, {CORRUPT_COLUMN} string"
 
 STUDY_DDL = f"""
     protocolSection struct<

@@ -13,45 +13,34 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.normalize import normalise
 from cohortlens.operators.upsert import latest_per_key
-from cohortlens.sources.studies import parse_studies, split_pages, split_studies
+from cohortlens.schemas import NORMALISED_COLUMNS, TRIALS_DDL
+from cohortlens.sources.studies import open_pages, parse_studies
 from cohortlens.sources.tables import Ingested, upsert_trials
 
+CHANGES_DDL = (
+    f"{TRIALS_DDL}, page_file string, position int, batch_id long, state string"
+)
 ORDER = ("batch_id", "page_file", "position")
 
 
-def _write_batch(pages: DataFrame, batch_id: int, changes: str, quarantine: str) -> None:
-    pages = pages.persist()
-    try:
-        studies, unreadable = split_pages(pages)
-        good, bad = split_studies(parse_studies(studies))
-
-        def put(rows: DataFrame, path: str) -> None:
-            (
-                rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(path)
-            )
-
-        put(normalise(good, keep=("page_file", "position")), changes)
-        put(
-            bad.select("page_file", "position", "raw_json").unionByName(
-                unreadable.select(
-                    "page_file", F.lit(None).cast("int").alias("position"), F.col("page").alias("raw_json")
-                )
-            ),
-            quarantine,
-        )
-    finally:
-        pages.unpersist()
+def _write_batch(pages: DataFrame, batch_id: int, changes: str) -> None:
+    """One pass over the pages; what cannot be read goes to partitions of its own."""
+    (
+        normalise(parse_studies(open_pages(pages)), keep=("page_file", "position", "readable"))
+        .withColumn("state", F.when(F.col("readable"), "read").otherwise("quarantined"))
+        .withColumn("batch_id", F.lit(batch_id).cast("long"))
+        .drop("readable")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id", "state")
+        .parquet(changes)
+    )
 
 
 def ingest_stream(
     spark: SparkSession,
     source: str,
     changes: str,
-    quarantine: str,
     checkpoint: str,
     one_page_per_file: bool = True,
     files_per_batch: int | None = None,
@@ -66,19 +55,32 @@ def ingest_stream(
     return (
         pages.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda rows, batch_id: _write_batch(rows, batch_id, changes, quarantine))
+        .foreachBatch(lambda rows, batch_id: _write_batch(rows, batch_id, changes))
         .start()
     )
 
 
+def read_changes(spark: SparkSession, changes: str) -> DataFrame:
+    """The change log; batch and state are folders, so filters on them skip files."""
+    rows = spark.read.schema(CHANGES_DDL).parquet(changes)
+    return rows.select(*ORDER, "state", *NORMALISED_COLUMNS)
+
+
 def current_trials(changes: DataFrame) -> DataFrame:
-    """The table as it stands: the last change of every trial."""
-    return latest_per_key(changes, ["nct_id"], list(ORDER)).drop(*ORDER)
+    """The table as it stands: the last readable change of every trial."""
+    read = changes.filter("state = 'read'").drop("state")
+    return latest_per_key(read, ["nct_id"], list(ORDER)).drop(*ORDER)
+
+
+def quarantine(changes: DataFrame) -> DataFrame:
+    """Texts set aside: single studies, and whole pages where ``position`` is null."""
+    return changes.filter("state = 'quarantined'").select("batch_id", "page_file", "position", "raw_json")
 
 
 def compact(
     spark: SparkSession, snapshot: str | None, changes: str, through_batch: int, new_snapshot: str
 ) -> Ingested:
     """Fold the changes up to a batch into a new snapshot of the table."""
-    rows = spark.read.parquet(changes).filter(F.col("batch_id") <= through_batch)
+    rows = read_changes(spark, changes).filter("state = 'read'").drop("state")
+    rows = rows.filter(F.col("batch_id") <= through_batch)
     return upsert_trials(spark, snapshot, rows, list(ORDER), new_snapshot)

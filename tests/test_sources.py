@@ -114,11 +114,14 @@ def test_bad_studies_and_pages_are_set_aside(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"studies": [good, odd], "nextPageToken": "x"}))
     (tmp_path / "two.json").write_text('{"studies": [')
     pages = studies.read_pages(spark, str(tmp_path))
-    found, unreadable = studies.split_pages(pages)
-    fine, bad = studies.split_studies(studies.parse_studies(found))
+    (tmp_path / "three.json").write_text('{"studies": []}')
+    (tmp_path / "four.json").write_text("{}")
+    fine, bad = studies.split_studies(studies.parse_studies(studies.open_pages(pages)))
     assert [r["nct_id"] for r in normalise(fine).collect()] == ["NCT1"]
-    assert [json.loads(r["raw_json"]) for r in bad.collect()] == [odd]
-    assert [r["page_file"].rsplit("/", 1)[1] for r in unreadable.collect()] == ["two.json"]
+    bad = {r["page_file"].rsplit("/", 1)[1]: r for r in bad.collect()}
+    assert sorted(bad) == ["one.json", "two.json"]
+    assert json.loads(bad["one.json"]["raw_json"]) == odd and bad["one.json"]["position"] == 1
+    assert bad["two.json"]["raw_json"] == '{"studies": [' and bad["two.json"]["position"] is None
 
 
 def test_pages_hold_a_bounded_number_of_studies(spark):

@@ -78,12 +78,12 @@ def study(key, text):
 
 
 def test_ingest_stream_resumes_and_keeps_the_last_change(spark, tmp_path):
-    pages, paths = tmp_path / "pages", [str(tmp_path / n) for n in ("changes", "bad", "cp")]
+    pages, paths = tmp_path / "pages", [str(tmp_path / n) for n in ("changes", "cp")]
     pages.mkdir()
 
     def run():
         ingest.ingest_stream(spark, str(pages), *paths).awaitTermination()
-        rows = ingest.current_trials(spark.read.parquet(paths[0]))
+        rows = ingest.current_trials(ingest.read_changes(spark, paths[0]))
         return {r["nct_id"]: r["title"] for r in rows.collect()}
 
     (pages / "a.json").write_text(json.dumps({"studies": [study("N1", "one"), study("N2", "two")]}))
@@ -93,7 +93,7 @@ def test_ingest_stream_resumes_and_keeps_the_last_change(spark, tmp_path):
     (pages / "c.json").write_text(json.dumps({"studies": later}))
     assert run() == {"N1": "one", "N2": "new", "N3": "three"}
     assert run() == {"N1": "one", "N2": "new", "N3": "three"}
-    bad = spark.read.parquet(paths[1]).collect()
+    bad = ingest.quarantine(ingest.read_changes(spark, paths[0])).collect()
     assert [r["raw_json"] for r in bad] == ["not json"]
 
     done = ingest.compact(spark, None, paths[0], 0, str(tmp_path / "s1"))
@@ -107,7 +107,7 @@ def test_ingest_stream_resumes_and_keeps_the_last_change(spark, tmp_path):
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     page = json.dumps({"studies": [study("N1", "one")]})
     rows = spark.createDataFrame([(page, "f")], "page string, page_file string")
-    changes, bad = str(tmp_path / "c"), str(tmp_path / "q")
+    changes = str(tmp_path / "c")
     for _ in range(2):
-        ingest._write_batch(rows, 5, changes, bad)
+        ingest._write_batch(rows, 5, changes)
     assert spark.read.parquet(changes).count() == 1
