@@ -6,76 +6,114 @@ each known feature (does the row meet its conditions?) and the share of
 training weight that follows the path for each unknown one. With at most
 ``depth`` features per path, the Shapley values of a leaf depend only on which
 of them the row meets, so they are tabulated once per leaf and pattern. Rows
-then need comparisons and table look-ups only, in Arrow batches.
+then need comparisons, table look-ups and one small matrix product, in Arrow
+batches.
 
-The tables grow with the model (trees x leaves), never with the data.
+The tables grow with the model (trees x leaves x 2^depth), never with the data;
+at the default 300 trees of depth 6 they take about 60 MB.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from itertools import combinations
 from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.constants import FEATURE_COLUMNS
-
-_ROWS_AT_ONCE = 4096
+from cohortlens.session import shared_folder
+
+_ROWS, _LEAVES = 256, 512  # one block of the (rows x leaves) table
+
+
+def _nodes(spark: SparkSession, model: PipelineModel) -> dict[int, dict[int, tuple]]:
+    """Nodes of every tree as the stored model lists them, by tree and node number."""
+    folder = shared_folder(spark, "booster")
+    model.stages[-1].save(folder)
+    stored = spark.read.parquet(f"{folder}/data").select(
+        "treeID",
+        "nodeData.id",
+        "nodeData.prediction",
+        F.col("nodeData.impurityStats")[0].alias("weight"),
+        "nodeData.leftChild",
+        "nodeData.rightChild",
+        "nodeData.split.featureIndex",
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+    )
+    trees: dict[int, dict[int, tuple]] = defaultdict(dict)
+    for tree, number, *rest in stored.collect():  # bounded by the model's size
+        trees[tree][number] = tuple(rest)
+    return trees
+
+
+def _leaves(nodes: dict[int, tuple], number: int = 0, bounds: dict | None = None):
+    """(value, {feature: (low, high, share)}) per leaf below a node."""
+    value, weight, left, right, feature, threshold = nodes[number]
+    bounds = bounds or {}
+    if left < 0:
+        yield value, bounds
+        return
+    low, high, share = bounds.get(feature, (-np.inf, np.inf, 1.0))
+    for child, inside in ((left, (low, min(high, threshold))), (right, (max(low, threshold), high))):
+        part = share * nodes[child][1] / weight
+        yield from _leaves(nodes, child, {**bounds, feature: (*inside, part)})
 
 
-def _leaves(node, path=()):
-    """(value, {feature: [low, high, share]}) per leaf of a fitted tree."""
-    if node.subtreeDepth() == 0:
-        bounds: dict[int, list[float]] = {}
-        for feature, low, high, share in path:
-            seen = bounds.setdefault(feature, [-np.inf, np.inf, 1.0])
-            seen[0], seen[1], seen[2] = max(seen[0], low), min(seen[1], high), seen[2] * share
-        yield node.prediction(), bounds
-        return
-    split, weight = node.split(), node.impurityStats().count()
-    for child, low, high in (
-        (node.leftChild(), -np.inf, split.threshold()),
-        (node.rightChild(), split.threshold(), np.inf),
-    ):
-        share = child.impurityStats().count() / weight
-        yield from _leaves(child, path + ((split.featureIndex(), low, high, share),))
-
-
-def _leaf_table(value: float, shares: np.ndarray) -> np.ndarray:
-    """Shapley value of each path feature, by bit pattern of conditions met."""
-    k = len(shares)
+def _tables(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley value per leaf, pattern of conditions met, and path feature."""
+    leaves, k = shares.shape
     met = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
-    table = np.zeros((1 << k, k))
+    table = np.zeros((leaves, 1 << k, k))
     for feature in range(k):
         rest = [i for i in range(k) if i != feature]
         for size in range(k):
             weight = factorial(size) * factorial(k - size - 1) / factorial(k)
             for known in combinations(rest, size):
                 unknown = [i for i in rest if i not in known]
-                product = met[:, list(known)].prod(axis=1) * shares[unknown].prod()
-                table[:, feature] += weight * product
-        table[:, feature] *= value * (met[:, feature] - shares[feature])
-    return table
-
-
-def leaf_tables(model: PipelineModel) -> tuple[list, float]:
-    """(features, lows, highs, table) per leaf, and the mean score without features."""
-    booster = model.stages[-1]
-    tables, base = [], 0.0
-    for tree, weight in zip(booster.trees, booster.treeWeights):
-        for value, bounds in _leaves(tree._call_java("rootNode")):
+                table[:, :, feature] += weight * np.outer(
+                    shares[:, unknown].prod(axis=1), met[:, list(known)].prod(axis=1)
+                )
+        table[:, :, feature] *= met[None, :, feature] - shares[:, None, feature]
+    return table * values[:, None, None]
+
+
+def leaf_tables(spark: SparkSession, model: PipelineModel) -> tuple[list[tuple], float]:
+    """Blocks of (features, lows, highs, tables), and the mean log-odds of the model.
+
+    Leaves are grouped by the number of features on their path.
+    """
+    weights = model.stages[-1].treeWeights
+    groups, base = defaultdict(list), 0.0
+    for tree, nodes in _nodes(spark, model).items():
+        for value, bounds in _leaves(nodes):
             # twice the margin of the ensemble is the log-odds
-            value = 2.0 * weight * value
-            features = sorted(bounds)
-            lows, highs, shares = np.array([bounds[f] for f in features]).reshape(-1, 3).T
-            base += value * shares.prod()
-            if features:
-                tables.append((np.array(features), lows, highs, _leaf_table(value, shares)))
-    return tables, base
+            value *= 2.0 * weights[tree]
+            base += value * np.prod([share for _, _, share in bounds.values()])
+            if bounds:
+                groups[len(bounds)].append((value, list(bounds), list(bounds.values())))
+    blocks = []
+    for members in groups.values():
+        for start in range(0, len(members), _LEAVES):
+            values, features, ranges = zip(*members[start : start + _LEAVES])
+            lows, highs, shares = np.moveaxis(np.array(ranges), 2, 0)
+            blocks.append((np.array(features), lows, highs, _tables(np.array(values), shares)))
+    return blocks, float(base)
+
+
+def _explain(x: np.ndarray, blocks: list[tuple]) -> np.ndarray:
+    out = np.zeros_like(x)
+    for features, lows, highs, tables in blocks:
+        leaves, k = features.shape
+        seen = x[:, features]
+        pattern = ((seen > lows) & (seen <= highs)) @ (1 << np.arange(k))
+        given = tables[np.arange(leaves), pattern].reshape(len(x), leaves * k)
+        out += given @ np.eye(x.shape[1])[features.ravel()]
+    return out
 
 
 def attributions(model: PipelineModel, features: DataFrame, key: str = "nct_id") -> DataFrame:
@@ -83,22 +121,18 @@ def attributions(model: PipelineModel, features: DataFrame, key: str = "nct_id")
 
     The attributions of a row and the base add up to its log-odds.
     """
-    tables, base = leaf_tables(model)
-    shared = features.sparkSession.sparkContext.broadcast(tables)
+    spark = features.sparkSession
+    blocks, base = leaf_tables(spark, model)
+    shared = spark.sparkContext.broadcast(blocks)
     names = list(FEATURE_COLUMNS)
 
     def explain(frames):
         for frame in frames:
-            for start in range(0, len(frame), _ROWS_AT_ONCE):
-                part = frame.iloc[start : start + _ROWS_AT_ONCE]
-                x = part[names].to_numpy(dtype=float)
-                out = np.zeros_like(x)
-                for columns, lows, highs, table in shared.value:
-                    met = (x[:, columns] > lows) & (x[:, columns] <= highs)
-                    out[:, columns] += table[met @ (1 << np.arange(len(columns)))]
-                result = pd.DataFrame(out, columns=names, index=part.index)
-                result.insert(0, key, part[key])
-                yield result.assign(base=base)
+            x = frame[names].to_numpy(dtype=float)
+            parts = [_explain(x[i : i + _ROWS], shared.value) for i in range(0, len(x), _ROWS)]
+            result = pd.DataFrame(np.concatenate(parts) if parts else x, columns=names)
+            result.insert(0, key, frame[key].to_numpy())
+            yield result.assign(base=base)
 
     kind = features.schema[key].dataType.simpleString()
     schema = ", ".join([f"{key} {kind}", *[f"{n} double" for n in names], "base double"])

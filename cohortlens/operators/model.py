@@ -73,6 +73,12 @@ def fit(train: DataFrame, settings: Boosting = Boosting()) -> PipelineModel:
         rows.unpersist()
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Staged rows over all cores: trees grow in many short passes over them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def probability(model: PipelineModel, features: DataFrame) -> DataFrame:
     """``features`` with the unrounded chance of success as ``predicted_proba``."""
     scored = model.transform(features)
@@ -96,7 +102,7 @@ def train_model(trials: DataFrame, settings: Boosting = Boosting(), version: str
     rows = staged(splits.stratified_split(rows, seed=settings.seed), "training-rows")
     splits.require_rows(rows)
     train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
-    model = fit(train, settings)
+    model = fit(_spread(train), settings)
     holdout = score_holdout(model, test).withColumn("model_version", F.lit(version))
     sizes = rows.agg(
         F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test")
@@ -120,10 +126,10 @@ def cross_validate(
     """(area per fold, its mean and population deviation), one fit per fold."""
     dealt = splits.stratified_folds(splits.training_set(trials), folds, settings.seed)
     dealt = staged(dealt, "fold-rows")
-    scored = [
-        score_holdout(fit(dealt.filter(F.col("fold") != k), settings), dealt.filter(F.col("fold") == k))
-        for k in range(folds)
-    ]
+    scored = []
+    for k in range(folds):
+        model = fit(_spread(dealt.filter(F.col("fold") != k)), settings)
+        scored.append(score_holdout(model, dealt.filter(F.col("fold") == k)))
     per_fold = evaluation.auc_roc(reduce(DataFrame.unionByName, scored), by=("fold",))
     summary = per_fold.agg(
         F.avg("auc_roc").alias("cv_auc_mean"), F.stddev_pop("auc_roc").alias("cv_auc_std")

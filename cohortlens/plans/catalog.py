@@ -17,6 +17,7 @@ from cohortlens.operators.model import Boosting, Training, train_model
 from cohortlens.operators.normalize import normalise
 from cohortlens.plans import fixtures as X
 from cohortlens.session import shared_folder
+from cohortlens.sources import artifacts, tables
 from cohortlens.sources.studies import open_pages, parse_studies, split_studies
 from cohortlens.sources.synthetic import generate_trials
 from cohortlens.streaming import monitor
@@ -266,6 +267,40 @@ def synthetic_trials(spark, d):
     )
 
 
+@query
+def raw_documents(spark, d):
+    """The retained original of every study still says what the row says."""
+    rows = normalise(parse_studies(X.raw_studies(spark, d)))
+    path = "$.protocolSection.identificationModule"
+    return rows.select(
+        "nct_id",
+        F.get_json_object("raw_json", f"{path}.nctId").alias("kept_id"),
+        F.get_json_object("raw_json", f"{path}.briefTitle").alias("kept_title"),
+    )
+
+
+@query
+def quarantine(spark, d):
+    """Damaged studies set apart from good ones, by the id in their text."""
+    parsed = parse_studies(X.damaged_studies(spark, d))
+    good, bad = split_studies(parsed)
+    number = F.regexp_extract("raw_json", r'"nctId":"(NCT\d+)"', 1).alias("nct_id")
+    return good.select(number, F.lit("read").alias("state")).unionByName(
+        bad.select(number, F.lit("quarantined").alias("state"))
+    )
+
+
+@query
+def table_scan(spark, d):
+    """The trials table written once and read back through its declared schema."""
+    path = shared_folder(spark, "trials")
+    rows = X.trials(spark, d).withColumn("raw_json", F.lit(None).cast("string"))
+    tables.with_bookkeeping(rows).write.parquet(path)
+    return tables.read_trials(
+        spark, path, ("nct_id", "phase", "enrollment", "start_date", "outcome_confidence")
+    )
+
+
 # --- table maintenance -------------------------------------------------------
 
 _STAMP = "2030-01-01"
@@ -302,6 +337,26 @@ def insert_absent(spark, d):
     return upsert.insert_absent(_stored(spark, d), _latest(spark, d))
 
 
+@query
+def job_log(spark, d):
+    """Two logged ingest jobs: a first load of all trials, then the finished ones again."""
+    folder = shared_folder(spark, "ingest-jobs")
+    rows = X.trials(spark, d).withColumn("raw_json", F.lit(None).cast("string"))
+    first, second = f"{folder}/snapshot-1", f"{folder}/snapshot-2"
+
+    def load():
+        return tables.upsert_trials(spark, None, rows, ["title"], first)
+
+    def refresh():
+        return tables.upsert_trials(spark, first, predicates.by_status(rows), ["title"], second)
+
+    tables.run_logged(spark, f"{folder}/log", "load", load)
+    tables.run_logged(spark, f"{folder}/log", "refresh", refresh)
+    return tables.job_states(spark.read.parquet(f"{folder}/log")).select(
+        "job_id", "status", "records_fetched", "records_inserted", "records_updated"
+    )
+
+
 # --- chat history ------------------------------------------------------------
 
 
@@ -515,6 +570,35 @@ def latest_metrics(spark, d):
     return rounded(evaluation.latest_metrics(X.metrics_history(spark, d)))
 
 
+@query
+def prediction_flags(spark, d):
+    return X.predictions(spark, d).select("nct_id", "model_version", "predicted_label", "correct")
+
+
+@query
+def prediction_store(spark, d):
+    """All predictions stored, one version stored again, counted by version."""
+    path = shared_folder(spark, "predictions")
+    scored = X.predictions(spark, d)
+    tables.write_predictions(scored, path)
+    tables.write_predictions(scored.filter("model_version = 'v1'"), path)
+    return (
+        spark.read.parquet(path)
+        .groupBy("model_version")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("right"))
+    )
+
+
+@query
+def metrics_store(spark, d):
+    """Training-run metrics appended run by run of two batches, read back whole."""
+    path = shared_folder(spark, "model-metrics")
+    history_ = X.metrics_history(spark, d)
+    for version in ("v1", "v2"):
+        tables.append_metrics(history_.filter(F.col("model_version") == version), path)
+    return rounded(spark.read.parquet(path))
+
+
 # --- monitoring --------------------------------------------------------------
 
 DAY = 86_400
@@ -660,3 +744,13 @@ def shap_importance(spark, d):
 def cv_auc(spark, d):
     trials = X.trials(spark, d, splits.TRAINING_INPUTS)
     return model.cross_validate(trials, BRIEF)[1]
+
+
+@query
+def model_reload(spark, d):
+    """The trained model stored, loaded and used: classes it predicts for all trials."""
+    folder, trained = shared_folder(spark, "models"), _model(spark, d)
+    artifacts.save_model(trained.model, trained.metrics, folder, "v1")
+    loaded = artifacts.load_model(folder, "v1")
+    trials = X.trials(spark, d, splits.TRAINING_INPUTS)
+    return model.score_trials(loaded, trials).groupBy("predicted_success", "confidence").count()

@@ -336,6 +336,20 @@ def raw_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials(spark, sf_dir).select(F.to_json(document).alias("raw_json"), n.alias("number"))
 
 
+def damaged_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw studies with two kinds of damage: withdrawn ones are cut off in the
+    middle, suspended ones have words where the enrolment count belongs."""
+    text = F.col("raw_json")
+    cut = F.substring(text, F.lit(1), F.length(text) - 40)
+    words = F.regexp_replace(text, r'"count":\d+', '"count":"many"')
+    return raw_studies(spark, sf_dir).withColumn(
+        "raw_json",
+        F.when(F.contains(text, F.lit('"overallStatus":"WITHDRAWN"')), cut)
+        .when(F.contains(text, F.lit('"overallStatus":"SUSPENDED"')), words)
+        .otherwise(text),
+    )
+
+
 def study_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw studies packed into registry pages by trial number, 100 to a page."""
     rows = raw_studies(spark, sf_dir)

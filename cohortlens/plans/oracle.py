@@ -601,4 +601,27 @@ ORACLE: dict[str, str] = {
         WITH w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
         SELECT user_id, CAST(ts AS DATE) AS period_start, count(*) AS requests FROM events
         GROUP BY 1, 2 HAVING count(*) > 5 AND CAST(any_value(ts) AS DATE) + 1 <= (SELECT mark FROM w)""",
+    "raw_documents": _t("SELECT nct_id, nct_id AS kept_id, title AS kept_title FROM trials"),
+    "quarantine": _t(
+        "SELECT nct_id, CASE WHEN overall_status = 'WITHDRAWN' OR (overall_status = 'SUSPENDED' AND"
+        " enrollment IS NOT NULL) THEN 'quarantined' ELSE 'read' END AS state FROM trials"
+    ),
+    "table_scan": _t("SELECT nct_id, phase, enrollment, start_date, outcome_confidence FROM trials"),
+    "job_log": _t(
+        """, n AS (SELECT count(*) AS loaded, count(*) FILTER (WHERE overall_status IN
+             ('COMPLETED', 'TERMINATED', 'WITHDRAWN')) AS again FROM trials)
+        SELECT 'load' AS job_id, 'completed' AS status, loaded AS records_fetched,
+               loaded AS records_inserted, 0::BIGINT AS records_updated FROM n
+        UNION ALL SELECT 'refresh', 'completed', again, 0, again FROM n"""
+    ),
+    "prediction_flags": _p("SELECT nct_id, model_version, predicted_label, correct FROM predictions"),
+    "prediction_store": _p(
+        'SELECT model_version, count(*) AS n, count(*) FILTER (WHERE correct) AS "right"'
+        " FROM predictions GROUP BY 1"
+    ),
+    "metrics_store": _p(
+        f""", counts AS (SELECT model_version, CAST(date_trunc('year', start_date) AS DATE) AS trained_at, {_COUNTS}
+          FROM predictions p JOIN trials t USING (nct_id) GROUP BY 1, 2)
+        SELECT * EXCLUDE (tp, tn, fp, fn) FROM ({_quality("model_version, trained_at")})"""
+    ),
 }
