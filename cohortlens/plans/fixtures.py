@@ -91,11 +91,10 @@ def _names(values) -> Column:
     return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
 
 
-def _choice(value: Column, pairs) -> Column:
-    result = None
-    for source, target in pairs:
-        result = (F if result is None else result).when(value == source, target)
-    return result
+def _choice(value: str, pairs) -> Column:
+    """CASE over the text of an SQL expression, as one expression."""
+    branches = " ".join(f"WHEN '{source}' THEN '{target}'" for source, target in pairs)
+    return F.expr(f"CASE {value} {branches} END")
 
 
 def _bit(index: Column) -> Column:
@@ -125,7 +124,7 @@ def _lines(spark: SparkSession, sf_dir: str, need_part: bool, need_supplier: boo
     if need_part:
         # bits are made once per part, not once per line
         brand = F.substring("p_brand", 7, 4).cast("int") - 1
-        kind = _choice(F.col("p_type"), [(t, F.lit(i)) for i, (t, _) in enumerate(PART_INTERVENTIONS)])
+        kind = F.array_position(_names(t for t, _ in PART_INTERVENTIONS), F.col("p_type")) - 1
         part = table(spark, sf_dir, "part").select(
             "p_partkey", "p_name", "p_size",
             _bit(brand).alias("condition_bit"), _bit(kind).alias("type_bit"),
@@ -162,26 +161,26 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
         # data: meet them there rather than broadcast them
         df = df.join(folded.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
-    key = F.col("o_orderkey")
-    status = (
-        F.when(F.col("o_orderstatus") == "F", "COMPLETED")
-        .when(F.col("o_orderstatus") == "P", F.when(key % 3 == 0, "RECRUITING").otherwise("COMPLETED"))
-        .otherwise(
-            F.when(key % 4 == 0, "WITHDRAWN").when(key % 4 == 1, "SUSPENDED").otherwise("TERMINATED")
-        )
-    )
     stage = {
-        "nct_id": F.concat(F.lit("NCT"), F.lpad(key.cast("string"), 8, "0")),
-        "overall_status": status,
-        "phase": _choice(F.substring("o_orderpriority", 1, 1), PRIORITY_PHASES),
+        "nct_id": F.expr("concat('NCT', lpad(cast(o_orderkey as string), 8, '0'))"),
+        "overall_status": F.expr(
+            """CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED'
+                    WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'RECRUITING'
+                    WHEN o_orderstatus = 'P' THEN 'COMPLETED'
+                    WHEN o_orderkey % 4 = 0 THEN 'WITHDRAWN'
+                    WHEN o_orderkey % 4 = 1 THEN 'SUSPENDED' ELSE 'TERMINATED' END"""
+        ),
+        "phase": _choice("substring(o_orderpriority, 1, 1)", PRIORITY_PHASES),
         "start_date": F.to_date("o_orderdate"),
-        "enrollment": F.when(key % 17 != 0, F.floor(F.col("o_totalprice") / 80).cast("int")),
+        "enrollment": F.expr(
+            "CASE WHEN o_orderkey % 17 <> 0 THEN cast(floor(o_totalprice / 80) as int) END"
+        ),
         "study_type": F.lit("INTERVENTIONAL"),
-        "eligibility_gender": F.when(key % 7 == 0, "FEMALE").otherwise("ALL"),
+        "eligibility_gender": F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'FEMALE' ELSE 'ALL' END"),
     }
     if wanted & _CUSTOMER:
         stage["sponsor_name"] = F.col("c_name")
-        stage["sponsor_class"] = _choice(F.col("c_mktsegment"), SEGMENT_CLASSES)
+        stage["sponsor_class"] = _choice("c_mktsegment", SEGMENT_CLASSES)
     if wanted & _LINES:
         stage["number_of_arms"] = F.col("n_lines").cast("int")
         stage["locations_count"] = F.col("n_suppliers").cast("int")
@@ -212,9 +211,9 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
     df = df.withColumns(stage)
 
     derived = {
-        "has_results": (F.col("overall_status") == "COMPLETED") & (F.col("o_totalprice") > 150000),
+        "has_results": F.expr("overall_status = 'COMPLETED' AND o_totalprice > 150000"),
         "outcome_success": labels.outcome_success(F.col("overall_status")),
-        "enrollment_type": F.when(F.col("overall_status") == "RECRUITING", "ESTIMATED").otherwise("ACTUAL"),
+        "enrollment_type": F.expr("if(overall_status = 'RECRUITING', 'ESTIMATED', 'ACTUAL')"),
     }
     if wanted & _LINES:
         derived["duration_days"] = F.when(
@@ -424,7 +423,7 @@ def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("design_id"),
         F.when(size <= 40, F.concat(F.lit("PHASE"), (size % 4 + 1).cast("string"))).alias("phase"),
         F.when(size % 3 == 0, "INDUSTRY").when(size % 3 == 1, "NIH").alias("sponsor_class"),
-        F.when(size % 7 != 0, F.array(_choice(F.col("p_type"), PART_INTERVENTIONS))).alias(
+        F.when(size % 7 != 0, F.array(_choice("p_type", PART_INTERVENTIONS))).alias(
             "intervention_types"
         ),
         therapeutic_area("_condition").alias("therapeutic_area"),
