@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens import constants as C
 from cohortlens.operators.predicates import by_key, trial_filter
 
+# The columns of each answer, in order
 SEARCH_COLUMNS = (
     "nct_id", "title", "overall_status", "phase", "therapeutic_area", "sponsor_name",
     "sponsor_class", "enrollment", "duration_days", "has_results", "outcome_success",

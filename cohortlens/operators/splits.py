@@ -30,8 +30,8 @@ def training_set(trials: DataFrame) -> DataFrame:
 
 
 def require_rows(rows: DataFrame, least: int = C.MIN_TRAINING_ROWS) -> None:
-    """Raise unless there are ``least`` rows; reads no further than that."""
-    found = rows.limit(least).count()
+    """Raise unless there are ``least`` rows; reads only as many partitions as that takes."""
+    found = len(rows.select("label").take(least))
     if found < least:
         raise ValueError(f"not enough training rows: {found}, need {least}")
 

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_per_key(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The row with the greatest ``order`` for each key.
+def latest_per_key(
+    rows: DataFrame, keys: list[str], order: list[str | Column], first: bool = False
+) -> DataFrame:
+    """The row with the greatest ``order`` for each key, or with the smallest.
 
     An aggregate, not a window: copies of one key are reduced inside each task
     before the shuffle, however many there are.
@@ -21,7 +23,7 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str | Column])
     rank = [F.col(o) if isinstance(o, str) else o for o in order]
     return (
         rows.groupBy(*keys)
-        .agg(F.max_by(F.struct(*others), F.struct(*rank)).alias("_row"))
+        .agg((F.min_by if first else F.max_by)(F.struct(*others), F.struct(*rank)).alias("_row"))
         .select(*keys, *[F.col("_row")[c].alias(c) for c in others])
         .select(*rows.columns)
     )

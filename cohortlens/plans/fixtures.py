@@ -477,5 +477,5 @@ def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a request log; the event type stands for the service."""
     return table(spark, sf_dir, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("service"), "value"
+        "ts", "user_id", F.col("event_type").alias("service"), "value"
     )

@@ -79,9 +79,13 @@ def upsert_trials(
     return Ingested(snapshot, counts["inserted"], counts["updated"])
 
 
-def append_absent(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Append the rows whose key is not in the table yet; others are left alone."""
-    batch = latest_per_key(rows, ["nct_id"], [F.hash("title")])
+def append_absent(spark: SparkSession, path: str, rows: DataFrame, order: list[str]) -> None:
+    """Append the rows whose key is not in the table yet; others are left alone.
+
+    Of several new rows with one key the first in ``order`` is kept.
+    """
+    columns = read_trials(spark, path).columns
+    batch = latest_per_key(rows, ["nct_id"], order, first=True).select(*columns)
     insert_absent(read_trials(spark, path), batch).write.mode("append").parquet(path)
 
 

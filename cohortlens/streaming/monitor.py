@@ -14,12 +14,12 @@ from cohortlens import constants as C
 
 
 def with_lateness(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Event time as a zoned timestamp, with a bound on how late events arrive."""
-    return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-
+    """Event time as a zoned timestamp, with a bound on how late events arrive.
 
-def _zoned(log: DataFrame) -> DataFrame:
-    return log if log.isStreaming else log.withColumn("ts", F.col("ts").cast("timestamp"))
+    Watermarks need a zoned time; a time without a zone is taken to be in that
+    of the session (UTC by default here).
+    """
+    return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
 def error_alarms(
@@ -37,8 +37,7 @@ def error_alarms(
     """
     step = f"{period_seconds} seconds"
     breaching = (
-        _zoned(errors)
-        .groupBy(F.window("ts", step).alias("period"), "service")
+        errors.groupBy(F.window("ts", step).alias("period"), "service")
         .agg(F.count(F.lit(1)).alias("errors"))
         .filter(F.col("errors") > threshold)
     )
@@ -66,8 +65,7 @@ def over_limit(
 ) -> DataFrame:
     """Clients with more than ``most`` requests in a fixed period."""
     return (
-        _zoned(log)
-        .groupBy(F.window("ts", f"{period_seconds} seconds").alias("period"), "user_id")
+        log.groupBy(F.window("ts", f"{period_seconds} seconds").alias("period"), "user_id")
         .agg(F.count(F.lit(1)).alias("requests"))
         .filter(F.col("requests") > most)
         .select("user_id", F.col("period.start").alias("period_start"), "requests")
@@ -77,8 +75,7 @@ def over_limit(
 def request_series(log: DataFrame, period_seconds: int = 60) -> DataFrame:
     """Requests and mean value per service and period."""
     return (
-        _zoned(log)
-        .groupBy(F.window("ts", f"{period_seconds} seconds").alias("period"), "service")
+        log.groupBy(F.window("ts", f"{period_seconds} seconds").alias("period"), "service")
         .agg(F.count(F.lit(1)).alias("requests"), F.avg("value").alias("mean_value"))
         .select("service", F.col("period.start").alias("period_start"), "requests", "mean_value")
     )

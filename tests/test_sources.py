@@ -167,8 +167,8 @@ def test_upsert_table(spark, tmp_path):
 def test_append_absent(spark, tmp_path):
     path = str(tmp_path / "t")
     tables.with_bookkeeping(normalised(spark, [("A", "a1")]).drop("seen")).write.parquet(path)
-    more = tables.with_bookkeeping(normalised(spark, [("A", "a2"), ("B", "b1")]).drop("seen"))
-    tables.append_absent(spark, path, more)
+    more = tables.with_bookkeeping(normalised(spark, [("A", "a2"), ("B", "b1"), ("B", "b2")]))
+    tables.append_absent(spark, path, more, ["seen"])
     got = {r["nct_id"]: r["brief_summary"] for r in tables.read_trials(spark, path).collect()}
     assert got == {"A": "a1", "B": "b1"}
 
