@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         "edges",
     )
     nodes = ends.filter("a IS NOT NULL AND b IS NOT NULL").select(F.explode(F.array("a", "b")).alias("node"))
-    labels = staged(nodes.distinct().select("node", F.col("node").alias("component")), "labels")
+    rounds = []
     while not live.isEmpty():
         parents = staged(live.groupBy("a").agg(F.min("b").alias("up")), "parents")
         while True:
@@ -37,15 +37,16 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
             parents = jumped.select("a", "up")
             if jumped.filter("moved").isEmpty():
                 break
-        labels = staged(
-            labels.join(parents.select(F.col("a").alias("component"), "up"), "component", "left")
-            .select("node", F.coalesce("up", "component").alias("component")),
-            "labels",
-        )
+        rounds.append(parents)
         one = live.join(parents, "a", "left").select(F.coalesce("up", "a").alias("a"), "b")
         two = one.join(parents.select(F.col("a").alias("b"), "up"), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
         live = staged(
             two.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
             "edges",
         )
-    return labels
+    labels = nodes.distinct().select("node", F.col("node").alias("component"))
+    for parents in rounds:
+        labels = labels.join(parents.select(F.col("a").alias("component"), "up"), "component", "left").select(
+            "node", F.coalesce("up", "component").alias("component")
+        )
+    return staged(labels, "labels")

@@ -39,15 +39,15 @@ class NearSettings:
 
     With 32 bands of 5 a pair at 0.8 shares a bucket with a probability of
     1 - 3e-6. ``slack`` is what the estimate may fall short of the threshold
-    before a pair is passed over: five standard deviations of 160 minima of
-    two bits. ``block`` bounds the members compared in one task at a time.
+    before a pair is passed over: four and a half standard deviations of 160
+    minima of two bits. ``block`` bounds the members compared in one task at a time.
     """
 
     shingle: int = 2
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    slack: float = 0.2
+    slack: float = 0.17
     block: int = 512
     seed: int = 20240501
 
@@ -124,13 +124,18 @@ def _signatures(settings: NearSettings):
     return run
 
 
+def _sizes_fit(x: np.ndarray, y: np.ndarray, settings: NearSettings) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold at all."""
+    return 100 * np.minimum(x, y) >= settings.percent * np.maximum(x, y)
+
+
 def _estimate_pairs(settings: NearSettings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor = settings.percent / 100 - settings.slack
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
             score = estimated(x, y, settings.hashes)
-            keep = score >= floor
+            keep = (score >= floor) & _sizes_fit(batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), settings)
             yield pd.DataFrame({"a": batch["a"][keep], "b": batch["b"][keep], "score": score[keep]})
 
     return run
@@ -162,25 +167,26 @@ def _confirm(settings: NearSettings):
     return run
 
 
+def _columns(side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    signature = np.frombuffer(b"".join([m["signature"] for m in side]), np.uint8).reshape(len(side), -1)
+    return *(np.array([m[c] for m in side], np.int64) for c in ("class", "component", "n")), signature
+
+
 def _block_pairs(settings: NearSettings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor = settings.percent / 100 - settings.slack
         for batch in batches:
             for left, right in zip(batch["left"], batch["right"]):
-                def columns(side):
-                    sig = np.frombuffer(b"".join(m["signature"] for m in side), np.uint8)
-                    return (
-                        np.array([m["class"] for m in side], np.int64),
-                        np.array([m["component"] for m in side], np.int64),
-                        sig.reshape(len(side), -1),
-                    )
-
-                (xs, xc, xsig), (ys, yc, ysig) = columns(left), columns(right)
-                for i in range(len(xs)):
-                    keep = (estimated(xsig[i], ysig, settings.hashes) >= floor) & (yc != xc[i])
-                    if keep.any():
-                        other = ys[keep]
-                        yield pd.DataFrame({"a": np.maximum(other, xs[i]), "b": np.minimum(other, xs[i])})
+                (xs, xc, xn, xsig), (ys, yc, yn, ysig) = _columns(left), _columns(right)
+                step = max(1, 65_536 // len(ys))
+                for at in range(0, len(xs), step):
+                    cut = slice(at, at + step)
+                    keep = (xc[cut, None] != yc) & _sizes_fit(xn[cut, None], yn, settings)
+                    i, j = np.nonzero(keep)
+                    close = estimated(xsig[cut][i], ysig[j], settings.hashes) >= floor
+                    first, second = xs[cut][i[close]], ys[j[close]]
+                    if len(first):
+                        yield pd.DataFrame({"a": np.maximum(first, second), "b": np.minimum(first, second)})
 
     return run
 
@@ -216,15 +222,17 @@ def near_links(signed: DataFrame, classes: DataFrame, settings: NearSettings) ->
         .agg(F.count("*").alias("size"), F.min("class").alias("pivot"), F.min_by("class", F.xxhash64("class", F.lit(7))).alias("other"))
         .filter("size > 1")
     )
-    shared = staged(members.join(staged(buckets, "buckets"), "key").select("key", "class", "pivot", "other"), "bucket-members")
+    shared = staged(members.join(staged(buckets, "buckets"), "key").select("key", "class", "size", "pivot", "other"), "bucket-members")
     stars = (
         shared.select(F.col("class").alias("a"), F.explode(F.array("pivot", "other")).alias("b")).filter("a <> b").distinct()
     )
-    sign = signed.select(F.col("row").alias("class"), "signature")
-    signed_pairs = stars.join(sign.select(F.col("class").alias("a"), F.col("signature").alias("sig_a")), "a").join(
-        sign.select(F.col("class").alias("b"), F.col("signature").alias("sig_b")), "b"
-    )
-    scored = staged(signed_pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(_estimate_pairs(settings), "a long, b long, score double"), "stars")
+    sign = signed.select(F.col("row").alias("class"), F.col("n_shingles").alias("n"), "signature")
+
+    def side(name: str) -> DataFrame:
+        return sign.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
+
+    signed_pairs = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+    scored = staged(signed_pairs.mapInPandas(_estimate_pairs(settings), "a long, b long, score double"), "stars")
     # The two pivots that look most alike; a class has at most two pivots a band.
     ranked = F.sort_array(F.collect_list(F.struct("score", "b")), asc=False)
     best = scored.groupBy("a").agg(F.slice(ranked, 1, 2).alias("best"))
@@ -232,37 +240,42 @@ def near_links(signed: DataFrame, classes: DataFrame, settings: NearSettings) ->
     links = staged(_confirmed(first, _texts_of(first, signed, "texts"), settings), "links")
     labels = connected_components(links)
 
-    # Buckets with more than one component, searched in blocks.
-    placed = (
-        shared.select("key", "class")
-        .join(labels.select(F.col("node").alias("class"), "component"), "class", "left")
-        .select("key", "class", F.coalesce("component", "class").alias("component"))
-    )
-    by_component = placed.groupBy("key", "component").agg(F.count("*").alias("count"))
-    parts = by_component.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(F.col("count") < settings.block, F.col("count"))).alias("loose"))
-    open_parts = staged(by_component.join(parts.filter("components > 1"), "key"), "open-buckets")
-    pure = F.col("count") >= settings.block
-    pieces = F.ceil(F.when(pure, F.col("count")).otherwise(F.col("loose")) / settings.block)
-    open_members = placed.join(open_parts.select("key", "component", pure.alias("pure"), pieces.alias("pieces")), ["key", "component"])
-    return _searched(open_members, signed, sign, links, settings)
+    # The other pivots of classes that stay apart from them, and what is larger than its pivots show.
+    def placed(frame: DataFrame, name: str) -> DataFrame:
+        known = labels.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+        return frame.join(known, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
+
+    rest = placed(placed(scored.select("a", "b"), "a"), "b").filter("c_a <> c_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    members = placed(shared.filter("size > 2").select("key", F.col("class")), "class").select("key", "class", F.col("c_class").alias("component"))
+    found = _open_pairs(members, sign, settings).unionByName(rest).distinct().join(tried, ["a", "b"], "left_anti")
+    found = staged(found, "open-pairs")
+    more = _confirmed(found, _texts_of(found, signed, "open-texts"), settings)
+    return connected_components(links.unionByName(more))
 
 
-def _searched(open_members: DataFrame, signed: DataFrame, sign: DataFrame, links: DataFrame, settings: NearSettings) -> DataFrame:
+def _open_pairs(members: DataFrame, sign: DataFrame, settings: NearSettings) -> DataFrame:
+    """Pairs that look alike and lie in one bucket but not yet in one component, found block by block."""
+    by_component = members.groupBy("key", "component").agg(F.count("*").alias("count"))
+    small = F.when(F.col("count") < settings.block, F.col("count"))
+    parts = by_component.groupBy("key").agg(F.count("*").alias("components"), F.sum(small).alias("loose")).filter("components > 1")
+    pure = F.col("count") >= settings.block
+    pieces = F.ceil(F.when(pure, F.col("count")).otherwise(F.col("loose")) / settings.block)
+    opened = staged(by_component.join(parts, "key").select("key", "component", pure.alias("pure"), pieces.alias("pieces")), "open-buckets")
     blocks = (
-        open_members.join(sign, "class")
+        members.join(opened, ["key", "component"])
+        .join(sign, "class")
         .withColumn("block", F.pmod(F.xxhash64("class", F.lit(11)), F.col("pieces")))
         .withColumn("owner", F.when(F.col("pure"), F.col("component")))
         .groupBy("key", "owner", "block")
-        .agg(F.collect_list(F.struct("class", "component", "signature")).alias("members"))
+        .agg(F.collect_list(F.struct("class", "component", "n", "signature")).alias("members"))
     )
     blocks = staged(blocks.withColumn("name", F.xxhash64("owner", "block")), "blocks")
     left = blocks.select("key", F.col("owner").alias("owner_l"), F.col("name").alias("l"), F.col("members").alias("left"))
     right = blocks.select("key", F.col("owner").alias("owner_r"), F.col("name").alias("r"), F.col("members").alias("right"))
     apart = F.col("owner_l").isNull() | F.col("owner_r").isNull() | (F.col("owner_l") != F.col("owner_r"))
     pairs = left.join(right, "key").filter((F.col("l") <= F.col("r")) & apart).select("left", "right")
-    found = staged(pairs.mapInPandas(_block_pairs(settings), "a long, b long").distinct(), "open-pairs")
-    more = _confirmed(found, _texts_of(found, signed, "open-texts"), settings)
-    return connected_components(links.unionByName(more))
+    return pairs.mapInPandas(_block_pairs(settings), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, settings: NearSettings | None = None) -> DataFrame:
