@@ -10,8 +10,10 @@ confirmed on the full shingle sets.
 Large buckets are never expanded into pairs. First every class is compared with
 one or two pivots of each of its buckets, a number of comparisons in proportion
 to the classes, and what is confirmed is merged. Only buckets that still hold
-more than one component are then searched block by block, and a block whose
-members already belong together isn't compared with its like.
+more than one component are then searched block by block, first by signatures
+for the members that may have a link to another component, then those members on
+their full sets. A block whose members already belong together isn't compared
+with its like, and what comes out are links that merge components, no pairs.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ class NearSettings:
     bands: int = 32
     rows: int = 5
     slack: float = 0.17
-    block: int = 512
+    block: int = 256
     seed: int = 20240501
 
     @property
@@ -141,6 +143,14 @@ def _estimate_pairs(settings: NearSettings):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, settings: NearSettings) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= settings.percent * (len(x) + len(y) - common)
+
+
 def _confirm(settings: NearSettings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plain = zstandard.ZstdDecompressor()
@@ -159,8 +169,7 @@ def _confirm(settings: NearSettings):
                 if 100 * small < settings.percent * large:
                     linked.append(False)
                     continue
-                common = len(np.intersect1d(other, held, assume_unique=True))
-                linked.append(100 * common >= settings.percent * (len(other) + len(held) - common))
+                linked.append(_linked(other, held, settings))
             keep = np.array(linked, bool)
             yield pd.DataFrame({"a": batch["a"][keep], "b": batch["b"][keep]})
 
@@ -172,21 +181,67 @@ def _columns(side) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return *(np.array([m[c] for m in side], np.int64) for c in ("class", "component", "n")), signature
 
 
-def _block_pairs(settings: NearSettings):
+def _alike(left, right, same: bool, settings: NearSettings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places left, places right, estimates) of the pairs of two blocks that lie in two components and look alike."""
+    floor = settings.percent / 100 - settings.slack
+    (xs, xc, xn, xsig), (ys, yc, yn, ysig) = left, right
+    step = max(1, 65_536 // len(ys))
+    for at in range(0, len(xs), step):
+        cut = slice(at, at + step)
+        keep = (xc[cut, None] != yc) & _sizes_fit(xn[cut, None], yn, settings)
+        if same:
+            keep &= xs[cut, None] < ys
+        i, j = np.nonzero(keep)
+        score = estimated(xsig[cut][i], ysig[j], settings.hashes)
+        close = score >= floor
+        yield i[close] + at, j[close], score[close]
+
+
+def _open_members(settings: NearSettings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor = settings.percent / 100 - settings.slack
         for batch in batches:
-            for left, right in zip(batch["left"], batch["right"]):
-                (xs, xc, xn, xsig), (ys, yc, yn, ysig) = _columns(left), _columns(right)
-                step = max(1, 65_536 // len(ys))
-                for at in range(0, len(xs), step):
-                    cut = slice(at, at + step)
-                    keep = (xc[cut, None] != yc) & _sizes_fit(xn[cut, None], yn, settings)
-                    i, j = np.nonzero(keep)
-                    close = estimated(xsig[cut][i], ysig[j], settings.hashes) >= floor
-                    first, second = xs[cut][i[close]], ys[j[close]]
-                    if len(first):
-                        yield pd.DataFrame({"a": np.maximum(first, second), "b": np.minimum(first, second)})
+            for key, same, left, right in zip(batch["key"], batch["same"], batch["left"], batch["right"]):
+                left, right = _columns(left), _columns(right)
+                hit = [np.zeros(len(left[0]), bool), np.zeros(len(right[0]), bool)]
+                for i, j, _ in _alike(left, right, same, settings):
+                    hit[0][i], hit[1][j] = True, True
+                found = np.union1d(left[0][hit[0]], right[0][hit[1]])
+                if len(found):
+                    yield pd.DataFrame({"key": key, "class": found})
+
+    return run
+
+
+def _block_links(settings: NearSettings):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for same, left, right in zip(batch["same"], batch["left"], batch["right"]):
+                texts = {m["class"]: m["pressed"] for side in (left, right) for m in side}
+                sets: dict[int, np.ndarray] = {}
+                up: dict[int, int] = {}
+
+                def members(c: int) -> np.ndarray:
+                    if c not in sets:
+                        sets[c] = shingle_set(plain.decompress(texts[c]).split(), settings.shingle)
+                    return sets[c]
+
+                def top(c: int) -> int:
+                    while c in up:
+                        c = up[c]
+                    return c
+
+                x, y = _columns(left), _columns(right)
+                links = []
+                for i, j, score in _alike(x, y, same, settings):
+                    order = np.argsort(-score, kind="stable")
+                    for m, n in zip(i[order].tolist(), j[order].tolist()):
+                        one, two = top(int(x[1][m])), top(int(y[1][n]))
+                        if one != two and _linked(members(int(x[0][m])), members(int(y[0][n])), settings):
+                            up[one] = two
+                            links.append((int(x[0][m]), int(y[0][n])))
+                if links:
+                    yield pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
@@ -240,23 +295,35 @@ def near_links(signed: DataFrame, classes: DataFrame, settings: NearSettings) ->
     links = staged(_confirmed(first, _texts_of(first, signed, "texts"), settings), "links")
     labels = connected_components(links)
 
-    # The other pivots of classes that stay apart from them, and what is larger than its pivots show.
     def placed(frame: DataFrame, name: str) -> DataFrame:
         known = labels.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
         return frame.join(known, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
 
-    rest = placed(placed(scored.select("a", "b"), "a"), "b").filter("c_a <> c_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    members = placed(shared.filter("size > 2").select("key", F.col("class")), "class").select("key", "class", F.col("c_class").alias("component"))
-    found = _open_pairs(members, sign, settings).unionByName(rest).distinct().join(tried, ["a", "b"], "left_anti")
-    found = staged(found, "open-pairs")
-    more = _confirmed(found, _texts_of(found, signed, "open-texts"), settings)
-    return connected_components(links.unionByName(more))
-
-
-def _open_pairs(members: DataFrame, sign: DataFrame, settings: NearSettings) -> DataFrame:
-    """Pairs that look alike and lie in one bucket but not yet in one component, found block by block."""
-    by_component = members.groupBy("key", "component").agg(F.count("*").alias("count"))
+    # Buckets of two are their pivot and one more: those pairs are scored, and tried here if they weren't the best.
+    twos = shared.filter("size = 2").select(F.explode(F.array("pivot", "other")).alias("b"), F.col("class").alias("a")).filter("a <> b").distinct()
+    rest = placed(placed(scored.select("a", "b").join(twos, ["a", "b"], "left_semi").join(first, ["a", "b"], "left_anti"), "a"), "b")
+    rest = staged(rest.filter("c_a <> c_b AND a > b").select("a", "b"), "rest-pairs")
+    more = staged(_confirmed(rest, _texts_of(rest, signed, "rest-texts"), settings), "rest-links")
+
+    wide = shared.filter("size > 2").select("key", "class")
+    members = placed(wide, "class").select("key", "class", F.col("c_class").alias("component"))
+    pairs = _block_pairs(members.join(sign, "class"), ["n", "signature"], settings)
+    opened = staged(pairs.mapInPandas(_open_members(settings), "key long, class long").distinct(), "open-members")
+    texts = signed.select(F.col("row").alias("class"), F.col("n_shingles").alias("n"), "signature", "pressed")
+    texts = staged(texts.join(opened.select("class").distinct(), "class", "left_semi"), "open-texts")
+    again = placed(opened, "class").select("key", "class", F.col("c_class").alias("component"))
+    pairs = _block_pairs(again.join(texts, "class"), ["n", "signature", "pressed"], settings)
+    found = staged(pairs.mapInPandas(_block_links(settings), "a long, b long"), "open-links")
+    return connected_components(links.unionByName(more).unionByName(found))
+
+
+def _block_pairs(members: DataFrame, columns: list[str], settings: NearSettings) -> DataFrame:
+    """key, same, left, right: pairs of blocks of a bucket that hold more than one component.
+
+    A component with a whole block of members in the bucket has blocks of its
+    own; the others share blocks. Blocks of one component aren't paired.
+    """
+    by_component = staged(members.groupBy("key", "component").agg(F.count("*").alias("count")), "bucket-components")
     small = F.when(F.col("count") < settings.block, F.col("count"))
     parts = by_component.groupBy("key").agg(F.count("*").alias("components"), F.sum(small).alias("loose")).filter("components > 1")
     pure = F.col("count") >= settings.block
@@ -264,18 +331,16 @@ def _open_pairs(members: DataFrame, sign: DataFrame, settings: NearSettings) ->
     opened = staged(by_component.join(parts, "key").select("key", "component", pure.alias("pure"), pieces.alias("pieces")), "open-buckets")
     blocks = (
         members.join(opened, ["key", "component"])
-        .join(sign, "class")
         .withColumn("block", F.pmod(F.xxhash64("class", F.lit(11)), F.col("pieces")))
         .withColumn("owner", F.when(F.col("pure"), F.col("component")))
         .groupBy("key", "owner", "block")
-        .agg(F.collect_list(F.struct("class", "component", "n", "signature")).alias("members"))
+        .agg(F.collect_list(F.struct("class", "component", *columns)).alias("members"))
     )
     blocks = staged(blocks.withColumn("name", F.xxhash64("owner", "block")), "blocks")
     left = blocks.select("key", F.col("owner").alias("owner_l"), F.col("name").alias("l"), F.col("members").alias("left"))
     right = blocks.select("key", F.col("owner").alias("owner_r"), F.col("name").alias("r"), F.col("members").alias("right"))
     apart = F.col("owner_l").isNull() | F.col("owner_r").isNull() | (F.col("owner_l") != F.col("owner_r"))
-    pairs = left.join(right, "key").filter((F.col("l") <= F.col("r")) & apart).select("left", "right")
-    return pairs.mapInPandas(_block_pairs(settings), "a long, b long")
+    return left.join(right, "key").filter((F.col("l") <= F.col("r")) & apart).select("key", (F.col("l") == F.col("r")).alias("same"), "left", "right")
 
 
 def near_duplicates(documents: DataFrame, settings: NearSettings | None = None) -> DataFrame:
