@@ -77,7 +77,7 @@ _WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class LicenseSettings:
     """``percent`` of a template's words must be matched; ``band`` is how far an
-    alignment may stray from its diagonal."""
+    alignment may stray from its diagonal, a quarter of the template at most."""
 
     gram: int = 3
     window: int = 2
@@ -157,17 +157,18 @@ def matches(text: str | None, index, texts, settings: LicenseSettings) -> list[t
             diagonals[name].append(at - place)
     found = []
     for name, hits in diagonals.items():
-        template, done = texts[name], -1
+        template, done = texts[name], -1 - len(texts[name])
+        band = min(settings.band, len(template) // 4)
         for diagonal in sorted(hits):
             if diagonal <= done:
                 continue
-            low = max(0, diagonal - settings.band)
-            part = words[low : diagonal + len(template) + settings.band + 1]
-            matched, first, last = aligned(template, part, diagonal - low, settings.band)
-            done = diagonal + settings.band // 2
+            low = max(0, diagonal - band)
+            part = words[low : diagonal + len(template) + band + 1]
+            matched, first, last = aligned(template, part, diagonal - low, band)
+            done = diagonal + band // 2
             if 100 * matched >= settings.percent * len(template):
                 found.append((name, matched, len(template), placed[low + first][1], placed[low + last][2]))
-                done = max(done, low + last - len(template) + settings.band)
+                done = max(done, low + last - len(template) + band)
     unique = {(f[0], f[3], f[4]): f for f in found}
     return sorted(unique.values(), key=lambda f: (f[3], f[0]))
 
