@@ -64,7 +64,7 @@ def registry_date(text: Column) -> Column:
     Each shape is checked by pattern before it is parsed, so a lenient parser
     never gets to guess; every other shape is null.
     """
-    cleaned = F.regexp_replace(F.trim(text), r"\s+", " ")
+    cleaned = F.trim(F.regexp_replace(text, r"\s+", " "))
     attempts = [
         F.when(cleaned.rlike(shape), F.try_to_timestamp(cleaned, F.lit(pattern)).cast("date"))
         for shape, pattern in _DATE_SHAPES

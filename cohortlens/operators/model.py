@@ -73,10 +73,16 @@ def fit(train: DataFrame, settings: Boosting = Boosting()) -> PipelineModel:
         rows.unpersist()
 
 
+FIT_PARTITIONS = 32
+
+
 def _spread(rows: DataFrame) -> DataFrame:
-    """Staged rows over all cores: trees grow in many short passes over them."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """Rows dealt by their key into a fixed number of partitions.
+
+    The learner draws rows by partition, so the trees must not depend on the
+    number of cores or files.
+    """
+    return rows.repartition(FIT_PARTITIONS, "nct_id")
 
 
 def probability(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def score_holdout(model: PipelineModel, test: DataFrame) -> DataFrame:
 
 def train_model(trials: DataFrame, settings: Boosting = Boosting(), version: str = "v1") -> Training:
     """Select, split, fit and evaluate; the hold-out rows come back scored."""
-    rows = splits.training_set(trials)
+    rows = staged(splits.training_set(trials), "training-set")  # read twice by the split
     rows = staged(splits.stratified_split(rows, seed=settings.seed), "training-rows")
     splits.require_rows(rows)
     train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")

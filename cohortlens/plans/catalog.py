@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens import constants as C
 from cohortlens.constants import FEATURE_COLUMNS
 from cohortlens.operators import (
     charts, evaluation, history, model, predicates, search, splits, statistics, upsert,
@@ -283,11 +284,8 @@ def raw_documents(spark, d):
 def quarantine(spark, d):
     """Damaged studies set apart from good ones, by the id in their text."""
     parsed = parse_studies(X.damaged_studies(spark, d))
-    good, bad = split_studies(parsed)
     number = F.regexp_extract("raw_json", r'"nctId":"(NCT\d+)"', 1).alias("nct_id")
-    return good.select(number, F.lit("read").alias("state")).unionByName(
-        bad.select(number, F.lit("quarantined").alias("state"))
-    )
+    return parsed.select(number, F.when(F.col("readable"), "read").otherwise("quarantined").alias("state"))
 
 
 @query
@@ -529,6 +527,13 @@ def accuracy_by_area(spark, d):
 
 @query
 def benchmark_summary(spark, d):
+    rows = evaluation.benchmark_rows(X.predictions(spark, d), "v1")
+    return rounded(evaluation.benchmark_summary(rows))
+
+
+@query
+def benchmark_first_rows(spark, d):
+    """The limited form: the first 500 predictions in key order."""
     rows = evaluation.benchmark_rows(X.predictions(spark, d), "v1", limit=500)
     return rounded(evaluation.benchmark_summary(rows))
 
@@ -658,6 +663,11 @@ def _stream_log(spark: SparkSession, d: str) -> DataFrame:
     return monitor.with_lateness(events.withColumn("service", F.col("event_type")), "1 hour")
 
 
+def _batch_log(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.schema(X.TABLES["events"]).parquet(f"{d.rstrip('/')}/events.parquet")
+    return events.withColumns({"service": F.col("event_type"), "ts": F.col("ts").cast("timestamp")})
+
+
 def _drain(frame: DataFrame, folder: str) -> DataFrame:
     """Run a closing-window stream to the end of its input into a table."""
     spark = frame.sparkSession
@@ -674,18 +684,22 @@ def _drain(frame: DataFrame, folder: str) -> DataFrame:
 
 @query
 def stream_alarms(spark, d):
-    """The alarm rule on the event stream, for the runs that closed."""
+    """The alarm rule on the event stream, and on the periods open at its end."""
     errors = _stream_log(spark, d).filter(F.col("service") == "error")
     alarms = monitor.error_alarms(errors, DAY, threshold=65)
     found = _drain(alarms, shared_folder(spark, "stream-alarms"))
+    recent, mark = monitor.open_log(_batch_log(spark, d).filter(F.col("service") == "error"), "1 hour", DAY, C.ALARM_PERIODS - 1)
+    found = found.unionByName(monitor.still_open(monitor.error_alarms(recent, DAY, threshold=65), mark, DAY))
     return found.withColumn("period_start", F.to_date("period_start"))
 
 
 @query
 def stream_over_limit(spark, d):
-    """Clients over their limit on the event stream, for the periods that closed."""
+    """Clients over their limit on the event stream, and in the periods open at its end."""
     over = monitor.over_limit(_stream_log(spark, d), DAY, most=5)
     found = _drain(over, shared_folder(spark, "stream-over-limit"))
+    recent, mark = monitor.open_log(_batch_log(spark, d), "1 hour", DAY)
+    found = found.unionByName(monitor.still_open(monitor.over_limit(recent, DAY, most=5), mark, DAY))
     return found.withColumn("period_start", F.to_date("period_start"))
 
 

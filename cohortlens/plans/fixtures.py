@@ -162,7 +162,7 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
         df = df.join(folded.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
 
     stage = {
-        "nct_id": F.expr("concat('NCT', lpad(cast(o_orderkey as string), 8, '0'))"),
+        "nct_id": F.expr("concat('NCT', format_string('%08d', o_orderkey))"),
         "overall_status": F.expr(
             """CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED'
                     WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'RECRUITING'
@@ -243,7 +243,7 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
 
 
 def _trial_number() -> Column:
-    return F.substring("nct_id", 4, 8).cast("long")
+    return F.expr("substring(nct_id, 4)").cast("long")
 
 
 def raw_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,7 +373,7 @@ def incoming_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("outcome_success", labels.outcome_success(F.col("overall_status")))
     new = stored.withColumns(
         {
-            "nct_id": F.concat(F.lit("NCT9"), F.substring("nct_id", 4, 8)),
+            "nct_id": F.concat(F.lit("NCT9"), F.expr("substring(nct_id, 4)")),
             "revision": F.lit(1),
         }
     )

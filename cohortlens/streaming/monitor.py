@@ -7,7 +7,7 @@ appear as their periods close.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens import constants as C
@@ -72,6 +72,22 @@ def over_limit(
     )
 
 
+def open_log(log: DataFrame, delay: str, period_seconds: int, earlier: int = 0) -> tuple[DataFrame, Column]:
+    """(rows of the periods a stream left open and ``earlier`` ones before, watermark).
+
+    A stream over ``log`` has given out every period that ends at or before the
+    latest time less ``delay``.
+    """
+    mark = F.lit(log.agg((F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("mark")).first()["mark"]).cast("timestamp")
+    start = F.timestamp_seconds((F.floor(F.unix_seconds(mark) / period_seconds) - earlier) * period_seconds)
+    return log.filter(F.col("ts") >= start), mark
+
+
+def still_open(rows: DataFrame, mark: Column, period_seconds: int) -> DataFrame:
+    """Rows of periods that end after the watermark."""
+    return rows.filter(F.col("period_start") + F.expr(f"INTERVAL {int(period_seconds)} SECONDS") > mark)
+
+
 def request_series(log: DataFrame, period_seconds: int = 60) -> DataFrame:
     """Requests and mean value per service and period."""
     return (
