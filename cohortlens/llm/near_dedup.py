@@ -42,7 +42,10 @@ class NearSettings:
     With 32 bands of 5 a pair at 0.8 shares a bucket with a probability of
     1 - 3e-6. ``slack`` is what the estimate may fall short of the threshold
     before a pair is passed over: four and a half standard deviations of 160
-    minima of two bits. ``block`` bounds the members compared in one task at a time.
+    minima of two bits. ``block`` bounds the members compared in one task at a
+    time. Lists of class ids that pick
+    rows of the staged signatures are broadcast up to ``broadcast_ids`` of them
+    (some 16 bytes each), by count, and joined by a shuffle beyond.
     """
 
     shingle: int = 2
@@ -51,6 +54,7 @@ class NearSettings:
     rows: int = 5
     slack: float = 0.17
     block: int = 256
+    broadcast_ids: int = 1_000_000
     seed: int = 20240501
 
     @property
@@ -263,15 +267,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: NearSettings) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(settings), "a long, b long")
 
 
-def _texts_of(pairs: DataFrame, signed: DataFrame, purpose: str) -> DataFrame:
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    return staged(signed.select(F.col("row").alias("class"), "pressed").join(needed, "class", "left_semi"), purpose)
+def _picked(rows: DataFrame, ids: DataFrame, settings: NearSettings) -> DataFrame:
+    """Rows whose ``class`` is one of ``ids`` (a staged list)."""
+    return rows.join(F.broadcast(ids) if ids.count() <= settings.broadcast_ids else ids, "class", "left_semi")
+
+
+def _texts_of(pairs: DataFrame, signed: DataFrame, purpose: str, settings: NearSettings) -> DataFrame:
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), f"{purpose}-ids")
+    return staged(_picked(signed.select(F.col("row").alias("class"), "pressed"), needed, settings), purpose)
 
 
 def near_links(signed: DataFrame, classes: DataFrame, settings: NearSettings) -> DataFrame:
     """(node, component) of the classes with a link, from staged signatures."""
-    chosen = signed.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
-    members = chosen.select(F.col("row").alias("class"), F.explode("bands").alias("key"))
+    chosen = _picked(signed.select(F.col("row").alias("class"), "bands"), classes.select("class"), settings)
+    members = chosen.select("class", F.explode("bands").alias("key"))
     buckets = (
         members.groupBy("key")
         .agg(F.count("*").alias("size"), F.min("class").alias("pivot"), F.min_by("class", F.xxhash64("class", F.lit(7))).alias("other"))
@@ -292,7 +301,7 @@ def near_links(signed: DataFrame, classes: DataFrame, settings: NearSettings) ->
     ranked = F.sort_array(F.collect_list(F.struct("score", "b")), asc=False)
     best = scored.groupBy("a").agg(F.slice(ranked, 1, 2).alias("best"))
     first = staged(best.select("a", F.explode("best.b").alias("b")), "first-pairs")
-    links = staged(_confirmed(first, _texts_of(first, signed, "texts"), settings), "links")
+    links = staged(_confirmed(first, _texts_of(first, signed, "texts", settings), settings), "links")
     labels = connected_components(links)
 
     def placed(frame: DataFrame, name: str) -> DataFrame:
@@ -303,14 +312,14 @@ def near_links(signed: DataFrame, classes: DataFrame, settings: NearSettings) ->
     twos = shared.filter("size = 2").select(F.explode(F.array("pivot", "other")).alias("b"), F.col("class").alias("a")).filter("a <> b").distinct()
     rest = placed(placed(scored.select("a", "b").join(twos, ["a", "b"], "left_semi").join(first, ["a", "b"], "left_anti"), "a"), "b")
     rest = staged(rest.filter("c_a <> c_b AND a > b").select("a", "b"), "rest-pairs")
-    more = staged(_confirmed(rest, _texts_of(rest, signed, "rest-texts"), settings), "rest-links")
+    more = staged(_confirmed(rest, _texts_of(rest, signed, "rest-texts", settings), settings), "rest-links")
 
     wide = shared.filter("size > 2").select("key", "class")
     members = placed(wide, "class").select("key", "class", F.col("c_class").alias("component"))
     pairs = _block_pairs(members.join(sign, "class"), ["n", "signature"], settings)
     opened = staged(pairs.mapInPandas(_open_members(settings), "key long, class long").distinct(), "open-members")
     texts = signed.select(F.col("row").alias("class"), F.col("n_shingles").alias("n"), "signature", "pressed")
-    texts = staged(texts.join(opened.select("class").distinct(), "class", "left_semi"), "open-texts")
+    texts = staged(_picked(texts, staged(opened.select("class").distinct(), "open-ids"), settings), "open-texts")
     again = placed(opened, "class").select("key", "class", F.col("c_class").alias("component"))
     pairs = _block_pairs(again.join(texts, "class"), ["n", "signature", "pressed"], settings)
     found = staged(pairs.mapInPandas(_block_links(settings), "a long, b long"), "open-links")
