@@ -332,7 +332,7 @@ def _synthetic() -> str:
       array_to_string(list_transform(list_sort([{countries}]), lambda x: x.n)[1:{_between(1, 3, "countries")}], '|') AS countries,
       [65, 75, 99][1 + floor({_draw("max_age")} * 3)::INT] AS eligibility_max_age
     FROM customer)
-    SELECT nct_id, 'A Study of Drug X in ' || therapeutic_area || ' - ' || phase || ' (' || c_custkey || ')' AS title,
+    SELECT nct_id, 'Trial ' || c_custkey || ', ' || phase || ': ' || therapeutic_area AS title,
       overall_status, phase, therapeutic_area, intervention_types, sponsor_name,
       {_case("sponsor_name", _quoted(S.SPONSORS))} AS sponsor_class, enrollment, number_of_arms,
       start_date, start_date + duration_days AS completion_date, duration_days,
