@@ -10,10 +10,11 @@ confirmed on the full shingle sets.
 Large buckets are never expanded into pairs. First every class is compared with
 one or two pivots of each of its buckets, a number of comparisons in proportion
 to the classes, and what is confirmed is merged. Only buckets that still hold
-more than one component are then searched block by block, first by signatures
-for the members that may have a link to another component, then those members on
-their full sets. A block whose members already belong together isn't compared
-with its like, and what comes out are links that merge components, no pairs.
+more than one component are then searched block by block: by signatures for
+members that look like one of another component, which come out as a forest, no
+pairs; then each group of look-alikes on full sets. A block whose members
+already belong together isn't compared with its like, and what comes out are
+links that merge components.
 """
 
 from __future__ import annotations
@@ -43,9 +44,10 @@ class NearSettings:
     1 - 3e-6. ``slack`` is what the estimate may fall short of the threshold
     before a pair is passed over: four and a half standard deviations of 160
     minima of two bits. ``block`` bounds the members compared in one task at a
-    time. Lists of class ids that pick
-    rows of the staged signatures are broadcast up to ``broadcast_ids`` of them
-    (some 16 bytes each), by count, and joined by a shuffle beyond.
+    time, ``left_blocks`` the blocks of one key that a task compares with the
+    others of that key. Lists of class ids that pick rows of the staged
+    signatures are broadcast up to ``broadcast_ids`` of them (some 16 bytes
+    each), by count, and joined by a shuffle beyond.
     """
 
     shingle: int = 2
@@ -54,6 +56,7 @@ class NearSettings:
     rows: int = 5
     slack: float = 0.17
     block: int = 256
+    left_blocks: int = 8
     broadcast_ids: int = 1_000_000
     seed: int = 20240501
 
@@ -201,17 +204,36 @@ def _alike(left, right, same: bool, settings: NearSettings) -> Iterator[tuple[np
         yield i[close] + at, j[close], score[close]
 
 
+def _forest(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest place reachable from each of ``count`` places over edges i-j."""
+    label = np.arange(count)
+    while True:
+        low = np.minimum(label[i], label[j])
+        step = label.copy()
+        np.minimum.at(step, i, low)
+        np.minimum.at(step, j, low)
+        step = step[step]
+        if (step == label).all():
+            return label
+        label = step
+
+
 def _open_members(settings: NearSettings):
+    """Look-alikes of two blocks, as a forest: fewer rows than members, however many pairs look alike."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, same, left, right in zip(batch["key"], batch["same"], batch["left"], batch["right"]):
+            for same, left, right in zip(batch["same"], batch["left"], batch["right"]):
                 left, right = _columns(left), _columns(right)
-                hit = [np.zeros(len(left[0]), bool), np.zeros(len(right[0]), bool)]
+                classes, places = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
+                label = np.arange(len(classes))
                 for i, j, _ in _alike(left, right, same, settings):
-                    hit[0][i], hit[1][j] = True, True
-                found = np.union1d(left[0][hit[0]], right[0][hit[1]])
-                if len(found):
-                    yield pd.DataFrame({"key": key, "class": found})
+                    # Merge with what is known: both ends by the root they already have.
+                    ends = label[places[i]], label[places[len(left[0]) + j]]
+                    label = _forest(len(classes), *ends)[label]
+                found = label != np.arange(len(classes))
+                if found.any():
+                    yield pd.DataFrame({"a": classes[found], "b": classes[label[found]]})
 
     return run
 
@@ -317,7 +339,9 @@ def near_links(signed: DataFrame, classes: DataFrame, settings: NearSettings) ->
     wide = shared.filter("size > 2").select("key", "class")
     members = placed(wide, "class").select("key", "class", F.col("c_class").alias("component"))
     pairs = _block_pairs(members.join(sign, "class"), ["n", "signature"], settings)
-    opened = staged(pairs.mapInPandas(_open_members(settings), "key long, class long").distinct(), "open-members")
+    alike = staged(pairs.mapInPandas(_open_members(settings), "a long, b long").distinct(), "look-alikes")
+    # A class lies in one group of look-alikes, but in up to 32 open buckets: its text travels once.
+    opened = connected_components(alike).select(F.col("component").alias("key"), F.col("node").alias("class"))
     texts = signed.select(F.col("row").alias("class"), F.col("n_shingles").alias("n"), "signature", "pressed")
     texts = staged(_picked(texts, staged(opened.select("class").distinct(), "open-ids"), settings), "open-texts")
     again = placed(opened, "class").select("key", "class", F.col("c_class").alias("component"))
@@ -346,10 +370,14 @@ def _block_pairs(members: DataFrame, columns: list[str], settings: NearSettings)
         .agg(F.collect_list(F.struct("class", "component", *columns)).alias("members"))
     )
     blocks = staged(blocks.withColumn("name", F.xxhash64("owner", "block")), "blocks")
-    left = blocks.select("key", F.col("owner").alias("owner_l"), F.col("name").alias("l"), F.col("members").alias("left"))
-    right = blocks.select("key", F.col("owner").alias("owner_r"), F.col("name").alias("r"), F.col("members").alias("right"))
+    # A key with many blocks is dealt over tasks: each takes some left blocks and all right ones.
+    salts = F.ceil(F.count("*") / settings.left_blocks).cast("int")
+    hot = staged(blocks.groupBy("key").agg(salts.alias("salts")).filter("salts > 1"), "hot-keys")
+    blocks = blocks.join(hot, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = blocks.select("key", F.col("owner").alias("owner_l"), F.col("name").alias("l"), F.col("members").alias("left"), F.expr("CAST(pmod(name, salts) AS INT)").alias("salt"))
+    right = blocks.select("key", F.col("owner").alias("owner_r"), F.col("name").alias("r"), F.col("members").alias("right"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     apart = F.col("owner_l").isNull() | F.col("owner_r").isNull() | (F.col("owner_l") != F.col("owner_r"))
-    return left.join(right, "key").filter((F.col("l") <= F.col("r")) & apart).select("key", (F.col("l") == F.col("r")).alias("same"), "left", "right")
+    return left.join(right, ["key", "salt"]).filter((F.col("l") <= F.col("r")) & apart).select("key", (F.col("l") == F.col("r")).alias("same"), "left", "right")
 
 
 def near_duplicates(documents: DataFrame, settings: NearSettings | None = None) -> DataFrame:
