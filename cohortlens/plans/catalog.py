@@ -22,7 +22,7 @@ from cohortlens.sources import artifacts, tables
 from cohortlens.sources.studies import open_pages, parse_studies, split_studies
 from cohortlens.sources.synthetic import generate_trials
 from cohortlens.streaming import monitor
-from cohortlens.streaming.ingest import current_trials, ingest_stream, read_changes
+from cohortlens.streaming.ingest import compact, current_trials, ingest_stream, read_changes, table_now
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -624,6 +624,14 @@ def over_limit(spark, d):
     )
 
 
+@query
+def chat_over_limit(spark, d):
+    """The chat limit as a second audit, over periods of 15 days."""
+    return monitor.over_limit(X.request_log(spark, d), 15 * DAY, C.CHAT_REQUEST_LIMIT).withColumn(
+        "period_start", F.to_date("period_start")
+    )
+
+
 @query
 def request_series(spark, d):
     series = monitor.request_series(X.request_log(spark, d), DAY)
@@ -656,6 +664,27 @@ def stream_ingest(spark, d):
     )
 
 
+@query
+def snapshot_and_changes(spark, d):
+    """Pages landed in two parts, the first compacted; the snapshot read with the changes after it."""
+    folder = shared_folder(spark, "stream-compact")
+    pages = X.study_pages(spark, d).select("page", (F.pmod(F.xxhash64("page"), F.lit(2)) == 0).alias("early"))
+    for part in ("early", "NOT early"):
+        pages.filter(part).select("page").write.mode("append").text(f"{folder}/pages")
+        _finish(
+            ingest_stream(
+                spark, f"{folder}/pages", f"{folder}/changes", f"{folder}/checkpoint",
+                one_page_per_file=False,
+            )
+        )
+        if part == "early":
+            compact(spark, None, f"{folder}/changes", 0, f"{folder}/snapshot")
+    return table_now(spark, f"{folder}/snapshot", f"{folder}/changes").select(
+        "nct_id", "overall_status", "therapeutic_area", "enrollment", "start_date",
+        "duration_days", "outcome_success",
+    )
+
+
 def _stream_log(spark: SparkSession, d: str) -> DataFrame:
     # as a pattern, the path may be one file as well as a folder of files
     path = f"{d.rstrip('/')}/{{events.parquet}}"

@@ -587,6 +587,10 @@ ORACLE: dict[str, str] = {
     "over_limit": """
         SELECT user_id, CAST(ts AS DATE) AS period_start, count(*) AS requests FROM events
         GROUP BY 1, 2 HAVING count(*) > 5""",
+    "chat_over_limit": """
+        SELECT user_id, CAST(make_timestamp(CAST(floor(epoch(ts) / 1296000) AS BIGINT) * 1296000000000) AS DATE)
+                   AS period_start, count(*) AS requests FROM events
+        GROUP BY 1, 2 HAVING count(*) > 30""",
     "request_series": """
         SELECT event_type AS service, CAST(ts AS DATE) AS period_start, count(*) AS requests,
                round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""",
@@ -594,6 +598,10 @@ ORACLE: dict[str, str] = {
         f"SELECT nct_id, overall_status, therapeutic_area, enrollment, n.start_date, n.duration_days,"
         f" outcome_success FROM trials JOIN ({NORMALISED_DATES}) n USING (nct_id)"
     ),
+    "snapshot_and_changes": _t(
+        f"SELECT nct_id, overall_status, therapeutic_area, enrollment, n.start_date, n.duration_days,"
+        f" outcome_success FROM trials JOIN ({NORMALISED_DATES}) n USING (nct_id)"
+    ),
     "stream_alarms": """
         WITH c AS (SELECT event_type AS service, CAST(ts AS DATE) AS day, count(*) AS errors FROM events
                    WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) > 65)

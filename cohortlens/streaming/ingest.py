@@ -3,7 +3,11 @@
 Each micro-batch writes its normalised studies to its own partition of a change
 log, so a repeated batch replaces itself and the cost of a batch follows its
 size, not that of the table. The current table is the last change per trial;
-:func:`compact` folds the log into a new snapshot when it has grown long.
+:func:`compact` folds the changes since the last snapshot into a new one, and
+:func:`table_now` reads a snapshot with the changes after it.
+
+Copies of a study are ordered by run, batch, page file, position in the page
+and, where pages share a file and all these are equal, by a hash of the text.
 """
 
 from __future__ import annotations
@@ -12,27 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.normalize import normalise
-from cohortlens.operators.upsert import latest_per_key
+from cohortlens.operators.upsert import latest_per_key, upsert
 from cohortlens.schemas import NORMALISED_COLUMNS, TRIALS_DDL
 from cohortlens.sources.studies import open_pages, parse_studies
-from cohortlens.sources.tables import Ingested, upsert_trials
+from cohortlens.sources.tables import Ingested, read_trials, upsert_trials
 
 CHANGES_DDL = (
-    f"{TRIALS_DDL}, page_file string, position int, batch_id long, state string"
+    f"{TRIALS_DDL}, page_file string, position int, text_hash long, run int, batch_id long, state string"
 )
-ORDER = ("batch_id", "page_file", "position")
+ORDER = ("run", "batch_id", "page_file", "position", "text_hash")
 
 
-def _write_batch(pages: DataFrame, batch_id: int, changes: str) -> None:
+def _write_batch(pages: DataFrame, batch_id: int, changes: str, run: int = 0) -> None:
     """One pass over the pages; what cannot be read goes to partitions of its own."""
     (
         normalise(parse_studies(open_pages(pages)), keep=("page_file", "position", "readable"))
         .withColumn("state", F.when(F.col("readable"), "read").otherwise("quarantined"))
+        .withColumn("text_hash", F.xxhash64("raw_json"))
+        .withColumn("run", F.lit(run).cast("int"))
         .withColumn("batch_id", F.lit(batch_id).cast("long"))
         .drop("readable")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "state")
+        .partitionBy("run", "batch_id", "state")
         .parquet(changes)
     )
 
@@ -43,9 +49,15 @@ def ingest_stream(
     changes: str,
     checkpoint: str,
     one_page_per_file: bool = True,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = 1000,
+    run: int = 0,
 ):
-    """Start a run over all page files not yet read, and stop when they are done."""
+    """Start a run over all page files not yet read, and stop when they are done.
+
+    A micro-batch takes ``files_per_batch`` files, whatever is waiting. Batches
+    are numbered by the checkpoint: with a new checkpoint on a log that exists,
+    give a larger ``run``, or its batches replace those of the same number.
+    """
     reader = spark.readStream.format("text").option("wholetext", one_page_per_file)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -55,13 +67,13 @@ def ingest_stream(
     return (
         pages.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda rows, batch_id: _write_batch(rows, batch_id, changes))
+        .foreachBatch(lambda rows, batch_id: _write_batch(rows, batch_id, changes, run))
         .start()
     )
 
 
 def read_changes(spark: SparkSession, changes: str) -> DataFrame:
-    """The change log; batch and state are folders, so filters on them skip files."""
+    """The change log; run, batch and state are folders, so filters on them skip files."""
     rows = spark.read.schema(CHANGES_DDL).parquet(changes)
     return rows.select(*ORDER, "state", *NORMALISED_COLUMNS)
 
@@ -77,10 +89,45 @@ def quarantine(changes: DataFrame) -> DataFrame:
     return changes.filter("state = 'quarantined'").select("batch_id", "page_file", "position", "raw_json")
 
 
+def _folded(snapshot: str) -> str:
+    return f"{snapshot.rstrip('/')}.folded"
+
+
+def _up_to(run: int, batch: int):
+    return (F.col("run") < run) | ((F.col("run") == run) & (F.col("batch_id") <= batch))
+
+
+def later_changes(spark: SparkSession, snapshot: str | None, changes: str) -> DataFrame:
+    """The log without what ``snapshot`` already holds; its folders aren't read.
+
+    ``snapshot`` is one that :func:`compact` wrote; without one, the whole log.
+    """
+    rows = read_changes(spark, changes)
+    if snapshot is None:
+        return rows
+    mark = spark.read.parquet(_folded(snapshot)).first()
+    return rows.filter(~_up_to(mark["run"], mark["batch_id"]))
+
+
+def table_now(spark: SparkSession, snapshot: str, changes: str) -> DataFrame:
+    """The table as it stands: a snapshot and the changes after it.
+
+    Rows that came or changed since the snapshot carry the time of this reading.
+    """
+    now = F.current_timestamp()
+    later = current_trials(later_changes(spark, snapshot, changes))
+    return upsert(read_trials(spark, snapshot), later, stamps={"ingested_at": now, "updated_at": now})
+
+
 def compact(
-    spark: SparkSession, snapshot: str | None, changes: str, through_batch: int, new_snapshot: str
+    spark: SparkSession, snapshot: str | None, changes: str, through_batch: int, new_snapshot: str, run: int = 0
 ) -> Ingested:
-    """Fold the changes up to a batch into a new snapshot of the table."""
-    rows = read_changes(spark, changes).filter("state = 'read'").drop("state")
-    rows = rows.filter(F.col("batch_id") <= through_batch)
-    return upsert_trials(spark, snapshot, rows, list(ORDER), new_snapshot)
+    """Fold the changes after ``snapshot`` up to a batch of a run into a new snapshot.
+
+    What it holds is noted beside it, so the next call reads later batches only.
+    """
+    rows = later_changes(spark, snapshot, changes).filter("state = 'read'").drop("state")
+    done = upsert_trials(spark, snapshot, rows.filter(_up_to(run, through_batch)), list(ORDER), new_snapshot)
+    mark = spark.range(1).select(F.lit(run).cast("int").alias("run"), F.lit(through_batch).cast("long").alias("batch_id"))
+    mark.write.mode("overwrite").parquet(_folded(new_snapshot))
+    return done

@@ -98,8 +98,13 @@ def test_ingest_stream_resumes_and_keeps_the_last_change(spark, tmp_path):
 
     done = ingest.compact(spark, None, paths[0], 0, str(tmp_path / "s1"))
     assert (done.inserted, done.updated) == (2, 0)
+    now = ingest.table_now(spark, done.snapshot, paths[0])
+    assert {r["nct_id"]: r["title"] for r in now.collect()} == run()
+    later = ingest.later_changes(spark, done.snapshot, paths[0])
+    assert {r["batch_id"] for r in later.select("batch_id").distinct().collect()} == {1}
+    assert "PartitionFilters: [" in (text := later._jdf.queryExecution().executedPlan().toString()) and "batch_id" in text.split("PartitionFilters: [")[1]
     done = ingest.compact(spark, done.snapshot, paths[0], 1, str(tmp_path / "s2"))
-    assert (done.inserted, done.updated) == (1, 2)
+    assert (done.inserted, done.updated) == (1, 1)
     table = tables.read_trials(spark, done.snapshot)
     assert {r["nct_id"]: r["title"] for r in table.collect()} == run()
 
@@ -111,3 +116,24 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     for _ in range(2):
         ingest._write_batch(rows, 5, changes)
     assert spark.read.parquet(changes).count() == 1
+
+
+def test_a_new_run_adds_to_the_log_and_wins(spark, tmp_path):
+    changes = str(tmp_path / "c")
+    for run, title in ((0, "old"), (1, "new")):
+        page = json.dumps({"studies": [study("N1", title)]})
+        rows = spark.createDataFrame([(page, "f")], "page string, page_file string")
+        ingest._write_batch(rows, 0, changes, run)
+    log = ingest.read_changes(spark, changes)
+    assert log.count() == 2
+    assert [r["title"] for r in ingest.current_trials(log).collect()] == ["new"]
+
+
+def test_copies_on_pages_of_one_file_have_one_winner(spark, tmp_path):
+    pages = [(json.dumps({"studies": [study("N1", t)]}), "f") for t in ("one", "two", "three")]
+    winners = set()
+    for n, order in enumerate((pages, pages[::-1])):
+        changes = str(tmp_path / f"c{n}")
+        ingest._write_batch(spark.createDataFrame(order, "page string, page_file string"), 0, changes)
+        winners |= {r["title"] for r in ingest.current_trials(ingest.read_changes(spark, changes)).collect()}
+    assert len(winners) == 1
