@@ -113,7 +113,16 @@ def class_report(scored: DataFrame) -> DataFrame:
     return classes.select(rows.alias("class_name", "_m")).select("class_name", "_m.*")
 
 
-_LEVELS, _BITS = 3, 12
+_LEVELS, _BITS = 4, 12
+#: A cell is a power of two, down to this one, and so many bits below it.
+_LEAST_POWER, _FINE_BITS = -1000, 37
+
+
+def _score_cell(score: Column) -> Column:
+    """A whole number that grows with a score of 0 to 1, with equal precision for large and tiny ones."""
+    power = F.greatest(F.floor(F.log2(score)), F.lit(_LEAST_POWER).cast("long"))  # of 0 the logarithm is null
+    above = F.floor((score * F.pow(F.lit(2.0), -power) - 1) * float(1 << _FINE_BITS))
+    return (power + (1 - _LEAST_POWER)) * (1 << _FINE_BITS) + above
 
 
 def auc_roc(scored: DataFrame, by: tuple[str, ...] = (), score: str = "predicted_proba") -> DataFrame:
@@ -124,15 +133,15 @@ def auc_roc(scored: DataFrame, by: tuple[str, ...] = (), score: str = "predicted
     0 to 1, form a tree of cells with 4,096 children each, and every ordered
     pair of different scores is counted once, at the node where their paths
     part. So each window runs over the children of one node, and no task ever
-    orders all scores, nor does it matter how unevenly they are spread.
+    orders all scores. Cells follow the powers of two, so scores crowded at 0
+    part as well as others do.
     """
     by = list(by)
     is_positive = F.col("actual_label")
     scores = scored.groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(is_positive).alias("_pos"), F.count_if(~is_positive).alias("_neg")
     )
-    finest = F.floor(F.col("_score") * float(1 << (_LEVELS * _BITS)))
-    scores = scores.withColumn("_cell", finest)
+    scores = scores.withColumn("_cell", _score_cell(F.col("_score")))
 
     def big(c: str) -> Column:
         return F.col(c).cast("decimal(18,0)")

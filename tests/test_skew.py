@@ -80,3 +80,10 @@ def test_hot_client(spark):
     )
     got = monitor.over_limit(rows).collect()
     assert [(r["user_id"], r["requests"]) for r in got] == [(7, N // 2)]
+
+
+def test_tiny_scores_lie_in_cells_of_their_own(spark):
+    rows = spark.range(1, 1001).select((F.col("id") * 1e-15).alias("p"))
+    cells = rows.unionAll(spark.sql("SELECT 0.0D UNION ALL SELECT 1.0D UNION ALL SELECT 5e-324D")).select("p", evaluation._score_cell(F.col("p")).alias("cell"))
+    found = [r["cell"] for r in cells.orderBy("p").collect()]
+    assert len(set(found)) >= 1002 and found == sorted(found)
