@@ -10,7 +10,8 @@ then need comparisons, table look-ups and one small matrix product, in Arrow
 batches.
 
 The tables grow with the model (trees x leaves x 2^depth), never with the data;
-at the default 300 trees of depth 6 they take about 60 MB.
+at the default 300 trees of depth 6 they take about 60 MB. Their size is worked
+out before they are built, and a model beyond ``most_bytes`` is refused.
 """
 
 from __future__ import annotations
@@ -82,7 +83,12 @@ def _tables(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return table * values[:, None, None]
 
 
-def leaf_tables(spark: SparkSession, model: PipelineModel) -> tuple[list[tuple], float]:
+TABLE_BYTES = 512 << 20
+
+
+def leaf_tables(
+    spark: SparkSession, model: PipelineModel, most_bytes: int = TABLE_BYTES
+) -> tuple[list[tuple], float]:
     """Blocks of (features, lows, highs, tables), and the mean log-odds of the model.
 
     Leaves are grouped by the number of features on their path.
@@ -96,6 +102,9 @@ def leaf_tables(spark: SparkSession, model: PipelineModel) -> tuple[list[tuple],
             base += value * np.prod([share for _, _, share in bounds.values()])
             if bounds:
                 groups[len(bounds)].append((value, list(bounds), list(bounds.values())))
+    size = sum(len(members) * 8 * k * 2**k for k, members in groups.items())
+    if size > most_bytes:
+        raise ValueError(f"the tables of this model take {size} bytes, more than {most_bytes}: fit trees of less depth")
     blocks = []
     for members in groups.values():
         for start in range(0, len(members), _LEAVES):

@@ -140,3 +140,8 @@ def test_mean_attribution_is_sorted(trained):
     rows = attribution.mean_attribution(attribution.attributions(trained.model, trained.holdout)).collect()
     values = [r["importance"] for r in rows]
     assert len(rows) == 17 and values == sorted(values, reverse=True)
+
+
+def test_tables_beyond_their_bound_are_refused(spark, trained):
+    with pytest.raises(ValueError, match="bytes"):
+        attribution.leaf_tables(spark, trained.model, most_bytes=100)
