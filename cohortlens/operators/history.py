@@ -21,7 +21,12 @@ def short_title(text: Column) -> Column:
 
 
 def conversation_summaries(messages: DataFrame) -> DataFrame:
-    """Title and message count per conversation; the first user turn names it."""
+    """Title and message count per conversation; the first user turn names it.
+
+    Messages with ``created_at`` or ``updated_at`` give the first and the last
+    of these times as well.
+    """
+    times = {"created_at": F.min, "updated_at": F.max}
     user_turn = F.when(F.col("role") == "user", F.col("turn"))
     # the title is cut before it is aggregated, so no long text is shuffled
     return (
@@ -33,6 +38,7 @@ def conversation_summaries(messages: DataFrame) -> DataFrame:
             ).alias("title"),
             F.count(F.lit(1)).alias("message_count"),
             F.max("turn").alias("last_turn"),
+            *[pick(c).alias(c) for c, pick in times.items() if c in messages.columns],
         )
     )
 

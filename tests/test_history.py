@@ -77,3 +77,13 @@ def test_tool_calls(spark):
     assert len(flat) == 4 and json.loads(flat[0]["args"]) == {"q": 1}
     usage = {r["tool"]: (r["calls"], r["conversations"]) for r in history.tool_usage(rows).collect()}
     assert usage == {"search": (2, 2), "chart": (2, 2)}
+
+
+def test_conversation_times_where_there_are_any(spark):
+    rows = spark.sql("""SELECT * FROM VALUES (1L, 0L, 'user', 'a', timestamp'2024-01-01', timestamp'2024-01-01'),
+        (1L, 1L, 'assistant', 'b', timestamp'2024-01-02', timestamp'2024-01-05'),
+        (2L, 0L, 'user', 'c', timestamp'2024-01-03', timestamp'2024-01-03')
+        AS t(conv_id, turn, role, text, created_at, updated_at)""")
+    found = history.list_conversations(rows, newest="updated_at").collect()
+    assert [(r["conv_id"], r["created_at"].day, r["updated_at"].day) for r in found] == [(1, 1, 5), (2, 3, 3)]
+    assert "created_at" not in history.list_conversations(rows.drop("created_at", "updated_at")).columns
