@@ -3,15 +3,17 @@
 A line that stands in many documents of one host is boilerplate. Lines are
 normalised and hashed where the text is read; per host and line the distinct
 documents are counted, reduced before each shuffle, so neither a hot host nor a
-hot line is gathered. Lines above the limits are taken out, and a document of
+hot line is gathered. Lines above the limit are taken out, and a document of
 which too little is left is rejected.
 
-Copies of one document must not make its own lines look like boilerplate: they
-are for near-duplicate removal, which keeps one of them. So each document
-stands for the rest of its text: what is counted for a line is the number of
-different smallest shingles in the other lines of its documents. Unrelated
-documents differ in it, exact copies agree, near copies mostly agree; a line
-counts as boilerplate only if its documents mostly differ.
+Copies of one document must not make its own lines look like boilerplate, nor
+hide it: they are for near-duplicate removal, which keeps one of them. So the
+count takes two passes. The first finds the lines that stand in enough
+different texts. In the second a document counts by what is its own, the lines
+that are neither such a line nor a small edit of one: the smallest shingle of
+these lines. Copies agree in it, edited copies mostly; different documents
+differ, however much boilerplate stands around them. A document without lines
+of its own counts by its other frequent lines.
 """
 
 from __future__ import annotations
@@ -31,17 +33,18 @@ from cohortlens.session import staged
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
+#: Smallest three-word shingles kept of a line, to know small edits of it.
+SKETCH = 8
+
 
 @dataclass(frozen=True)
 class LineSettings:
     """A line is removed from a host's documents when more than ``max_documents``
-    different documents of the host hold it and these make at least
-    ``min_differing`` percent of all that hold it. A document is rejected when
+    different documents of the host hold it. A document is rejected when
     fewer than ``min_words`` words or ``min_left`` percent of its words are left.
     """
 
     max_documents: int = 10
-    min_differing: int = 50
     min_words: int = 10
     min_left: int = 30
 
@@ -79,7 +82,7 @@ def _measures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             symbols = len(data) - len(data.translate(None, SYMBOLS))
             seen: set[bytes] = set()
             repeated = 0
-            lines: dict[int, list[int]] = {}  # key -> words in it, smallest shingle
+            lines: dict[int, dict] = {}
             salt = xxhash.xxh64_intdigest(b"" if host is None else b"h" + host.encode("utf-8", "surrogatepass"))
             for line in data.split(b"\n"):
                 parts = line.split()
@@ -90,17 +93,16 @@ def _measures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 low = normal_line(line)
                 key = _signed(xxhash.xxh64_intdigest(low, seed=salt))
                 if key in lines:
-                    lines[key][0] += len(parts)
-                else:
-                    hashes = word_hashes(low.split())
-                    lines[key] = [len(parts), _signed(int(window_hashes(hashes, min(3, len(hashes))).min()))]
-            least = sorted({v[1] for v in lines.values()})[:2]
-            packed = []
-            for key, (count, own) in lines.items():
-                rest = [x for x in least if x != own]
-                packed.append({"line": key, "words": count, "rest": rest[0] if rest else None})
-            rows.append((len(raw), chars, symbols, repeated, repeated_words(word_hashes(raw)), packed))
-        out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+                    lines[key]["words"] += len(parts)
+                    continue
+                hashes = word_hashes(low.split())
+                least = int(window_hashes(hashes, min(WINDOW, len(hashes))).min())
+                sketch = np.unique(window_hashes(hashes, min(3, len(hashes))))[:SKETCH] ^ np.uint64(salt)
+                lines[key] = {"line": key, "words": len(parts), "least": _signed(least), "sketch": sketch.view(np.int64)}
+            packed = list(lines.values())
+            whole = _signed(xxhash.xxh64_intdigest(np.sort(np.fromiter(lines, np.int64, len(lines))).tobytes()))
+            rows.append((len(raw), chars, symbols, repeated, repeated_words(word_hashes(raw)), whole, packed))
+        out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "whole", "lines"])
         for at, name in enumerate(("row", "doc_id")):
             out.insert(at, name, batch[name])
         yield out
@@ -110,7 +112,7 @@ def measured(rows: DataFrame) -> DataFrame:
     """Staged per row (row, doc_id, text, host): its counts, and its lines with their keys."""
     layout = (
         "row long, doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "lines array<struct<line: long, words: int, rest: long>>"
+        "whole long, lines array<struct<line: long, words: int, least: long, sketch: array<long>>>"
     )
     strings = rows.select("row", *[F.col(c).cast("string").alias(c) for c in ("doc_id", "text", "host")])
     return staged(strings.mapInPandas(_measures, layout).withColumn("doc_id", F.col("doc_id").cast("long")), "line-measures")
@@ -121,18 +123,37 @@ def base_failed() -> Column:
 
 
 def frequent_lines(measures: DataFrame, settings: LineSettings) -> DataFrame:
-    """Keys of the lines above the limits, with their counts.
+    """Keys of the lines above the limit, with the different documents that hold them.
 
-    A key holds the host as well, so it stands for a line of one host.
+    A key holds the host as well, so it stands for a line of one host; so does
+    a shingle of a sketch.
     """
-    lines = measures.select(F.explode("lines").alias("l")).select("l.line", "l.rest")
-    by_rest = lines.groupBy("line", "rest").agg(F.count("*").alias("documents"))
-    counts = by_rest.groupBy("line").agg(
-        F.sum("documents").alias("documents"), F.count("rest").alias("differing")
+    lines = measures.select("row", "whole", F.explode("lines").alias("l")).select("row", "whole", "l.*")
+    texts = lines.groupBy("line", "whole").agg(F.first("sketch").alias("sketch"))
+    often = texts.groupBy("line").agg(F.count("*").alias("texts"), F.first("sketch").alias("sketch"))
+    common = staged(often.filter(F.col("texts") > settings.max_documents).select("line", "sketch"), "common-lines")
+    known = common.select("line", F.lit(True).alias("common"))
+    held = lines.join(common.select("line"), "line", "left_semi").select("row").distinct()
+    marked = staged(lines.join(held, "row", "left_semi").join(known, "line", "left").drop("whole"), "marked-lines")
+    # a line of which half the sketch stands in common lines is an edit of them
+    parts = common.select(F.explode("sketch").alias("part")).distinct()
+    others = marked.filter("common IS NULL").select("row", "line", F.explode("sketch").alias("part"))
+    edits = others.join(parts, "part").groupBy("row", "line").agg(F.count("*").alias("n_parts"))
+    own = (
+        marked.filter("common IS NULL").join(edits, ["row", "line"], "left")
+        .filter(2 * F.coalesce("n_parts", F.lit(0)) < F.size("sketch"))
+        .groupBy("row").agg(F.min("least").alias("own"))
     )
-    return counts.filter(
-        (F.col("differing") > settings.max_documents) & (100 * F.col("differing") >= settings.min_differing * F.col("documents"))
+    # the two smallest, so that each line finds the smallest of the others
+    pair = marked.filter("common").groupBy("row").agg(F.min(F.struct("least", "line")).alias("one"))
+    least = marked.filter("common").join(pair, "row").filter(F.col("line") != F.col("one.line")).groupBy("row").agg(F.min("least").alias("two"))
+    documents = pair.select("row", "one").join(least, "row", "left").join(own, "row", "left")
+    rest = F.when(F.col("own").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("own").alias("by"))).otherwise(
+        F.struct(F.lit(0).alias("kind"), F.when(F.col("line") == F.col("one.line"), F.col("two")).otherwise(F.col("one.least")).alias("by"))
     )
+    counted = marked.filter("common").select("row", "line").join(documents, "row").select("line", rest.alias("rest"))
+    counts = counted.distinct().groupBy("line").agg(F.count("*").alias("documents"))
+    return counts.filter(F.col("documents") > settings.max_documents)
 
 
 def judged(measures: DataFrame, settings: LineSettings) -> DataFrame:
@@ -146,7 +167,7 @@ def judged(measures: DataFrame, settings: LineSettings) -> DataFrame:
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     depleted = (left < settings.min_words) | (100 * left < settings.min_left * F.col("n_words"))
     return (
-        measures.drop("lines")
+        measures.drop("lines", "whole")
         .join(removed, "row", "left")
         .withColumn("words_left", left)
         .withColumn("base_failed", base_failed())
@@ -160,8 +181,8 @@ def line_quality(documents: DataFrame, settings: LineSettings | None = None, hos
 
     A null text counts as one without words and fails the base rules. Null
     hosts are a host of their own. Rows that repeat a document are judged one
-    by one and count once for each of their lines, since they agree in the
-    rest. A text of one line has no rest and counts for no other. Empty tables
+    by one and count once for each of their lines, since they agree in all
+    others. Texts of one line alone count as one document for it. Empty tables
     give no rows; other columns are ignored.
     """
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.col(host).alias("host"))

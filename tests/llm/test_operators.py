@@ -132,6 +132,28 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert line_quality.cleaned(odd_documents(spark)).columns == [c.split()[0] for c in LAYOUT.split(", ")]
 
 
+def test_boilerplate_around_short_bodies_goes(spark):
+    draw = np.random.default_rng(5)
+
+    def line(n):
+        return " ".join(f"w{i}" for i in draw.integers(0, 5000, n))
+
+    around, small, copied = [line(38) for _ in range(3)], line(12), line(12)
+    rows = [(i, "\n".join([*around[:2], line(15), around[2]]), "a", "c", 0) for i in range(40)]
+    # eleven different documents hold a line, a hundred copies of one of them don't hide it
+    rows += [(100 + i, f"{line(20)}\n{small}", "b", "c", 0) for i in range(11)]
+    rows += [(200 + i, rows[40][1], "b", "c", 0) for i in range(100)]
+    # ten documents and their copies are ten
+    rows += [(400 + i, f"{line(20)}\n{copied}", "d", "c", 0) for i in range(10)]
+    rows += [(500 + i, rows[151 + i][1], "d", "c", 0) for i in range(10)]
+    settings = line_quality.LineSettings(min_left=5)
+    kept = {r["doc_id"]: r["text"] for r in line_quality.cleaned(spark.createDataFrame(rows, LAYOUT), settings).collect()}
+    assert len(kept) == len(rows)
+    assert not any(x in kept[i] for i in range(40) for x in around)
+    assert not any(small in kept[i] for i in kept if 100 <= i < 400)
+    assert all(copied in kept[i] for i in kept if i >= 400)
+
+
 def test_decontamination(spark):
     question = "Anna Smith buys 12 apples for 3 dollars and her brother Peter eats 12 of them within 5 days of May."
     asked = "John Brown buys 40 apples for 7 dollars and her brother Frank eats 40 of them within 9 days of May."
