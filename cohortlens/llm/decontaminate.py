@@ -1,11 +1,13 @@
 """Benchmark decontamination by templates, in DataFrame functions alone.
 
-A text becomes a template: numbers, names and units give way to placeholders of
-their type, letters are lower-cased, punctuation is dropped. Windows of five
-template tokens are joined by hash with those of the benchmark. A document that
-holds enough of an item's windows is a candidate, and what stands in the slots
-of its matched windows is compared with the item's: a re-parameterised question
-replaces each value by one other throughout, chance matches don't.
+A text is split into tokens, and each token into a kind: number, unit, name or
+word. Windows of five tokens are hashed with placeholders for numbers and
+units, once with names as placeholders and once as lower-cased words, and
+joined with those of the benchmark. A document that holds some of an item's
+windows is a candidate. Matched windows whose places lie near one diagonal are
+one occurrence of the item. Along it the item's tokens are compared with the
+document's: enough of them must be covered, and what stands in their slots must
+keep to one replacement a value, as in a re-parameterised question.
 """
 
 from __future__ import annotations
@@ -27,16 +29,14 @@ UNITS = (
     "dollar", "dollars", "euro", "euros", "cent", "cents", "degrees",
 )
 
-#: A capitalised word that doesn't begin a sentence or line.
-_NAME = r"(?<=[\p{L}\p{N},;]\x20)\p{Lu}\p{Ll}+"
-_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-_BREAKS = r"[^\p{L}\p{N}]+"
+_TOKEN = r"([0-9]+(?:[.,:/][0-9]+)*|(?:(?![0-9])[\p{L}\p{N}])+)"
 
 
 @dataclass(frozen=True)
 class LeakSettings:
-    """A document leaks an item from ``percent`` of the item's windows on, if at least
-    ``consistent`` percent of its slots keep to one replacement a value. The
+    """A document leaks an item if one occurrence covers ``percent`` of the item's
+    tokens and at least ``consistent`` percent of its slots keep to one replacement
+    a value. Candidates hold ``seeds`` percent of the item's windows. The
     benchmark's windows are broadcast up to ``broadcast_rows`` rows (some 40
     bytes each) and joined by a shuffle beyond.
     """
@@ -44,42 +44,56 @@ class LeakSettings:
     window: int = 5
     percent: int = 80
     consistent: int = 80
+    seeds: int = 10
     broadcast_rows: int = 500_000
 
 
-def templates(text: Column) -> Column:
-    """Template tokens of a text, empty without text."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, f" {NAME} ")
-    numbered = F.regexp_replace(named, f"(?<!\\p{{L}}){_NUMBER}|{_NUMBER}", f" {NUMBER} ")
-    restored = F.replace(numbered, F.lit(f" {NUMBER} name"), F.lit(NAME))
-    units = F.regexp_replace(F.lower(restored), rf"(?<={NUMBER}\x20{{1,2}})(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
-    return F.filter(F.split(units, _BREAKS), lambda w: w != "")
+def tokens(text: Column) -> Column:
+    """Words and whole numbers as they stand, empty without text."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKEN), F.lit(1))
 
 
-def values(text: Column) -> Column:
-    """The same tokens with what stands in the text: lower case, numbers whole."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), f"({_NUMBER})", " $1 ")
-    tokens = F.split(F.lower(marked), r"(?:[^\p{L}\p{N}.,:/]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+")
-    return F.filter(tokens, lambda w: w != "")
+def _number(token: Column) -> Column:
+    return token < ":"
 
 
-def window_column(tokens: Column, size: int) -> Column:
-    """Hashes of runs of ``size`` tokens by position; a shorter text is one window, an empty one none."""
-    count = F.size(tokens)
+def _name(token: Column) -> Column:
+    """Begins with a capital and has a lower-case letter."""
+    first = F.substring(token, 1, 1)
+    return (first != F.lower(first)) & (token != F.upper(token))
+
+
+def forms(raw: str, named: bool) -> Column:
+    """Template tokens of the tokens in a column; names are placeholders or words."""
+
+    def form(token: Column, at: Column) -> Column:
+        unit = (at > 0) & _number(F.get(F.col(raw), at - 1)) & F.lower(token).isin(*UNITS)
+        kind = F.when(_number(token), F.lit(NUMBER)).when(unit, F.lit(UNIT))
+        return (kind.when(_name(token), F.lit(NAME)) if named else kind).otherwise(F.lower(token))
+
+    return F.transform(raw, form)
+
+
+def window_column(parts: str, size: int) -> Column:
+    """Hashes of runs of ``size`` tokens by position, none of a shorter text."""
+    count = F.size(parts)
     runs = F.transform(
-        F.sequence(F.lit(0), count - size), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(size)])
+        F.sequence(F.lit(0), count - size), lambda i: F.xxhash64(*[F.get(F.col(parts), i + k) for k in range(size)], F.lit(size))
     )
-    return F.when(count >= size, runs).when(count > 0, F.array(F.xxhash64(tokens))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(count >= size, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def _templated(frame: DataFrame, *ids: str) -> DataFrame:
+    """raw tokens, ``words`` (lower case, placeholders for numbers and units) and ``names`` (for names as well)."""
+    cut = frame.select(*ids, tokens(F.col("text")).alias("raw"))
+    return cut.select(*ids, "raw", forms("raw", False).alias("words"), forms("raw", True).alias("names"))
 
 
 def _items(benchmark: DataFrame, settings: LeakSettings) -> DataFrame:
-    """item, item_id, text, hashes; ``opening`` is the first window as it would be if its first word didn't begin a sentence."""
-    text = F.col("text").cast("string")
-    tokens = benchmark.select("item_id", text.alias("text"), templates(text).alias("tokens"), templates(F.concat(F.lit("a "), text)).alias("inner"))
-    opening = F.get(window_column(F.slice("inner", 2, settings.window), settings.window), 0)
-    hashed = tokens.select("item_id", "text", window_column(F.col("tokens"), settings.window).alias("hashes"), opening.alias("opening"))
-    named = hashed.filter(F.size("hashes") > 0).select(F.xxhash64("item_id", "text").alias("item"), "*")
-    return staged(named.dropDuplicates(["item"]), "items")
+    """item, item_id, n, size (of its windows), raw, words, names."""
+    named = benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("item", F.xxhash64("item_id", "text"))
+    cut = _templated(named.dropDuplicates(["item"]), "item", "item_id").withColumn("n", F.size("raw")).filter("n > 0")
+    return staged(cut.withColumn("size", F.least("n", F.lit(settings.window))), "items")
 
 
 def _small(frame: DataFrame, settings: LeakSettings) -> DataFrame:
@@ -87,78 +101,115 @@ def _small(frame: DataFrame, settings: LeakSettings) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= settings.broadcast_rows else frame
 
 
+def _windows(frame: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
+    """One row per window: ids, at, hash; a window without names has one form."""
+    hashed = frame.select(*ids, *[window_column(kind, k).alias(f"{kind}{k}") for k in sizes for kind in ("words", "names")])
+    parts = [
+        F.transform(f"{kind}{k}", lambda h, i: F.struct(i.alias("at"), h.alias("hash"))) for k in sizes for kind in ("words", "names")
+    ]
+    return hashed.select(*ids, F.explode(F.array_distinct(F.concat(*parts))).alias("w")).select(*ids, "w.*")
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, settings: LeakSettings | None = None) -> DataFrame:
     """One row per document and leaked item.
 
     doc_id, text_hash, item_id, n_windows (of the item), n_matched, n_slots
-    (compared), n_changed (slots with another value). ``text_hash`` and doc_id
-    tell documents apart; equal rows are one.
+    (compared), n_changed (slots with another value), the last two of the
+    occurrence that covers most. ``text_hash`` and doc_id tell documents apart;
+    equal rows are one.
 
     Null or empty texts and items leak nothing. Null ids are kept as they are.
-    An item shorter than a window leaks as a whole document of the same words.
-    Items with the same id and text count once. Other columns are ignored.
+    An item shorter than a window has windows of its own size and leaks by the
+    same words and values. Items with the same id and text count once. Other
+    columns are ignored.
     """
     settings = settings or LeakSettings()
     items = _items(benchmark, settings)
+    sizes = sorted({settings.window, *[r["size"] for r in items.select("size").distinct().limit(settings.window).collect()]})
     keyed = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    placed = items.select("item", F.size("hashes").alias("n_windows"), F.posexplode("hashes").alias("at", "hash"))
-    opened = items.select("item", F.size("hashes").alias("n_windows"), F.lit(0).alias("at"), F.col("opening").alias("hash"))
-    index = staged(placed.unionByName(opened).filter("hash IS NOT NULL").distinct(), "item-windows")
-    tokens = keyed.select("doc_id", "text_hash", templates(F.col("text")).alias("tokens"))
-    windows = tokens.select("doc_id", "text_hash", F.explode(F.array_distinct(window_column(F.col("tokens"), settings.window))).alias("hash"))
-    matched = windows.join(_small(index, settings), "hash")
+    placed = staged(_item_windows(items, sizes), "item-windows")
+    texts = _templated(keyed, "doc_id", "text_hash")
+    hashed = texts.select("doc_id", "text_hash", *[window_column(kind, k).alias(f"{kind}{k}") for k in sizes for kind in ("words", "names")])
+    every = F.array_distinct(F.concat(*[f"{kind}{k}" for k in sizes for kind in ("words", "names")]))
+    matched = hashed.select("doc_id", "text_hash", F.explode(every).alias("hash")).join(_small(placed, settings), "hash")
     candidates = staged(
         matched.groupBy("doc_id", "text_hash", "item")
         .agg(F.max("n_windows").alias("n_windows"), F.count_distinct("at").alias("n_matched"))
-        .filter(100 * F.col("n_matched") >= settings.percent * F.col("n_windows")),
+        .filter(100 * F.col("n_matched") >= settings.seeds * F.col("n_windows")),
         "leak-candidates",
     )
-    return _consistent(keyed, items, candidates, settings)
+    return _covered(keyed, items, placed, candidates, sizes, settings)
 
 
-def _slots(tokens: str, words: str, at: str, size: int) -> Column:
-    """(template token, value) of the placeholders in the window at a position."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(F.get(tokens, F.col(at) + k).alias("kind"), F.get(words, F.col(at) + k).alias("value")))
+def _item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
+    """item, n_windows, at, hash of the windows with a plain word, or of all if none has one."""
+    found = None
+    for k in sizes:
+        rows = _windows(items.filter(F.col("size") == k), ["item", "names"], [k])
+        plain = F.exists(F.slice("names", F.col("at") + 1, k), lambda w: ~w.isin(NUMBER, NAME, UNIT))
+        rows = rows.select("item", "at", "hash", plain.alias("plain"))
+        found = rows if found is None else found.unionByName(rows)
+    count = found.groupBy("item").agg(F.max("plain").alias("any"), F.count_distinct("at").alias("n_windows"))
+    return found.join(count, "item").filter("plain OR NOT any").select("item", "n_windows", "at", "hash").distinct()
 
 
-def _consistent(keyed: DataFrame, items: DataFrame, candidates: DataFrame, settings: LeakSettings) -> DataFrame:
-    """Candidates whose slots are consistent."""
-    names = ["doc_id", "text_hash", "item"]
+def _covered(keyed: DataFrame, items: DataFrame, placed: DataFrame, candidates: DataFrame, sizes: list[int], settings: LeakSettings) -> DataFrame:
+    """Candidates with an occurrence that is covered and consistent."""
     docs = candidates.select("doc_id", "text_hash").distinct()
     same = F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.text_hash") == F.col("c.text_hash"))
-    chosen = staged(keyed.alias("k").join(docs.alias("c"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"]), "leak-texts")
-    size = settings.window
-
-    def windowed(frame: DataFrame, prefix: str, ids: list[str]) -> DataFrame:
-        cut = frame.select(*ids, templates(F.col("text").cast("string")).alias("t"), values(F.col("text").cast("string")).alias("w"))
-        runs = cut.select(*ids, "t", "w", F.posexplode(window_column(F.col("t"), size)).alias(f"{prefix}_at", "hash"))
-        slots = runs.withColumn(f"{prefix}_slots", _slots("t", "w", f"{prefix}_at", size))
-        return slots.select(*ids, "hash", f"{prefix}_slots", (F.size("t") == F.size("w")).alias(f"{prefix}_aligned"))
-
-    both = (
-        candidates.select("doc_id", "text_hash", "item", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
-        .join(windowed(items, "item", ["item"]), "item")
-        .join(
-            windowed(chosen.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).drop("doc_id"), "doc", ["id", "text_hash"]),
-            ["id", "text_hash", "hash"],
-        )
+    chosen = keyed.alias("k").join(docs.alias("c"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = staged(_templated(chosen.withColumn("doc", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash")), "doc"), "leak-texts")
+    pairs = candidates.withColumn("doc", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    wanted = pairs.select("doc", "item").join(placed.select("item", "at", "hash"), "item")
+    hits = wanted.join(_windows(texts, ["doc"], sizes).withColumnRenamed("at", "doc_at"), ["doc", "hash"])
+    shift = hits.join(items.select("item", "n"), "item").select("doc", "item", "n", (F.col("doc_at") - F.col("at")).alias("shift")).distinct()
+    # an occurrence's diagonals differ by a fifth of the item at most, so one of two overlapping bands has them all
+    reach = F.greatest(F.lit(1), F.ceil(F.col("n") / 5).cast("int"))
+    band = F.floor(F.col("shift") / reach).cast("int")
+    bands = shift.withColumn("band", F.explode(F.array(band - 1, band))).groupBy("doc", "item", "band").agg(F.collect_set("shift").alias("shifts"))
+    both = bands.join(items.select("item", "n", "size", F.col("raw").alias("i_raw"), F.col("words").alias("i_words"), F.col("names").alias("i_names")), "item")
+    both = both.join(texts.select("doc", F.col("raw").alias("d_raw"), F.col("words").alias("d_words"), F.col("names").alias("d_names")), "doc")
+
+    def met(p: Column, q: Column) -> Column:
+        old, new = F.get("i_words", p), F.get("d_words", q)
+        names = (F.get("i_names", p) == NAME) & (F.get("d_names", q) == NAME)
+        return F.when((p >= 0) & (q >= 0), F.coalesce((old == new) | names, F.lit(False))).otherwise(False)
+
+    def ran(p: Column, s: Column) -> Column:
+        """Token p is matched on diagonal s, in a run of three (or the whole of a shorter item)."""
+        x = [met(p + k, p + s + k) for k in (-2, -1, 0, 1, 2)]
+        return x[2] & ((F.col("n") < 3) | (x[0] & x[1]) | (x[1] & x[3]) | (x[3] & x[4]))
+
+    spot = F.sequence(F.lit(0), F.col("n") - 1)
+    runs = F.transform("shifts", lambda s: F.struct(F.filter(spot, lambda p: ran(p, s)).alias("at"), s.alias("s")))
+    ordered = both.withColumn("runs", runs).withColumn(
+        "runs", F.transform("runs", lambda r: F.struct((-F.size(r["at"])).alias("k"), r["s"].alias("s"), r["at"].alias("at")))
+    ).withColumn("runs", F.array_sort("runs"))
+    # every item token at the diagonal of the longest match that has it
+    place = F.transform(spot, lambda p: F.struct(p.alias("p"), (p + F.get(F.filter("runs", lambda r: F.array_contains(r["at"], p)), F.lit(0))["s"]).alias("q")))
+    found = ordered.select("doc", "item", "n", "size", "i_raw", "i_words", "i_names", "d_raw", F.filter(place, lambda x: x["q"].isNotNull()).alias("at"))
+    found = found.filter(100 * F.size("at") >= settings.percent * F.col("n"))
+    slots = F.transform(
+        F.filter("at", lambda x: F.get("i_words", x["p"]).isin(NUMBER, UNIT) | (F.get("i_names", x["p"]) == NAME)),
+        lambda x: F.struct(F.lower(F.get("i_raw", x["p"])).alias("old"), F.lower(F.get("d_raw", x["q"])).alias("new")),
+    )
+    kept = found.select("doc", "item", "n", "size", F.size("at").alias("n_covered"), slots.alias("slots"))
+    olds = F.array_distinct(F.transform("slots", lambda x: x["old"]))
+    most = F.transform(
+        olds,
+        lambda o: F.array_max(F.transform(F.filter("slots", lambda x: x["old"] == o), lambda y: F.size(F.filter("slots", lambda z: z == y)))),
     )
-    pairs = both.filter("item_aligned AND doc_aligned").select(
-        *names, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")
-    ).filter(F.col("s.item_slots.kind").isin(NUMBER, NAME, UNIT))
-    counted = pairs.groupBy(*names, F.col("s.item_slots.value").alias("old"), F.col("s.doc_slots.value").alias("new")).agg(F.count("*").alias("n"))
-    by_value = counted.groupBy(*names, "old").agg(
-        F.sum("n").alias("n"), F.max("n").alias("main"), F.sum(F.when(F.col("old") != F.col("new"), F.col("n")).otherwise(0)).alias("changed")
+    judged = kept.select(
+        "doc", "item", "n", "n_covered", F.size("slots").alias("n_slots"),
+        F.size(F.filter("slots", lambda x: x["old"] != x["new"])).alias("n_changed"),
+        F.aggregate(most, F.lit(0), lambda a, b: a + b).alias("main"),
     )
-    slots = by_value.groupBy(*names).agg(
-        F.sum("n").alias("n_slots"), F.sum("main").alias("main"), F.sum("changed").alias("n_changed")
+    good = judged.filter(100 * F.col("main") >= settings.consistent * F.col("n_slots")).filter(
+        (F.col("n") >= settings.window) | ((F.col("n_changed") == 0) & (F.col("n_covered") == F.col("n")))
     )
-    s, c = slots.alias("s"), candidates.alias("c")
-    same = F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("s.text_hash") == F.col("c.text_hash")) & (F.col("s.item") == F.col("c.item"))
-    joined = c.join(s, same, "left").filter(F.col("main").isNull() | (100 * F.col("main") >= settings.consistent * F.col("n_slots")))
-    return joined.join(items.select(F.col("item").alias("i"), "item_id"), F.col("c.item") == F.col("i")).select(
-        "c.doc_id", "c.text_hash", "item_id", "n_windows", "n_matched",
-        F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"),
+    best = good.groupBy("doc", "item").agg(F.max_by(F.struct("n_slots", "n_changed"), F.struct("n_covered", -F.col("n_changed"))).alias("best"))
+    return pairs.join(best, ["doc", "item"]).join(items.select("item", "item_id"), "item").select(
+        "doc_id", "text_hash", "item_id", "n_windows", "n_matched", "best.n_slots", "best.n_changed"
     )
 
 

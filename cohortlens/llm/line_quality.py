@@ -129,14 +129,13 @@ def frequent_lines(measures: DataFrame, settings: LineSettings) -> DataFrame:
     a shingle of a sketch.
     """
     lines = measures.select("row", "whole", F.explode("lines").alias("l")).select("row", "whole", "l.*")
-    texts = lines.groupBy("line", "whole").agg(F.first("sketch").alias("sketch"))
-    often = texts.groupBy("line").agg(F.count("*").alias("texts"), F.first("sketch").alias("sketch"))
-    common = staged(often.filter(F.col("texts") > settings.max_documents).select("line", "sketch"), "common-lines")
+    often = lines.select("line", "whole").distinct().groupBy("line").agg(F.count("*").alias("texts"))
+    common = staged(often.filter(F.col("texts") > settings.max_documents).select("line"), "common-lines")
     known = common.select("line", F.lit(True).alias("common"))
-    held = lines.join(common.select("line"), "line", "left_semi").select("row").distinct()
+    held = lines.select("row", "line").join(common, "line", "left_semi").select("row").distinct()
     marked = staged(lines.join(held, "row", "left_semi").join(known, "line", "left").drop("whole"), "marked-lines")
     # a line of which half the sketch stands in common lines is an edit of them
-    parts = common.select(F.explode("sketch").alias("part")).distinct()
+    parts = marked.filter("common").select(F.explode("sketch").alias("part")).distinct()
     others = marked.filter("common IS NULL").select("row", "line", F.explode("sketch").alias("part"))
     edits = others.join(parts, "part").groupBy("row", "line").agg(F.count("*").alias("n_parts"))
     own = (

@@ -174,6 +174,32 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs.limit(0), bench).collect() == [] and decontaminate.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_leaks_by_occurrence_names_and_edits(spark):
+    mean = "What is the arithmetic mean of the ten numbers 3, 8, 12, 5, 7, 9, 11, 2, 4, 6?"
+    tom = "Tom has 12 apples. Tom gives 5 of them to Mary. How many apples does Tom have left after Mary eats 2?"
+    short = "The quick river bends around nine old stone mills before it reaches our quiet northern harbour town at dusk today"
+    tiny = "Blue whales sing loudly"
+    twice = tom.replace("12", "30").replace("5", "8") + " " + tom.replace("12", "41").replace("5", "17")
+    texts = [
+        (1, mean, {1}),
+        (2, f"{tom} Then once more. {twice}", {2}),
+        (3, f"YouTube by McCarthy, {twice}", {2}),
+        (4, tom.replace("Tom", "Anna").replace("Mary", "Peter"), {2}),
+        (5, f"some page {tom.lower()} ends", {2}),
+        (6, tom.replace(" Mary", "\nMary").replace(" Tom", "\nTom"), {2}),
+        (7, short.replace("stone", "wooden"), {3}),
+        (8, short.replace("before it", "well before it"), {3}),
+        (9, "They say that blue whales sing loudly at night", {4}),
+        (10, "Tom has no river and Mary has 3 mills that bend around the harbour of a quiet town", set()),
+    ]
+    docs = spark.createDataFrame([(i, t, "s", "k", 1) for i, t, _ in texts], LAYOUT)
+    bench = spark.createDataFrame(list(enumerate((mean, tom, short, tiny), 1)), "item_id long, text string")
+    found = defaultdict(set)
+    for r in decontaminate.leaks(docs, bench).collect():
+        found[r["doc_id"]].add(r["item_id"])
+    assert {i: found[i] for i, _, _ in texts} == {i: want for i, _, want in texts}
+
+
 def test_shards(spark, documents):
     for frame in (documents, odd_documents(spark)):
         rows = sharding.interleaved(frame, 8).collect()
