@@ -11,6 +11,7 @@ from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.line_quality import line_quality
 from cohortlens.llm.near_dedup import near_duplicates
 from cohortlens.llm.packing import pack
+from cohortlens.llm.periodic_runs import periodic_runs
 from cohortlens.llm.pitman_yor import language_scores
 from cohortlens.llm.sharding import interleaved
 from cohortlens.llm.token_counts import token_counts
@@ -94,3 +95,8 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_synchronising_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"))
