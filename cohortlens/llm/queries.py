@@ -14,6 +14,7 @@ from cohortlens.llm.packing import pack
 from cohortlens.llm.periodic_runs import periodic_runs
 from cohortlens.llm.pitman_yor import language_scores
 from cohortlens.llm.sharding import interleaved
+from cohortlens.llm.token_alignment import aligned_tokenizers
 from cohortlens.llm.token_counts import token_counts
 from cohortlens.llm.token_files import token_files
 from cohortlens.llm.url_rules import judged_urls
@@ -100,3 +101,8 @@ def op11_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_synchronising_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_arrow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_tokenizers(table(spark, sf_dir, "documents"))
