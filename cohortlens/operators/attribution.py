@@ -3,22 +3,21 @@
 A leaf contributes its value when a row meets every condition on its path. For
 a subset of known features the expected contribution is a product: 1 or 0 for
 each known feature (does the row meet its conditions?) and the share of
-training weight that follows the path for each unknown one. With at most
-``depth`` features per path, the Shapley values of a leaf depend only on which
-of them the row meets, so they are tabulated once per leaf and pattern. Rows
-then need comparisons, table look-ups and one small matrix product, in Arrow
-batches.
-
-The tables grow with the model (trees x leaves x 2^depth), never with the data;
-at the default 300 trees of depth 6 they take about 60 MB. Their size is worked
-out before they are built, and a model beyond ``most_bytes`` is refused.
+training weight that follows the path for each unknown one. The Shapley value
+of a feature weighs these products over all subsets of the others, which is the
+integral over t from 0 to 1 of the product of ``share * (1 - t) + met * t``
+over the other features. That is a polynomial of a degree below the number of
+features on the path, so a few Gauss points give it exactly: the cost of a leaf
+grows with the square of its path, not with its subsets.
+
+Workers get the trees alone, as arrays of nodes; the paths of one tree at a
+time are laid out beside the rows of an Arrow batch.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import combinations
-from math import factorial
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,11 +28,17 @@ from pyspark.sql import functions as F
 from cohortlens.constants import FEATURE_COLUMNS
 from cohortlens.session import shared_folder
 
-_ROWS, _LEAVES = 256, 512  # one block of the (rows x leaves) table
+#: Numbers in one block of (rows x leaves x path features), and laid-out path features kept between batches.
+_BLOCK, _KEPT = 1 << 20, 1 << 21
 
+#: One node of a tree; ``left`` is -1 at a leaf.
+NODE = np.dtype(
+    [("value", "f8"), ("weight", "f8"), ("left", "i4"), ("right", "i4"), ("feature", "i4"), ("threshold", "f8")]
+)
 
-def _nodes(spark: SparkSession, model: PipelineModel) -> dict[int, dict[int, tuple]]:
-    """Nodes of every tree as the stored model lists them, by tree and node number."""
+
+def tree_nodes(spark: SparkSession, model: PipelineModel) -> list[np.ndarray]:
+    """The nodes of every tree as the stored model lists them; leaf values in log-odds."""
     folder = shared_folder(spark, "booster")
     model.stages[-1].save(folder)
     stored = spark.read.parquet(f"{folder}/data").select(
@@ -46,100 +51,107 @@ def _nodes(spark: SparkSession, model: PipelineModel) -> dict[int, dict[int, tup
         "nodeData.split.featureIndex",
         F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     )
-    trees: dict[int, dict[int, tuple]] = defaultdict(dict)
-    for tree, number, *rest in stored.collect():  # bounded by the model's size
-        trees[tree][number] = tuple(rest)
-    return trees
-
-
-def _leaves(nodes: dict[int, tuple], number: int = 0, bounds: dict | None = None):
-    """(value, {feature: (low, high, share)}) per leaf below a node."""
-    value, weight, left, right, feature, threshold = nodes[number]
-    bounds = bounds or {}
-    if left < 0:
-        yield value, bounds
+    rows = defaultdict(dict)
+    for tree, number, value, *rest in stored.collect():  # bounded by the model's size
+        # twice the margin of the ensemble is the log-odds
+        rows[tree][number] = (2.0 * value * model.stages[-1].treeWeights[tree], *rest[:-1], np.nan if rest[-1] is None else rest[-1])
+    return [np.array([found[n] for n in range(len(found))], NODE) for _, found in sorted(rows.items())]
+
+
+class Paths:
+    """The leaves of a tree whose paths hold ``k`` features: value, and for each
+    feature the bounds within which a row follows the path and the share of
+    training weight that does."""
+
+    def __init__(self, values, features, lows, highs, shares):
+        self.values, self.features, self.lows, self.highs, self.shares = values, features, lows, highs, shares
+
+
+def leaf_paths(nodes: np.ndarray) -> list[Paths]:
+    """Paths to the leaves of a tree, grouped by their number of features."""
+    found, open_nodes = defaultdict(list), [(0, {})]
+    while open_nodes:
+        number, bounds = open_nodes.pop()
+        node = nodes[number]
+        if node["left"] < 0:
+            found[len(bounds)].append((node["value"], list(bounds), list(bounds.values())))
+            continue
+        feature, threshold = int(node["feature"]), node["threshold"]
+        low, high, share = bounds.get(feature, (-np.inf, np.inf, 1.0))
+        for child, inside in ((node["left"], (low, min(high, threshold))), (node["right"], (max(low, threshold), high))):
+            part = share * nodes[child]["weight"] / node["weight"] if node["weight"] else 0.0
+            open_nodes.append((int(child), {**bounds, feature: (*inside, part)}))
+    groups = []
+    for k, members in sorted(found.items()):
+        values, features, ranges = zip(*members)
+        lows, highs, shares = np.moveaxis(np.array(ranges, float).reshape(len(members), k, 3), 2, 0)
+        groups.append(Paths(np.array(values, float), np.array(features, np.int64).reshape(len(members), k), lows, highs, shares))
+    return groups
+
+
+def base_value(trees: list[np.ndarray]) -> float:
+    """Mean log-odds of the model over its training weight."""
+    return float(sum((p.values * p.shares.prod(axis=1)).sum() for nodes in trees for p in leaf_paths(nodes)))
+
+
+def path_attributions(x: np.ndarray, paths: Paths, out: np.ndarray) -> None:
+    """Adds to ``out`` the Shapley values of every row for the leaves of ``paths``."""
+    leaves, k = paths.features.shape
+    if not k:
         return
-    low, high, share = bounds.get(feature, (-np.inf, np.inf, 1.0))
-    for child, inside in ((left, (low, min(high, threshold))), (right, (max(low, threshold), high))):
-        part = share * nodes[child][1] / weight
-        yield from _leaves(nodes, child, {**bounds, feature: (*inside, part)})
-
-
-def _tables(values: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Shapley value per leaf, pattern of conditions met, and path feature."""
-    leaves, k = shares.shape
-    met = (np.arange(1 << k)[:, None] >> np.arange(k)) & 1
-    table = np.zeros((leaves, 1 << k, k))
-    for feature in range(k):
-        rest = [i for i in range(k) if i != feature]
-        for size in range(k):
-            weight = factorial(size) * factorial(k - size - 1) / factorial(k)
-            for known in combinations(rest, size):
-                unknown = [i for i in rest if i not in known]
-                table[:, :, feature] += weight * np.outer(
-                    shares[:, unknown].prod(axis=1), met[:, list(known)].prod(axis=1)
-                )
-        table[:, :, feature] *= met[None, :, feature] - shares[:, None, feature]
-    return table * values[:, None, None]
-
-
-TABLE_BYTES = 512 << 20
-
-
-def leaf_tables(
-    spark: SparkSession, model: PipelineModel, most_bytes: int = TABLE_BYTES
-) -> tuple[list[tuple], float]:
-    """Blocks of (features, lows, highs, tables), and the mean log-odds of the model.
-
-    Leaves are grouped by the number of features on their path.
-    """
-    weights = model.stages[-1].treeWeights
-    groups, base = defaultdict(list), 0.0
-    for tree, nodes in _nodes(spark, model).items():
-        for value, bounds in _leaves(nodes):
-            # twice the margin of the ensemble is the log-odds
-            value *= 2.0 * weights[tree]
-            base += value * np.prod([share for _, _, share in bounds.values()])
-            if bounds:
-                groups[len(bounds)].append((value, list(bounds), list(bounds.values())))
-    size = sum(len(members) * 8 * k * 2**k for k, members in groups.items())
-    if size > most_bytes:
-        raise ValueError(f"the tables of this model take {size} bytes, more than {most_bytes}: fit trees of less depth")
-    blocks = []
-    for members in groups.values():
-        for start in range(0, len(members), _LEAVES):
-            values, features, ranges = zip(*members[start : start + _LEAVES])
-            lows, highs, shares = np.moveaxis(np.array(ranges), 2, 0)
-            blocks.append((np.array(features), lows, highs, _tables(np.array(values), shares)))
-    return blocks, float(base)
-
-
-def _explain(x: np.ndarray, blocks: list[tuple]) -> np.ndarray:
-    out = np.zeros_like(x)
-    for features, lows, highs, tables in blocks:
-        leaves, k = features.shape
-        seen = x[:, features]
-        pattern = ((seen > lows) & (seen <= highs)) @ (1 << np.arange(k))
-        given = tables[np.arange(leaves), pattern].reshape(len(x), leaves * k)
-        out += given @ np.eye(x.shape[1])[features.ravel()]
-    return out
+    points, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
+    points, weights = (points + 1) / 2, weights / 2
+    step = max(1, _BLOCK // (leaves * k))
+    one_hot = np.zeros((leaves * k, x.shape[1]))
+    one_hot[np.arange(leaves * k), paths.features.ravel()] = 1.0
+    for at in range(0, len(x), step):
+        seen = x[at : at + step][:, paths.features]
+        met = ((seen > paths.lows) & (seen <= paths.highs)).astype(float)
+        # a condition that nobody followed and the row does not meet leaves nothing of the leaf
+        void = ((met == 0) & (paths.shares == 0)).any(axis=2)
+        total = np.zeros_like(met)
+        for t, w in zip(points, weights):
+            factor = paths.shares * (1 - t) + met * t
+            factor[factor == 0] = 1.0
+            total += w * factor.prod(axis=2)[:, :, None] / factor
+        total *= (met - paths.shares) * np.where(void, 0.0, paths.values)[:, :, None]
+        out[at : at + step] += total.reshape(len(total), leaves * k) @ one_hot
+
+
+def _laid_out(trees: list[np.ndarray], kept: dict[int, list[Paths]]) -> Iterator[list[Paths]]:
+    """Paths tree by tree; those of the first trees are kept for the next batch."""
+    held = sum(p.features.size for groups in kept.values() for p in groups)
+    for number, nodes in enumerate(trees):
+        groups = kept.get(number)
+        if groups is None:
+            groups = leaf_paths(nodes)
+            size = sum(p.features.size for p in groups)
+            if held + size <= _KEPT:
+                kept[number], held = groups, held + size
+        yield groups
 
 
 def attributions(model: PipelineModel, features: DataFrame, key: str = "nct_id") -> DataFrame:
     """Log-odds attribution of every feature per row, with the common ``base``.
 
-    The attributions of a row and the base add up to its log-odds.
+    The attributions of a row and the base add up to its log-odds. What is
+    broadcast are the model's nodes, some 40 bytes each.
     """
     spark = features.sparkSession
-    blocks, base = leaf_tables(spark, model)
-    shared = spark.sparkContext.broadcast(blocks)
+    trees = tree_nodes(spark, model)
+    base = base_value(trees)
+    shared = spark.sparkContext.broadcast(trees)
     names = list(FEATURE_COLUMNS)
 
     def explain(frames):
+        kept: dict[int, list[Paths]] = {}
         for frame in frames:
             x = frame[names].to_numpy(dtype=float)
-            parts = [_explain(x[i : i + _ROWS], shared.value) for i in range(0, len(x), _ROWS)]
-            result = pd.DataFrame(np.concatenate(parts) if parts else x, columns=names)
+            out = np.zeros_like(x)
+            for groups in _laid_out(shared.value, kept):
+                for paths in groups:
+                    path_attributions(x, paths, out)
+            result = pd.DataFrame(out, columns=names)
             result.insert(0, key, frame[key].to_numpy())
             yield result.assign(base=base)
 

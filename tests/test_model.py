@@ -142,6 +142,80 @@ def test_mean_attribution_is_sorted(trained):
     assert len(rows) == 17 and values == sorted(values, reverse=True)
 
 
-def test_tables_beyond_their_bound_are_refused(spark, trained):
-    with pytest.raises(ValueError, match="bytes"):
-        attribution.leaf_tables(spark, trained.model, most_bytes=100)
+def random_tree(draw, depth, features):
+    """Nodes of a full tree with random splits; some branches have no training weight."""
+    nodes = []
+
+    def grow(level, weight):
+        number = len(nodes)
+        nodes.append(None)
+        if level == depth:
+            nodes[number] = (draw.normal(), weight, -1, -1, -1, np.nan)
+            return number
+        share = draw.choice([0.0, draw.uniform(0.1, 0.9)], p=[0.05, 0.95])
+        left, right = grow(level + 1, weight * share), grow(level + 1, weight * (1 - share))
+        nodes[number] = (0.0, weight, left, right, int(draw.integers(features)), draw.uniform(0.2, 0.8))
+        return number
+
+    grow(0, 1000.0)
+    return np.array(nodes, attribution.NODE)
+
+
+def subset_attributions(x, nodes):
+    """Shapley values of each leaf from a table over all subsets of its path."""
+    out = np.zeros(len(x))
+    for paths in attribution.leaf_paths(nodes):
+        for value, features, lows, highs, shares in zip(paths.values, paths.features, paths.lows, paths.highs, paths.shares):
+            k = len(features)
+            met = (x[features] > lows) & (x[features] <= highs)
+            for i in range(k):
+                rest = [j for j in range(k) if j != i]
+                total = sum(
+                    factorial(size) * factorial(k - size - 1) / factorial(k)
+                    * np.prod([met[j] for j in known]) * np.prod([shares[j] for j in rest if j not in known])
+                    for size in range(k)
+                    for known in combinations(rest, size)
+                )
+                out[features[i]] += value * (float(met[i]) - shares[i]) * total
+    return out
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5, 6])
+def test_paths_equal_tables_over_subsets(depth):
+    draw = np.random.default_rng(depth)
+    nodes = random_tree(draw, depth, 7)
+    x = draw.uniform(size=(5, 7))
+    out = np.zeros_like(x)
+    for paths in attribution.leaf_paths(nodes):
+        attribution.path_attributions(x, paths, out)
+    assert np.allclose(out, [subset_attributions(row, nodes) for row in x], atol=1e-12)
+
+
+def test_deep_trees_add_up():
+    draw = np.random.default_rng(12)
+    trees = [random_tree(draw, 12, 17) for _ in range(2)]
+    x = draw.uniform(size=(40, 17))
+    out = np.zeros_like(x)
+    for groups in attribution._laid_out(trees, {}):
+        for paths in groups:
+            attribution.path_attributions(x, paths, out)
+
+    def value(nodes, row):
+        number = 0
+        while nodes[number]["left"] >= 0:
+            number = nodes[number]["left" if row[nodes[number]["feature"]] <= nodes[number]["threshold"] else "right"]
+        return nodes[number]["value"]
+
+    totals = [sum(value(t, row) for t in trees) for row in x]
+    assert max(p.features.shape[1] for p in attribution.leaf_paths(trees[0])) > 9
+    assert np.allclose(out.sum(axis=1) + attribution.base_value(trees), totals, atol=1e-9)
+
+
+def test_fitted_deep_model_is_explained(trained):
+    deep = model.fit(trained.holdout, model.Boosting(trees=2, depth=12))
+    explained = attribution.attributions(deep, trained.holdout)
+    scored = model.score_holdout(deep, trained.holdout.select("nct_id", "label", *FEATURE_COLUMNS))
+    p = F.col("predicted_proba")
+    total = sum((F.col(n) for n in FEATURE_COLUMNS), F.col("base"))
+    both = explained.join(scored.select("nct_id", "predicted_proba"), "nct_id")
+    assert both.agg(F.max(F.abs(total - F.log(p / (1 - p))))).first()[0] < 1e-9
