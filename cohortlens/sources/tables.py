@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens import schemas
-from cohortlens.operators.upsert import insert_absent, latest_per_key, upsert, upsert_counts
+from cohortlens.operators.upsert import insert_absent, latest_per_key, upsert
 from cohortlens.session import staged
+from cohortlens.sources.keyed import KeyedTable
 
 
 def read_trials(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -62,21 +63,35 @@ def upsert_trials(
     """Apply normalised ``rows`` to the table at ``current``; writes ``snapshot``.
 
     The batch is first reduced to the last row per key and staged, so that it is
-    computed once and Spark knows its true size when it plans the joins.
+    computed once and Spark knows its true size when it plans the joins. Counts
+    are taken while the snapshot is written. See :func:`merge_trials` for a table
+    of which a batch rewrites only a part.
     """
     latest = latest_per_key(rows, ["nct_id"], order)
     batch = staged(
         latest.drop(*[o for o in order if o not in schemas.NORMALISED_COLUMNS]), "upsert-batch"
     )
-    now = F.current_timestamp()
+    now, counts = F.current_timestamp(), Observation()
     if current is None:
-        with_bookkeeping(batch, now).write.parquet(snapshot)
-        return Ingested(snapshot, batch.count(), 0)
-    target = read_trials(spark, current)
-    counts = upsert_counts(target, batch).first()
-    stamps = {"ingested_at": now, "updated_at": now}
-    upsert(target, batch, stamps=stamps).write.parquet(snapshot)
-    return Ingested(snapshot, counts["inserted"], counts["updated"])
+        written = with_bookkeeping(batch, now).observe(counts, F.count(F.lit(1)).alias("inserted"))
+    else:
+        stamps = {"ingested_at": now, "updated_at": now}
+        written = upsert(read_trials(spark, current), batch, stamps=stamps, counts=counts)
+    written.write.parquet(snapshot)
+    return Ingested(snapshot, counts.get["inserted"], counts.get.get("updated", 0))
+
+
+def merge_trials(spark: SparkSession, path: str, rows: DataFrame, order: list[str]) -> Ingested:
+    """Apply normalised ``rows`` to the keyed table at ``path``, touching only their buckets."""
+    latest = latest_per_key(rows, ["nct_id"], order)
+    batch = latest.drop(*[o for o in order if o not in schemas.NORMALISED_COLUMNS])
+    now = F.current_timestamp()
+    done = trials_by_key(spark, path).merge(batch, stamps={"ingested_at": now, "updated_at": now})
+    return Ingested(f"{path}@{done.version}", done.inserted, done.updated)
+
+
+def trials_by_key(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, schemas.TRIALS_DDL)
 
 
 def append_absent(spark: SparkSession, path: str, rows: DataFrame, order: list[str]) -> None:

@@ -8,16 +8,25 @@ size, not that of the table. The current table is the last change per trial;
 
 Copies of a study are ordered by run, batch, page file, position in the page
 and, where pages share a file and all these are equal, by a hash of the text.
+
+A run belongs to one checkpoint, which numbers its batches. Runs are entries of
+an append-only list beside the log: a checkpoint that the log does not know is
+given a run of its own, after all others, so its batches never take the place
+of another's. Finished batches are listed as well, with what they read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.normalize import normalise
 from cohortlens.operators.upsert import latest_per_key, upsert
 from cohortlens.schemas import NORMALISED_COLUMNS, TRIALS_DDL
+from cohortlens.session import staged
+from cohortlens.sources.commits import Entries, numbered
 from cohortlens.sources.studies import open_pages, parse_studies
 from cohortlens.sources.tables import Ingested, read_trials, upsert_trials
 
@@ -27,8 +36,57 @@ CHANGES_DDL = (
 ORDER = ("run", "batch_id", "page_file", "position", "text_hash")
 
 
+def _runs(spark: SparkSession, changes: str) -> Entries:
+    return Entries(spark, f"{changes.rstrip('/')}/_runs")
+
+
+def _batches(spark: SparkSession, changes: str) -> Entries:
+    return Entries(spark, f"{changes.rstrip('/')}/_batches")
+
+
+def claim_run(spark: SparkSession, changes: str, checkpoint: str, run: int | None = None) -> int:
+    """The run of a checkpoint: the one it has, or the next, or ``run`` if nobody has it.
+
+    A run that another checkpoint has, or that isn't this one's, is refused.
+    """
+    own = Entries(spark, f"{checkpoint.rstrip('/')}/run")
+    held = own.get("run")
+    runs = _runs(spark, changes)
+    if held is not None:
+        if (runs.get(numbered(held["run"])) or {}).get("owner") != held["owner"]:
+            raise ValueError(f"the checkpoint {checkpoint} belongs to another change log")
+        if run not in (None, held["run"]):
+            raise ValueError(f"the checkpoint {checkpoint} has run {held['run']}, not {run}")
+        return held["run"]
+    owner = uuid.uuid4().hex
+    while True:
+        taken = [int(n) for n in runs.names()] + _stored_runs(spark, changes)
+        number = max(taken, default=-1) + 1 if run is None else run
+        if number not in taken and runs.add(numbered(number), {"owner": owner, "checkpoint": checkpoint}):
+            break
+        if run is not None:
+            raise ValueError(f"run {run} of {changes} belongs to another checkpoint")
+    own.add("run", {"run": number, "owner": owner})
+    return number
+
+
+def _stored_runs(spark: SparkSession, changes: str) -> list[int]:
+    """Runs that the folders of a log show, for logs without a list."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(changes)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    return [int(n.removeprefix("run=")) for n in names if n.startswith("run=")]
+
+
 def _write_batch(pages: DataFrame, batch_id: int, changes: str, run: int = 0) -> None:
-    """One pass over the pages; what cannot be read goes to partitions of its own."""
+    """One pass over the pages; what cannot be read goes to partitions of its own.
+
+    The batch is listed with its counts, taken while it is written.
+    """
+    counts = Observation()
+    read = F.col("state") == "read"
     (
         normalise(parse_studies(open_pages(pages)), keep=("page_file", "position", "readable"))
         .withColumn("state", F.when(F.col("readable"), "read").otherwise("quarantined"))
@@ -36,11 +94,24 @@ def _write_batch(pages: DataFrame, batch_id: int, changes: str, run: int = 0) ->
         .withColumn("run", F.lit(run).cast("int"))
         .withColumn("batch_id", F.lit(batch_id).cast("long"))
         .drop("readable")
+        .observe(counts, F.count_if(read).alias("read"), F.count_if(~read).alias("quarantined"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("run", "batch_id", "state")
         .parquet(changes)
     )
+    _batches(pages.sparkSession, changes).add(
+        f"{numbered(run)}-{numbered(batch_id)}", {"run": run, "batch_id": batch_id, **counts.get}
+    )
+
+
+def batch_log(spark: SparkSession, changes: str) -> DataFrame:
+    """run, batch_id, read, quarantined of every finished batch."""
+    entries = f"{changes.rstrip('/')}/_batches"
+    layout = "run int, batch_id long, read long, quarantined long"
+    # the folder's name begins with an underscore, so its files are named one by one
+    files = [f"{entries}/{n}.json" for n in _batches(spark, changes).names()]
+    return spark.read.schema(layout).json(files) if files else spark.createDataFrame([], layout)
 
 
 def ingest_stream(
@@ -50,14 +121,15 @@ def ingest_stream(
     checkpoint: str,
     one_page_per_file: bool = True,
     files_per_batch: int | None = 1000,
-    run: int = 0,
+    run: int | None = None,
 ):
     """Start a run over all page files not yet read, and stop when they are done.
 
-    A micro-batch takes ``files_per_batch`` files, whatever is waiting. Batches
-    are numbered by the checkpoint: with a new checkpoint on a log that exists,
-    give a larger ``run``, or its batches replace those of the same number.
+    A micro-batch takes ``files_per_batch`` files, whatever is waiting. The run
+    is that of the checkpoint (see :func:`claim_run`): a new checkpoint on a log
+    that exists reads all pages again, as changes after those of all other runs.
     """
+    run = claim_run(spark, changes, checkpoint, run)
     reader = spark.readStream.format("text").option("wholetext", one_page_per_file)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -115,7 +187,7 @@ def table_now(spark: SparkSession, snapshot: str, changes: str) -> DataFrame:
     Rows that came or changed since the snapshot carry the time of this reading.
     """
     now = F.current_timestamp()
-    later = current_trials(later_changes(spark, snapshot, changes))
+    later = staged(current_trials(later_changes(spark, snapshot, changes)), "later-changes")  # read three times
     return upsert(read_trials(spark, snapshot), later, stamps={"ingested_at": now, "updated_at": now})
 
 

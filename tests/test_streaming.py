@@ -137,3 +137,39 @@ def test_copies_on_pages_of_one_file_have_one_winner(spark, tmp_path):
         ingest._write_batch(spark.createDataFrame(order, "page string, page_file string"), 0, changes)
         winners |= {r["title"] for r in ingest.current_trials(ingest.read_changes(spark, changes)).collect()}
     assert len(winners) == 1
+
+
+def titles(spark, changes):
+    return sorted(r["title"] for r in ingest.read_changes(spark, changes).collect())
+
+
+def test_a_fresh_checkpoint_on_an_old_log_loses_nothing(spark, tmp_path):
+    changes = str(tmp_path / "changes")
+    for n, title in enumerate(("one", "two")):
+        pages = tmp_path / f"pages{n}"
+        pages.mkdir()
+        (pages / "a.json").write_text(json.dumps({"studies": [study("N1", title), study(f"M{n}", title)]}))
+        ingest.ingest_stream(spark, str(pages), changes, str(tmp_path / f"cp{n}")).awaitTermination()
+    assert titles(spark, changes) == ["one", "one", "two", "two"]
+    now = {r["nct_id"]: r["title"] for r in ingest.current_trials(ingest.read_changes(spark, changes)).collect()}
+    assert now == {"N1": "two", "M0": "one", "M1": "two"}
+    listed = ingest.batch_log(spark, changes).collect()
+    assert sorted((r["run"], r["batch_id"], r["read"], r["quarantined"]) for r in listed) == [(0, 0, 2, 0), (1, 0, 2, 0)]
+
+
+def test_runs_belong_to_their_checkpoints(spark, tmp_path):
+    changes, one, two = (str(tmp_path / n) for n in ("changes", "one", "two"))
+    assert ingest.claim_run(spark, changes, one) == 0 and ingest.claim_run(spark, changes, two, 5) == 5
+    assert ingest.claim_run(spark, changes, one) == 0 and ingest.claim_run(spark, changes, str(tmp_path / "three")) == 6
+    for checkpoint, run in ((one, 1), (str(tmp_path / "four"), 5)):
+        with pytest.raises(ValueError):
+            ingest.claim_run(spark, changes, checkpoint, run)
+    with pytest.raises(ValueError):
+        ingest.claim_run(spark, str(tmp_path / "other"), one)
+
+
+def test_a_log_without_a_list_keeps_its_runs(spark, tmp_path):
+    changes = str(tmp_path / "c")
+    page = json.dumps({"studies": [study("N1", "old")]})
+    ingest._write_batch(spark.createDataFrame([(page, "f")], "page string, page_file string"), 0, changes, 3)
+    assert ingest.claim_run(spark, changes, str(tmp_path / "cp")) == 4
