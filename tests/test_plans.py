@@ -63,8 +63,11 @@ def test_statistics_read_only_their_columns_in_one_scan(stored):
 
 
 def test_comparison_scans_once(stored):
-    df = statistics.compare_groups(stored, "phase", "PHASE1", "PHASE2")
-    assert len(scans(df)) == 1 and "In(phase, [PHASE1,PHASE2])" in plan(df)
+    for compact in (True, False):
+        df = statistics.compare_groups(stored, "phase", "PHASE1", "PHASE2", compact=compact)
+        df.collect()
+        final = plan(df).split("Initial Plan")[0]
+        assert final.count("FileScan parquet") == 1 and "In(phase, [PHASE1,PHASE2])" in final
 
 
 @pytest.mark.parametrize("kind", sorted(charts.CHARTS))

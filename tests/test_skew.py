@@ -87,3 +87,31 @@ def test_tiny_scores_lie_in_cells_of_their_own(spark):
     cells = rows.unionAll(spark.sql("SELECT 0.0D UNION ALL SELECT 1.0D UNION ALL SELECT 5e-324D")).select("p", evaluation._score_cell(F.col("p")).alias("cell"))
     found = [r["cell"] for r in cells.orderBy("p").collect()]
     assert len(set(found)) >= 1002 and found == sorted(found)
+
+
+def test_median_of_a_group_with_as_many_values_as_rows(spark):
+    rows = spark.range(1_000_000).select(
+        F.when(F.col("id") % 20 == 0, "B").otherwise("A").alias("phase"), F.lit("x").alias("therapeutic_area"),
+        F.when(F.col("id") % 11 != 0, F.hash("id")).alias("enrollment"), (F.col("id") % 3 == 0).alias("outcome_success"),
+        F.when(F.col("id") % 5 != 0, (F.col("id") % 900).cast("int")).alias("duration_days"),
+    )
+    want = {
+        r["phase"]: tuple(r)[1:]
+        for r in rows.groupBy("phase").agg(
+            F.count("*"), F.count_if("outcome_success"), F.round(F.avg("enrollment"), 0), F.round(F.avg("duration_days"), 0), F.percentile("enrollment", 0.5)
+        ).collect()
+    }
+    got = statistics.compare_groups(rows, "phase", "A", "B").collect()
+    columns = ("total", "successes", "avg_enrollment", "avg_duration_days", "median_enrollment")
+    assert {r["name"]: tuple(r[c] for c in columns) for r in got} == want
+
+
+def test_median_of_ties_pairs_and_nothing(spark):
+    rows = [("A", n) for n in (5, 5, 5, 70_000, None)] + [("B", n) for n in (1, 200_000)] + [("C", None)]
+    frame = spark.createDataFrame(rows, "phase string, enrollment int").selectExpr(
+        "*", "'x' AS therapeutic_area", "true AS outcome_success", "CAST(NULL AS INT) AS duration_days"
+    )
+    found = {r["name"]: (r["total"], r["median_enrollment"], r["avg_enrollment"]) for r in statistics.compare_groups(frame, "phase", "A", "B").collect()}
+    assert found == {"A": (5, 5.0, 17504.0), "B": (2, 100_000.5, 100_001.0)}
+    found = {r["name"]: (r["total"], r["median_enrollment"], r["avg_duration_days"]) for r in statistics.compare_groups(frame, "phase", "C", "D").collect()}
+    assert found == {"C": (1, None, None), "D": (0, None, None)}
