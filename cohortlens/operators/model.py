@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,7 +20,7 @@ from cohortlens.constants import FEATURE_COLUMNS
 from cohortlens.functions.labels import confidence_band, traffic_light, whole_percent
 from cohortlens.operators import evaluation, splits
 from cohortlens.operators.predicates import by_key
-from cohortlens.session import staged
+from cohortlens.session import shared_folder, staged
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,17 @@ class Training:
     metrics: DataFrame
 
 
+#: The errors that trees are fitted to are written down after so many trees.
+CHECKPOINT_TREES = 20
+
+
+def _lineage_folder(spark: SparkSession) -> None:
+    """Boosting cuts its lineage in the folder that ``spark.checkpoint.dir`` names, or one of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark, "lineage"))
+
+
 def fit(train: DataFrame, settings: Boosting = Boosting()) -> PipelineModel:
     """Boosted trees on the feature columns of ``train``.
 
@@ -64,7 +78,9 @@ def fit(train: DataFrame, settings: Boosting = Boosting()) -> PipelineModel:
         subsamplingRate=settings.row_share,
         featureSubsetStrategy=str(settings.column_share),
         seed=settings.seed,
+        checkpointInterval=CHECKPOINT_TREES,
     )
+    _lineage_folder(train.sparkSession)
     rows = assembler.transform(weighted).select("features", "label", "weight")
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -126,17 +142,45 @@ def train_model(trials: DataFrame, settings: Boosting = Boosting(), version: str
     return Training(model, holdout, metrics)
 
 
+def side_by_side(spark: SparkSession, work: list[Callable[[], Any]], name: str) -> list:
+    """Results of jobs that run at the same time, each in a scheduler pool of its own.
+
+    Threads inherit the caller's job group and tags. A job that fails ends the
+    call once the others are done. With ``spark.scheduler.mode=FAIR`` the pools
+    share the executors evenly.
+    """
+
+    def started(number: int) -> Callable[[], Any]:
+        @inheritable_thread_target(spark)
+        def run():
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{number}")
+            return work[number]()
+
+        return run
+
+    with ThreadPoolExecutor(max_workers=max(1, len(work))) as pool:
+        return [f.result() for f in [pool.submit(started(k)) for k in range(len(work))]]
+
+
 def cross_validate(
     trials: DataFrame, settings: Boosting = Boosting(), folds: int = 5
 ) -> tuple[DataFrame, DataFrame]:
-    """(area per fold, its mean and population deviation), one fit per fold."""
-    dealt = splits.stratified_folds(splits.training_set(trials), folds, settings.seed)
-    dealt = staged(dealt, "fold-rows")
-    scored = []
-    for k in range(folds):
-        model = fit(_spread(dealt.filter(F.col("fold") != k)), settings)
-        scored.append(score_holdout(model, dealt.filter(F.col("fold") == k)))
-    per_fold = evaluation.auc_roc(reduce(DataFrame.unionByName, scored), by=("fold",))
+    """(area per fold, its mean and population deviation), one fit per fold.
+
+    Rows are dealt once and staged; the folds are fitted side by side.
+    """
+    rows = staged(splits.training_set(trials), "training-set")  # read twice by the deal
+    dealt = staged(splits.stratified_folds(rows, folds, settings.seed), "fold-rows")
+
+    def scored(k: int) -> Callable[[], DataFrame]:
+        def run() -> DataFrame:
+            model = fit(_spread(dealt.filter(F.col("fold") != k)), settings)
+            return score_holdout(model, dealt.filter(F.col("fold") == k))
+
+        return run
+
+    parts = side_by_side(trials.sparkSession, [scored(k) for k in range(folds)], "fold")
+    per_fold = evaluation.auc_roc(reduce(DataFrame.unionByName, parts), by=("fold",))
     summary = per_fold.agg(
         F.avg("auc_roc").alias("cv_auc_mean"), F.stddev_pop("auc_roc").alias("cv_auc_std")
     )

@@ -219,3 +219,57 @@ def test_fitted_deep_model_is_explained(trained):
     total = sum((F.col(n) for n in FEATURE_COLUMNS), F.col("base"))
     both = explained.join(scored.select("nct_id", "predicted_proba"), "nct_id")
     assert both.agg(F.max(F.abs(total - F.log(p / (1 - p))))).first()[0] < 1e-9
+
+
+def test_a_run_is_published_whole_or_not_at_all(spark, trained, trials, tmp_path, monkeypatch):
+    from cohortlens.sources import runs
+
+    folder = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        runs.load_run(spark, folder)
+    assert runs.train_and_store(trials, folder, settings=model.Boosting(trees=1, depth=2), folds=2) == 0
+    first = runs.load_run(spark, folder)
+    row = first.metrics.first()
+    assert row["n_test"] == first.predictions.count() and len(row["feature_importance"]) == 17
+    assert 0 <= row["cv_auc_mean"] <= 1 and row["cv_auc_std"] >= 0 and row["trained_at"] is not None
+    one = first.predictions.first()
+    assert set(one["features"]) == set(FEATURE_COLUMNS) and one["model_version"] == "v1"
+
+    def broken(*_):
+        raise RuntimeError("no disk")
+
+    cv = spark.createDataFrame([(0.5, 0.1)], "cv_auc_mean double, cv_auc_std double")
+    with monkeypatch.context() as patch:
+        patch.setattr(runs, "metrics_row", broken)
+        with pytest.raises(RuntimeError):
+            runs.store_run(folder, trained, cv)
+    assert runs.load_run(spark, folder).metrics.first() == row
+    assert runs.store_run(folder, trained, cv) == 1
+    second = runs.load_run(spark, folder)
+    assert second.number == 1 and second.metrics.first()["cv_auc_mean"] == 0.5
+    scores = [model.score_trials(m, trials) for m in (trained.model, second.model)]
+    assert scores[0].exceptAll(scores[1]).isEmpty()
+    assert runs.load_run(spark, folder, number=0).metrics.first() == row
+
+
+def test_jobs_run_side_by_side_and_fail_aloud(spark):
+    import time
+
+    pool = "spark.scheduler.pool"
+
+    def work(k):
+        def run():
+            time.sleep(0.5)
+            return spark.sparkContext.getLocalProperty(pool), spark.range(k + 1).count()
+
+        return run
+
+    began = time.perf_counter()
+    assert model.side_by_side(spark, [work(k) for k in range(5)], "t") == [(f"t-{k}", k + 1) for k in range(5)]
+    assert time.perf_counter() - began < 2.4 and spark.sparkContext.getLocalProperty(pool) is None
+
+    def fails():
+        raise ValueError("one")
+
+    with pytest.raises(ValueError, match="one"):
+        model.side_by_side(spark, [work(0), fails], "t")
