@@ -30,14 +30,15 @@ from cohortlens.session import shared_folder, staged
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Texts of a chunk, and of what is cut at a time; text given to a tokenizer in one piece.
-CHUNK_BYTES, RUN_BYTES, PIECE_BYTES = 24 << 20, 8 << 20, 1 << 12
-#: Rows of (document, pair) handled at a time.
-PAIR_ROWS = 2_000_000
+CHUNK_BYTES, RUN_BYTES, PIECE_BYTES, PIECES = 12 << 20, 2 << 20, 1 << 13, 64
+#: Units aligned at a time, rows of (document, pair) counted at a time.
+UNITS, PAIR_ROWS = 1 << 16, 500_000
 #: Text that a lane's pairs come from, and the most lanes there are.
 LANE_BYTES, MOST_LANES = 24 << 20, 1 << 14
 
 #: A pair as one number: first id, then second.
-SHIFT = np.uint64(20)
+ID_BITS = 20
+SHIFT = np.uint64(ID_BITS)
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -65,7 +66,7 @@ class _Tokenizers:
         ]
         # units may be cut before a blank, line feed or tab, as no piece holds one of them behind another character
         cut = [n for i, n in enumerate(names) if not self.second.is_byte(i) and ("▁" in n.lstrip("▁") or "\n" in n or "\t" in n)]
-        if cut or len(vocabulary) > 1 << 20 or len(names) > 1 << 20:
+        if cut or max(len(vocabulary), len(names)) > 1 << ID_BITS:
             raise ValueError("these tokenizers do not begin anew at blanks")
 
     def first_ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -81,21 +82,24 @@ def _tokenizers(first: str, second: str) -> _Tokenizers:
     return _Tokenizers(first, second)
 
 
+def _solid(last: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Whether a character, by its last three bytes, is none of white space or control.
+
+    Characters beyond ASCII that share their first bytes with white space are passed over.
+    """
+    odd = (second == 0xC2) | ((third == 0xE1) & (second == 0x9A)) | ((third == 0xE2) & (second >= 0x80) & (second <= 0x81)) | ((third == 0xE3) & (second == 0x80))
+    return ((last > 32) & (last < 127)) | ((last >= 128) & ~odd)
+
+
 def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where units begin in the bytes of texts: at each text, and at a blank, line
     feed or tab behind a character that is no white space."""
-    before = data[:-1]
-    white = (data[1:] == 32) | (data[1:] == 10) | (data[1:] == 9)
-    solid = (before > 32) & (before < 127)
-    # letters beyond ASCII; those that share their first bytes with white space are passed over
-    last = before >= 128
-    if last.any():
-        two = np.concatenate([[0], before[:-1]])
-        three = np.concatenate([[0, 0], before[:-2]])
-        odd = (two == 0xC2) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & (two >= 0x80) & (two <= 0x81)) | ((three == 0xE3) & (two == 0x80))
-        solid |= last & ~odd
+    white = np.flatnonzero((data == 32) | (data == 10) | (data == 9))
+    inside = white[white > 2]  # every text begins with a blank, so the first bytes hold no other cut
     mark = np.zeros(len(data) + 1, bool)
-    mark[1:-1] = white & solid
+    mark[inside[_solid(data[inside - 1], data[inside - 2], data[inside - 3])]] = True
+    near = white[(white > 0) & (white <= 2)]
+    mark[near[(data[near - 1] > 32) & (data[near - 1] < 127)]] = True
     mark[starts] = True
     return np.flatnonzero(mark[:-1])
 
@@ -118,41 +122,48 @@ def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return units, np.where(empty, 0, counts)
 
 
-def _joined(units: list[bytes], ends: list[bool]) -> Iterator[tuple[list[int], str]]:
-    """Units as text for the tokenizers: those that end in a plain character in long
-    pieces, where the next unit begins anew; the others one by one."""
-    held, size = [], 0
-    for k, (unit, plain) in enumerate(zip(units, ends)):
-        held.append(k)
-        size += len(unit)
-        if not plain or size >= PIECE_BYTES:
-            yield held, b"".join([units[i] for i in held]).decode()
-            held, size = [], 0
-    if held:
-        yield held, b"".join([units[i] for i in held]).decode()
+def _joined(ends: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Bounds of runs of units to give to a tokenizer as one text: some ``PIECE_BYTES``
+    each, and no unit after one that doesn't end in a plain character, as only
+    behind such a one the next unit begins anew. ``ends`` are the units' last bytes."""
+    piece = ends // PIECE_BYTES
+    last = ~plain
+    last[:-1] |= piece[1:] != piece[:-1]
+    last[-1:] = True
+    return np.concatenate([[0], np.flatnonzero(last) + 1])
 
 
-def _encoded(units: list[bytes], ends: list[bool], encode, table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _encoded(units: list[bytes], plain: np.ndarray, encode, table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat ids of units, how many each has, and whether its tokens give back its bytes."""
-    groups = list(_joined(units, ends))
     sizes = np.array([len(t) for t in table], np.int64)
+    ends = np.cumsum([len(u) for u in units])
+    bounds = _joined(ends, plain)
     flat, counts, good = [], np.zeros(len(units), np.int64), np.ones(len(units), bool)
-    for at in range(0, len(groups), 2_000):
-        part = groups[at : at + 2_000]
-        for (held, text), ids in zip(part, encode([t for _, t in part])):
-            stops = np.cumsum([len(units[k]) for k in held])
-            reached = np.cumsum(sizes[ids])
-            upto = np.searchsorted(reached, stops)
-            whole = b"".join(map(table.__getitem__, ids.tolist())) == text.encode()
-            if whole and (reached[np.minimum(upto, len(reached) - 1)] == stops).all():
-                counts[held[0] : held[-1] + 1] = np.diff(upto + 1, prepend=0)
-                flat.append(ids)
+
+    def fits(ids: np.ndarray, low: int, high: int) -> bool:
+        """Takes over the ids of units ``low`` to ``high`` if they give back their bytes, each unit its own."""
+        reached = np.cumsum(sizes[ids])
+        stops = ends[low:high] - (ends[low - 1] if low else 0)
+        upto = np.searchsorted(reached, stops)
+        if not len(ids) or upto[-1] >= len(reached) or (reached[upto] != stops).any():
+            return False
+        if b"".join(map(table.__getitem__, ids.tolist())) != b"".join(units[low:high]):
+            return False
+        counts[low:high] = np.diff(upto + 1, prepend=0)
+        flat.append(ids)
+        return True
+
+    for at in range(0, len(bounds) - 1, PIECES):
+        cut = bounds[at : at + PIECES + 1].tolist()
+        found = encode([b"".join(units[a:b]).decode() for a, b in zip(cut, cut[1:])])
+        if fits(np.concatenate(found), cut[0], cut[-1]):
+            continue
+        for ids, a, b in zip(found, cut, cut[1:]):
+            if fits(ids, a, b):
                 continue
-            for k in held:  # each on its own, to see which of them is changed
-                own = encode([units[k].decode()])[0]
-                good[k] = b"".join(map(table.__getitem__, own.tolist())) == units[k]
-                counts[k] = len(own) if good[k] else 0
-                flat.append(own[: counts[k]])
+            for k in range(a, b):  # each on its own, to see which of them is changed
+                (own,) = encode([units[k].decode()])
+                good[k] = fits(own, k, k + 1)
     return np.concatenate([np.zeros(0, np.int64), *flat]), counts, good
 
 
@@ -179,16 +190,21 @@ def _grouped(first: pa.Table, second: pa.Table) -> tuple[np.ndarray, np.ndarray,
     return groups[0], groups[1], len(both)
 
 
-def _links(first: pa.Table, second: pa.Table, groups: tuple[np.ndarray, np.ndarray, int]) -> pa.Table:
-    """unit, pair, links: all pairs of tokens of a group, added up by unit and pair of ids."""
+def _links(first: pa.Table, second: pa.Table, groups: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, pair of ids, links) of all groups, ascending by unit; tokens of a group with one id are counted first."""
+    unit = np.zeros(groups[2], np.int64)
+    unit[groups[0]] = first.column("unit").to_numpy()
     sides = []
     for side, group, name in ((first, groups[0], "a"), (second, groups[1], "b")):
-        rows = pa.table({"group": group, "unit": side.column("unit"), name: side.column("id")})
-        sides.append(rows.group_by(["group", "unit", name], use_threads=False).aggregate([([], "count_all")]).rename_columns(["group", "unit", name, f"n_{name}"]))
-    pairs = sides[0].join(sides[1].drop_columns(["unit"]), "group", join_type="inner", use_threads=False)
+        keys = pa.table({"k": (group << ID_BITS) | side.column("id").to_numpy()})
+        counted = keys.group_by("k", use_threads=False).aggregate([([], "count_all")])
+        found = counted.column("k").to_numpy()
+        sides.append(pa.table({"group": found >> ID_BITS, name: found & ((1 << ID_BITS) - 1), f"n_{name}": counted.column("count_all")}))
+    pairs = sides[0].join(sides[1], "group", join_type="inner", use_threads=False)
+    owner = unit[pairs.column("group").to_numpy()]
+    order = np.argsort(owner, kind="stable")
     key = (pairs.column("a").to_numpy().astype(np.uint64) << SHIFT) | pairs.column("b").to_numpy().astype(np.uint64)
-    rows = pa.table({"unit": pairs.column("unit"), "pair": key, "links": pc.multiply(pairs.column("n_a"), pairs.column("n_b"))})
-    return rows.group_by(["unit", "pair"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["unit", "pair", "links"]).sort_by("unit")
+    return owner[order], key[order], pc.multiply(pairs.column("n_a"), pairs.column("n_b")).to_numpy()[order]
 
 
 @lru_cache(maxsize=1)
@@ -199,7 +215,8 @@ def _numerals(size: int) -> pa.Array:
 
 def _shown(first: pa.Table, second: pa.Table, groups: tuple[np.ndarray, np.ndarray, int], units: int) -> list[bytes]:
     """Groups of each unit as text, a semicolon after each."""
-    size = 1 << 17
+    size = max([0, *(int(side.column("id").to_numpy().max()) for side in (first, second) if len(side))]) + 1
+    size = 1 << size.bit_length()
     per = [np.bincount(g, minlength=groups[2]) for g in groups[:2]]
     before = [np.cumsum(p) - p for p in per]
     marks = np.zeros(len(first) + len(second), np.int64)
@@ -218,9 +235,10 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def _documents_with(unit: np.ndarray, owner: np.ndarray, links: pa.Table, pair: np.ndarray, n_units: int, n_pairs: int) -> np.ndarray:
-    """In how many documents each pair is linked, from the units of the documents."""
-    per = np.bincount(links.column("unit").to_numpy(), minlength=n_units)
+def _documents_with(unit: np.ndarray, owner: np.ndarray, linked: np.ndarray, pair: np.ndarray, n_units: int, n_pairs: int) -> np.ndarray:
+    """In how many documents each pair is linked, from the units of the documents
+    and the units that pairs are linked in."""
+    per = np.bincount(linked, minlength=n_units)
     begin = np.cumsum(per) - per
     total = np.zeros(n_pairs, np.int64)
     upto = np.cumsum(per[unit])
@@ -244,6 +262,25 @@ def _lane_of(pairs: np.ndarray, lanes: int) -> np.ndarray:
     return ((pairs >> SHIFT) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(lanes)
 
 
+def _aligned(*sides: tuple[np.ndarray, np.ndarray, list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Links by unit and pair, groups as text, and number of groups of units, from
+    the flat ids, counts and byte table of both sides; some units at a time."""
+    stops = [np.concatenate([[0], np.cumsum(n)]) for _, n, _ in sides]
+    size, parts, shown = len(sides[0][1]), [], []
+    for at in range(0, size, UNITS):
+        upto = min(size, at + UNITS)
+        first, second = (_tokens(ids[s[at] : s[upto]], n[at:upto], table) for (ids, n, table), s in zip(sides, stops))
+        groups = _grouped(first, second)
+        unit, keys, links = _links(first, second, groups)
+        last = np.flatnonzero(np.diff(groups[0], append=groups[2]))
+        n_groups = np.bincount(first.column("unit").to_numpy()[last], minlength=upto - at)
+        parts.append((unit + at, keys, links, n_groups))
+        shown += _shown(first, second, groups, upto - at)
+    nothing = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    unit, keys, links, n_groups = (np.concatenate(c) for c in zip(nothing, *parts))
+    return unit, keys, links, shown, n_groups
+
+
 def _align_chunk(texts: pa.Array, ids: pa.Array, paths: tuple[str, str]) -> tuple[dict[str, bytes], np.ndarray, np.ndarray]:
     """Parts of the chunk's file; its distinct pairs and in how many of its documents each is linked."""
     tools = _tokenizers(*paths)
@@ -251,7 +288,8 @@ def _align_chunk(texts: pa.Array, ids: pa.Array, paths: tuple[str, str]) -> tupl
     coded = cut.dictionary_encode()
     units = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy().astype(np.int64)
-    plain = [33 <= u[-1] < 127 for u in units]
+    tails = np.frombuffer(b"".join([u[-3:].rjust(3) for u in units]), np.uint8).reshape(-1, 3)
+    plain = _solid(tails[:, 2], tails[:, 1], tails[:, 0])
     first_ids, first_n, first_good = _encoded(units, plain, tools.first_ids, tools.first_bytes)
     second_ids, second_n, second_good = _encoded(units, plain, tools.second_ids, tools.second_bytes)
     # a document with a unit that does not come back has no tokens
@@ -263,28 +301,24 @@ def _align_chunk(texts: pa.Array, ids: pa.Array, paths: tuple[str, str]) -> tupl
     if not good.all():
         first_ids, second_ids = first_ids[np.repeat(good, first_n)], second_ids[np.repeat(good, second_n)]
         first_n, second_n = np.where(good, first_n, 0), np.where(good, second_n, 0)
-    first, second = _tokens(first_ids, first_n, tools.first_bytes), _tokens(second_ids, second_n, tools.second_bytes)
-    groups = _grouped(first, second)
-    links = _links(first, second, groups)
-    shown = _shown(first, second, groups, len(units))
-    pairs, pair = np.unique(links.column("pair").to_numpy(), return_inverse=True)
-    n_links = np.bincount(links.column("unit").to_numpy(), links.column("links").to_numpy(), len(units)).astype(np.int64)
-    n_groups = np.bincount(first.column("unit").to_numpy()[np.flatnonzero(np.diff(groups[0], append=groups[2]))], minlength=len(units))
+    linked, keys, links, shown, n_groups = _aligned((first_ids, first_n, tools.first_bytes), (second_ids, second_n, tools.second_bytes))
+    pairs, pair = np.unique(keys, return_inverse=True)
+    n_links = np.bincount(linked, links, len(units)).astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     digests = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         said = b"".join(map(shown.__getitem__, index[a:b].tolist()))
         digests.append(hashlib.sha256(said[:-1]).digest() if a < b else bytes(32))
     sums = [np.diff(np.concatenate([[0], np.cumsum(v[index])])[bounds]) for v in (first_n, second_n, n_groups, n_links)]
-    documents = _documents_with(index, owner, links, pair, max(1, len(units)), max(1, len(pairs)))[: len(pairs)]
+    documents = _documents_with(index, owner, linked, pair, max(1, len(units)), max(1, len(pairs)))[: len(pairs)]
     order = np.argsort(-np.bincount(index, minlength=len(units)), kind="stable")  # frequent units first: small numbers
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     parts = {
         "ids": squeezed(np.array(pc.fill_null(ids, 0), np.int64)), "known": squeezed(np.array(ids.is_valid(), np.uint8)),
         "counts": squeezed(counts), "digests": b"".join(digests), **{f"sum{k}": squeezed(v.astype(np.int64)) for k, v in enumerate(sums)},
-        "index": squeezed(rank[index].astype(np.uint32)), "unit": squeezed(rank[links.column("unit").to_numpy()].astype(np.uint32)),
-        "pair": squeezed(pair.astype(np.uint32)), "links": squeezed(links.column("links").to_numpy().astype(np.uint64)),
+        "index": squeezed(rank[index].astype(np.uint32)), "unit": squeezed(rank[linked].astype(np.uint32)),
+        "pair": squeezed(pair.astype(np.uint32)), "links": squeezed(links.astype(np.uint64)),
         "n_units": squeezed(np.array([len(units)], np.int64)),
     }
     return parts, pairs, documents
@@ -306,6 +340,7 @@ def _align_chunks(folder: str, lanes: int, paths: tuple[str, str]):
             present = np.unique(lane)
             save_parts(folder, chunk, pairs=sorted_blob(pairs), **parts)
             rows = [(n, sorted_blob(pairs[m]), squeezed(documents[m])) for n in present.tolist() for m in (lane == n,)]
+            pa.default_memory_pool().release_unused()
             rows = rows or [(0, sorted_blob(pairs), squeezed(documents))]  # a chunk without pairs comes back as well
             numbers, keys, blobs = zip(*rows)
             yield pa.RecordBatch.from_pydict(
