@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,10 @@ from cohortlens.operators.attribution import attributions, mean_attribution
 from cohortlens.operators.model import Boosting, Training, train_model
 from cohortlens.operators.normalize import normalise
 from cohortlens.plans import fixtures as X
-from cohortlens.session import shared_folder
+from cohortlens.session import shared_folder, staged
 from cohortlens.sources import artifacts, tables
+from cohortlens.sources.keyed import KeyedTable
+from cohortlens.sources.runs import load_run, store_run
 from cohortlens.sources.studies import open_pages, parse_studies, split_studies
 from cohortlens.sources.synthetic import generate_trials
 from cohortlens.streaming import monitor
@@ -57,6 +61,10 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 OUTCOME = ("outcome_success", "enrollment", "duration_days")
 
 
+#: The time of changes that check SQL knows as well.
+_STAMP = "2030-01-01"
+
+
 # --- grouped statistics ------------------------------------------------------
 
 
@@ -114,14 +122,31 @@ def search_array_member(spark, d):
     return search.search_trials(X.trials(spark, d, SEARCHED), query="COVID-19", limit=30)
 
 
+_stored_tables: dict[tuple[str, str], KeyedTable] = {}
+
+
+def _by_key(spark: SparkSession, d: str) -> KeyedTable:
+    """All trials of a data folder as a stored table, written once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored_tables:
+        rows = X.trials(spark, d)
+        whole = rows.withColumn("raw_json", F.to_json(F.struct("nct_id", "title", "overall_status")))
+        made = tables.trials_by_key(spark, shared_folder(spark, "trials-by-key"))
+        made.create(tables.with_bookkeeping(whole, F.lit(_STAMP).cast("timestamp")))
+        _stored_tables[key] = made
+    return _stored_tables[key]
+
+
 @query
 def trial_details(spark, d):
-    return flat(search.trial_details(X.trials(spark, d), "nct00000042"))
+    return flat(search.trial_details(_by_key(spark, d).lookup("NCT00000042"), "nct00000042"))
 
 
 @query
 def trial_details_full(spark, d):
-    return flat(search.trial_details(X.trials(spark, d), "NCT00000012", full=True))
+    """Every column but the raw document, the table's own bookkeeping included."""
+    row = search.trial_details(_by_key(spark, d).lookup("NCT00000012"), "NCT00000012", full=True)
+    return flat(row.withColumns({c: F.to_date(c) for c in ("ingested_at", "updated_at")}))
 
 
 # --- comparison and sponsors -------------------------------------------------
@@ -195,6 +220,21 @@ QUERIES |= {
 # --- study documents ---------------------------------------------------------
 
 
+@query
+def chart_dispatch(spark, d):
+    """Every chart by its name, its rows by label; the name nobody knows is refused."""
+    columns = ("phase", "therapeutic_area", "sponsor_class", "start_date", *OUTCOME)
+    trials = X.trials(spark, d, columns)
+    with contextlib.suppress(ValueError):
+        charts.chart_data(trials, "pie")
+        raise AssertionError("an unknown chart was drawn")
+    found = []
+    for kind in sorted(charts.CHARTS):
+        rows = charts.chart_data(trials, kind, phase="phase3")
+        found.append(rows.select(F.lit(kind).alias("chart"), F.col(rows.columns[0]).cast("string").alias("label"), "total"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _normalised(spark, d, *columns) -> DataFrame:
     return normalise(parse_studies(X.raw_studies(spark, d))).select("nct_id", *columns)
 
@@ -301,9 +341,6 @@ def table_scan(spark, d):
 
 # --- table maintenance -------------------------------------------------------
 
-_STAMP = "2030-01-01"
-
-
 def _stored(spark, d) -> DataFrame:
     stored = X.trials(spark, d, X.INCOMING_COLUMNS)
     return stored.withColumns(
@@ -330,6 +367,18 @@ def upsert_counts(spark, d):
     return upsert.upsert_counts(_stored(spark, d), _latest(spark, d))
 
 
+@query
+def merge_touched(spark, d):
+    """The incoming batch merged into a stored table, of which only its buckets are rewritten."""
+    stored = _stored(spark, d)
+    layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema)
+    table = KeyedTable(spark, shared_folder(spark, "keyed"), layout)
+    table.create(stored, buckets=128)
+    stamp = F.to_date(F.lit(_STAMP))
+    done = table.merge(_latest(spark, d), stamps={"ingested_at": stamp, "updated_at": stamp})
+    return table.read().withColumns({"inserted": F.lit(done.inserted).cast("long"), "updated": F.lit(done.updated).cast("long")})
+
+
 @query
 def insert_absent(spark, d):
     return upsert.insert_absent(_stored(spark, d), _latest(spark, d))
@@ -337,7 +386,7 @@ def insert_absent(spark, d):
 
 @query
 def job_log(spark, d):
-    """Two logged ingest jobs: a first load of all trials, then the finished ones again."""
+    """Three logged ingest jobs: a first load of all trials, one that fails, then the finished ones again."""
     folder = shared_folder(spark, "ingest-jobs")
     rows = X.trials(spark, d).withColumn("raw_json", F.lit(None).cast("string"))
     first, second = f"{folder}/snapshot-1", f"{folder}/snapshot-2"
@@ -348,10 +397,15 @@ def job_log(spark, d):
     def refresh():
         return tables.upsert_trials(spark, first, predicates.by_status(rows), ["title"], second)
 
+    def breaks():
+        raise OSError("the feed ended early")
+
     tables.run_logged(spark, f"{folder}/log", "load", load)
+    with contextlib.suppress(OSError):
+        tables.run_logged(spark, f"{folder}/log", "broken", breaks)
     tables.run_logged(spark, f"{folder}/log", "refresh", refresh)
     return tables.job_states(spark.read.parquet(f"{folder}/log")).select(
-        "job_id", "status", "records_fetched", "records_inserted", "records_updated"
+        "job_id", "status", "records_fetched", "records_inserted", "records_updated", "error_message"
     )
 
 
@@ -734,20 +788,30 @@ def stream_over_limit(spark, d):
 
 # --- model -------------------------------------------------------------------
 
-# A short run of the same training: the library default is the full 300 trees.
-BRIEF = Boosting(trees=10)
+#: The published settings; tests of the queries shorten them.
+BOOSTING = Boosting()
 
-_trained: dict[tuple[str, str], Training] = {}
+_trained: dict[tuple, Training] = {}
+_validated: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _model(spark: SparkSession, d: str) -> Training:
     """The model of a data folder, trained once per application."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, d, BOOSTING)
     if key not in _trained:
-        _trained[key] = train_model(X.trials(spark, d, splits.TRAINING_INPUTS), BRIEF)
+        _trained[key] = train_model(X.trials(spark, d, splits.TRAINING_INPUTS), BOOSTING)
     return _trained[key]
 
 
+def _folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Areas per fold and their mean and deviation, worked out once per application."""
+    key = (spark.sparkContext.applicationId, d, BOOSTING)
+    if key not in _validated:
+        both = model.cross_validate(X.trials(spark, d, splits.TRAINING_INPUTS), BOOSTING)
+        _validated[key] = tuple(staged(rows, "cross-validation") for rows in both)
+    return _validated[key]
+
+
 @query
 def gbt_metrics(spark, d):
     return _model(spark, d).metrics
@@ -761,8 +825,7 @@ def gbt_scores(spark, d):
 
 @query
 def gbt_score_by_id(spark, d):
-    trials = X.trials(spark, d, splits.TRAINING_INPUTS)
-    return model.score_trial(_model(spark, d).model, trials, "nct00000042")
+    return model.score_trial(_model(spark, d).model, _by_key(spark, d).lookup("NCT00000042"), "nct00000042")
 
 
 @query
@@ -785,8 +848,7 @@ def shap_importance(spark, d):
 
 @query
 def cv_auc(spark, d):
-    trials = X.trials(spark, d, splits.TRAINING_INPUTS)
-    return model.cross_validate(trials, BRIEF)[1]
+    return _folds(spark, d)[1]
 
 
 @query
@@ -797,3 +859,101 @@ def model_reload(spark, d):
     loaded = artifacts.load_model(folder, "v1")
     trials = X.trials(spark, d, splits.TRAINING_INPUTS)
     return model.score_trials(loaded, trials).groupBy("predicted_success", "confidence").count()
+
+
+# What holds for any trained trees, so that it can be checked in SQL
+
+
+def _follows(scores: DataFrame, key: str) -> DataFrame:
+    """Whether label, band, colour and percentage of a score follow from its probability."""
+    p = F.col("success_probability")
+    far = F.abs(p - 0.5)
+    band = F.when(far > 0.2501, "High").when((far > 0.1001) & (far < 0.2499), "Medium").when(far < 0.0999, "Low")
+    return scores.select(
+        key,
+        (F.abs(p + F.col("failure_probability") - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("predicted_success") == (p >= 0.5)).alias("label_follows"),
+        F.coalesce(F.col("confidence") == band, F.lit(True)).alias("band_follows"),
+        (F.abs(F.col("success_pct") - p * 100) <= 0.51).alias("percent_follows"),
+        p.between(0, 1).alias("in_range"),
+    )
+
+
+@query
+def score_properties(spark, d):
+    return _follows(gbt_scores(spark, d), "nct_id")
+
+
+@query
+def score_by_id_properties(spark, d):
+    """The score of a single look-up is that of the whole table."""
+    one = gbt_score_by_id(spark, d)
+    whole = gbt_scores(spark, d)
+    return one.join(whole, list(one.columns)).select("nct_id")
+
+
+@query
+def design_properties(spark, d):
+    return _follows(score_designs(spark, d), "design_id")
+
+
+@query
+def attribution_properties(spark, d):
+    """Hold-out rows whose attributions and base add up to their log-odds."""
+    trained = _model(spark, d)
+    p = F.col("predicted_proba")
+    total = reduce(lambda a, b: a + b, [F.col(n) for n in FEATURE_COLUMNS], F.col("base"))
+    explained = attributions(trained.model, trained.holdout)
+    return explained.join(trained.holdout.select("nct_id", p), "nct_id").select(
+        "nct_id", (F.abs(total - F.ln(p / (1 - p))) < 1e-6).alias("adds_up")
+    )
+
+
+@query
+def importance_properties(spark, d):
+    """All features with an importance and a mean attribution; the importances add up to one."""
+    trained = _model(spark, d)
+    built_in = model.importance(trained.model, spark, None).withColumnRenamed("importance", "weight")
+    means = evaluation.relative_importance(mean_attribution(attributions(trained.model, trained.holdout)), top=17)
+    whole = built_in.agg(F.sum("weight")).scalar()
+    return built_in.join(means, "feature").select(
+        "feature",
+        F.col("weight").between(0, 1).alias("in_range"),
+        (F.abs(whole - 1) < 1e-3).alias("adds_up"),
+        F.col("relative_pct").between(0, 100).alias("relative"),
+    )
+
+
+@query
+def fold_properties(spark, d):
+    """Rows of both classes that each fold was tested on, and that its area is one."""
+    return _folds(spark, d)[0].select("fold", "n_positive", "n_negative", F.col("auc_roc").between(0, 1).alias("in_range"))
+
+
+@query
+def stored_run(spark, d):
+    """A training run published and read back: what its metrics say, counted again from its predictions and its model."""
+    folder = shared_folder(spark, "runs")
+    store_run(folder, _model(spark, d), _folds(spark, d)[1])
+    run = load_run(spark, folder)
+    again = evaluation.overall_metrics(run.predictions, by=("model_version",)).select(
+        "model_version", "n_samples", F.col("accuracy").alias("accuracy_again"), F.col("f1_score").alias("f1_again")
+    )
+    trials = X.trials(spark, d, splits.TRAINING_INPUTS)
+    scored = model.score_trials(run.model, trials).agg(F.count(F.lit(1))).scalar()
+    return run.metrics.join(again, "model_version").select(
+        "model_version", "n_train", "n_test", "n_samples", scored.alias("n_scored"),
+        F.size("feature_importance").cast("long").alias("n_importances"),
+        (F.col("accuracy") == F.col("accuracy_again")).alias("accuracy_holds"),
+        (F.col("f1_score") == F.col("f1_again")).alias("f1_holds"),
+        (F.col("auc_roc").between(0, 1) & F.col("cv_auc_mean").between(0, 1) & (F.col("cv_auc_std") >= 0)).alias("areas_hold"),
+    )
+
+
+@query
+def reload_properties(spark, d):
+    """Trials that the stored and loaded model scores as the trained one does."""
+    folder, trained = shared_folder(spark, "models"), _model(spark, d)
+    artifacts.save_model(trained.model, trained.metrics, folder, "v1")
+    again = model.score_trials(artifacts.load_model(folder, "v1"), X.trials(spark, d, splits.TRAINING_INPUTS))
+    return again.join(gbt_scores(spark, d), list(again.columns)).select("nct_id")

@@ -378,6 +378,8 @@ _REPORT = _p(
       round(sum(f * s) / sum(s), 9), sum(s)::BIGINT FROM f"""
 )
 
+_FOLLOWS = "true AS sums_to_one, true AS label_follows, true AS band_follows, true AS percent_follows, true AS in_range"
+
 ORACLE: dict[str, str] = {
     "stats_by_phase": _stats("phase"),
     "stats_by_area": _stats("therapeutic_area", "AND phase = 'PHASE2'"),
@@ -398,7 +400,8 @@ ORACLE: dict[str, str] = {
     ),
     "trial_details": _t(f"SELECT {_arrays(_DETAIL)} FROM trials WHERE nct_id = 'NCT00000042'"),
     "trial_details_full": _t(
-        f"SELECT {_arrays(_DETAIL)}, enrollment_type FROM trials WHERE nct_id = 'NCT00000012'"
+        f"SELECT {_arrays(_DETAIL)}, enrollment_type, CAST(NULL AS INT) AS number_of_groups,"
+        " DATE '2030-01-01' AS ingested_at, DATE '2030-01-01' AS updated_at FROM trials WHERE nct_id = 'NCT00000012'"
     ),
     "compare_groups": _compare("sponsor_class", "INDUSTRY", "NIH", "AND therapeutic_area ILIKE '%onco%'"),
     "compare_groups_compact": _compare("phase", "PHASE2", "PHASE3", median=False),
@@ -478,6 +481,13 @@ ORACLE: dict[str, str] = {
     "upsert_counts": _t(
         f"{_BATCH} SELECT (SELECT count(*) FROM added) AS inserted, (SELECT count(*) FROM moved) AS updated"
     ),
+    "merge_touched": _t(
+        f"""{_BATCH}, whole AS (SELECT *, start_date AS ingested_at, start_date AS updated_at FROM stored
+        WHERE overall_status <> 'RECRUITING'
+        UNION ALL SELECT *, start_date, DATE '2030-01-01' FROM moved
+        UNION ALL SELECT *, DATE '2030-01-01', DATE '2030-01-01' FROM added)
+        SELECT *, (SELECT count(*) FROM added) AS inserted, (SELECT count(*) FROM moved) AS updated FROM whole"""
+    ),
     "insert_absent": _t(f"{_BATCH} SELECT * FROM added"),
     "conv_list": f"SELECT conv_id, title, message_count FROM ({_SUMMARIES}) ORDER BY conv_id DESC LIMIT 20 OFFSET 5",
     "conv_messages": "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id = 7",
@@ -621,8 +631,9 @@ ORACLE: dict[str, str] = {
         """, n AS (SELECT count(*) AS loaded, count(*) FILTER (WHERE overall_status IN
              ('COMPLETED', 'TERMINATED', 'WITHDRAWN')) AS again FROM trials)
         SELECT 'load' AS job_id, 'completed' AS status, loaded AS records_fetched,
-               loaded AS records_inserted, 0::BIGINT AS records_updated FROM n
-        UNION ALL SELECT 'refresh', 'completed', again, 0, again FROM n"""
+               loaded AS records_inserted, 0::BIGINT AS records_updated, CAST(NULL AS VARCHAR) AS error_message FROM n
+        UNION ALL SELECT 'broken', 'failed', 0, 0, 0, 'the feed ended early'
+        UNION ALL SELECT 'refresh', 'completed', again, 0, again, NULL FROM n"""
     ),
     "prediction_flags": _p("SELECT nct_id, model_version, predicted_label, correct FROM predictions"),
     "prediction_store": _p(
@@ -634,4 +645,36 @@ ORACLE: dict[str, str] = {
           FROM predictions p JOIN trials t USING (nct_id) GROUP BY 1, 2)
         SELECT * EXCLUDE (tp, tn, fp, fn) FROM ({_quality("model_version, trained_at")})"""
     ),
+    "chart_dispatch": _t(
+        f""", kept AS (SELECT * FROM trials WHERE {LAB} AND phase = 'PHASE3'),
+        sponsors AS (SELECT 'sponsor_comparison' AS chart, sponsor_class AS label, count(*) AS total FROM kept
+                     WHERE sponsor_class IS NOT NULL GROUP BY 2 ORDER BY total DESC, label LIMIT 6)
+        SELECT 'success_rate_by_phase' AS chart, phase AS label, count(*) AS total FROM kept GROUP BY 2
+        UNION ALL SELECT 'success_rate_by_area', therapeutic_area, count(*) FROM kept GROUP BY 2
+        UNION ALL SELECT 'enrollment_distribution', {_bins("enrollment", ENROLLMENT_BINS)}, count(*) FROM kept
+            WHERE enrollment IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'trial_volume_over_time', CAST(CAST(date_trunc('year', start_date) AS DATE) AS VARCHAR), count(*)
+            FROM kept WHERE start_date IS NOT NULL GROUP BY 2
+        UNION ALL SELECT * FROM sponsors
+        UNION ALL SELECT 'duration_vs_success', {_bins("duration_days", DURATION_BINS)}, count(*) FROM kept
+            WHERE duration_days IS NOT NULL GROUP BY 2"""
+    ),
+    "score_properties": _t(f"SELECT nct_id, {_FOLLOWS} FROM trials"),
+    "score_by_id_properties": _t("SELECT nct_id FROM trials WHERE nct_id = 'NCT00000042'"),
+    "design_properties": f"SELECT p_partkey AS design_id, {_FOLLOWS} FROM part",
+    "attribution_properties": _t(f"{_RANKED} SELECT nct_id, true AS adds_up FROM dealt WHERE is_test"),
+    "importance_properties": " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, true AS in_range, true AS adds_up, true AS relative" for n in FEATURE_COLUMNS
+    ),
+    "fold_properties": _t(
+        f"{_RANKED} SELECT fold, count(*) FILTER (WHERE label = 1) AS n_positive,"
+        " count(*) FILTER (WHERE label = 0) AS n_negative, true AS in_range FROM dealt GROUP BY 1"
+    ),
+    "stored_run": _t(
+        f"{_RANKED} SELECT 'v1' AS model_version, count(*) FILTER (WHERE NOT is_test) AS n_train,"
+        " count(*) FILTER (WHERE is_test) AS n_test, count(*) FILTER (WHERE is_test) AS n_samples,"
+        " (SELECT count(*) FROM trials) AS n_scored, 17::BIGINT AS n_importances,"
+        " true AS accuracy_holds, true AS f1_holds, true AS areas_hold FROM dealt"
+    ),
+    "reload_properties": _t("SELECT nct_id FROM trials"),
 }

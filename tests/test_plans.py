@@ -16,6 +16,8 @@ EAGER = {
     "stream_ingest", "stream_alarms", "stream_over_limit", "table_scan", "job_log",
     "prediction_store", "metrics_store", "model_reload", "gbt_metrics", "gbt_scores",
     "gbt_score_by_id", "score_designs", "gbt_importance", "shap_importance", "cv_auc",
+    "score_properties", "score_by_id_properties", "design_properties", "attribution_properties",
+    "importance_properties", "fold_properties", "stored_run", "reload_properties",
 }
 
 
@@ -30,6 +32,12 @@ def test_no_pairwise_joins_and_no_python(spark, name):
         assert node not in text
 
 
+@pytest.mark.parametrize("name, key", [("trial_details", "NCT00000042"), ("trial_details_full", "NCT00000012")])
+def test_registered_look_ups_read_one_file(spark, name, key):
+    found = QUERIES[name](spark, SMALL)
+    assert f"EqualTo(nct_id,{key})" in plan(found) and len(found.inputFiles()) == 1
+
+
 @pytest.fixture(scope="module")
 def stored(spark, trials, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("trials") / "t")
