@@ -12,12 +12,13 @@ keep to one replacement a value, as in a re-parameterised question.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.session import staged
+from cohortlens.session import staged, staging
 
 NUMBER, NAME, UNIT = "0num", "0name", "0unit"
 
@@ -29,7 +30,7 @@ UNITS = (
     "dollar", "dollars", "euro", "euros", "cent", "cents", "degrees",
 )
 
-_TOKEN = r"([0-9]+(?:[.,:/][0-9]+)*|(?:(?![0-9])[\p{L}\p{N}])+)"
+_TOKEN = r"([0-9]+(?:[.,:/][0-9]+)*|[\p{L}\p{N}&&[^0-9]]+)"
 
 
 @dataclass(frozen=True)
@@ -63,30 +64,40 @@ def _name(token: Column) -> Column:
     return (first != F.lower(first)) & (token != F.upper(token))
 
 
-def forms(raw: str, named: bool) -> Column:
-    """Template tokens of the tokens in a column; names are placeholders or words."""
+def _hash_of(placeholder: str) -> Column:
+    return F.xxhash64(F.lit(placeholder))
+
+
+def word_hashes(raw: str) -> Column:
+    """Hashes of the tokens in a column: lower case, placeholders for numbers and units."""
 
     def form(token: Column, at: Column) -> Column:
         unit = (at > 0) & _number(F.get(F.col(raw), at - 1)) & F.lower(token).isin(*UNITS)
-        kind = F.when(_number(token), F.lit(NUMBER)).when(unit, F.lit(UNIT))
-        return (kind.when(_name(token), F.lit(NAME)) if named else kind).otherwise(F.lower(token))
+        return F.when(_number(token), _hash_of(NUMBER)).when(unit, _hash_of(UNIT)).otherwise(F.xxhash64(F.lower(token)))
 
     return F.transform(raw, form)
 
 
+def name_hashes(raw: str, words: str) -> Column:
+    """The hashes in ``words`` with a placeholder for names as well."""
+    return F.zip_with(raw, words, lambda token, h: F.when(_name(token) & (h != _hash_of(UNIT)), _hash_of(NAME)).otherwise(h))
+
+
 def window_column(parts: str, size: int) -> Column:
     """Hashes of runs of ``size`` tokens by position, none of a shorter text."""
     count = F.size(parts)
-    runs = F.transform(
-        F.sequence(F.lit(0), count - size), lambda i: F.xxhash64(*[F.get(F.col(parts), i + k) for k in range(size)], F.lit(size))
-    )
-    return F.when(count >= size, runs).otherwise(F.array().cast("array<bigint>"))
+    runs = F.col(parts)
+    for k in range(1, size):
+        later = F.slice(parts, F.lit(k + 1), F.greatest(count - k, F.lit(0)))
+        runs = F.zip_with(runs, later, lambda a, b: F.xxhash64(a, b))
+    return F.when(count >= size, F.slice(runs, F.lit(1), count - (size - 1))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _templated(frame: DataFrame, *ids: str) -> DataFrame:
-    """raw tokens, ``words`` (lower case, placeholders for numbers and units) and ``names`` (for names as well)."""
+    """raw tokens, and their hashes as ``words`` and, with placeholders for names, as ``names``."""
     cut = frame.select(*ids, tokens(F.col("text")).alias("raw"))
-    return cut.select(*ids, "raw", forms("raw", False).alias("words"), forms("raw", True).alias("names"))
+    hashed = cut.select(*ids, "raw", word_hashes("raw").alias("words"))
+    return hashed.select(*ids, "raw", "words", name_hashes("raw", "words").alias("names"))
 
 
 def _items(benchmark: DataFrame, settings: LeakSettings) -> DataFrame:
@@ -102,12 +113,19 @@ def _small(frame: DataFrame, settings: LeakSettings) -> DataFrame:
 
 
 def _windows(frame: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
-    """One row per window: ids, at, hash; a window without names has one form."""
+    """One row per window: ids, at, hash; the form with names only where it is another."""
     hashed = frame.select(*ids, *[window_column(kind, k).alias(f"{kind}{k}") for k in sizes for kind in ("words", "names")])
-    parts = [
-        F.transform(f"{kind}{k}", lambda h, i: F.struct(i.alias("at"), h.alias("hash"))) for k in sizes for kind in ("words", "names")
-    ]
-    return hashed.select(*ids, F.explode(F.array_distinct(F.concat(*parts))).alias("w")).select(*ids, "w.*")
+
+    def placed(h: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), h.alias("hash"))
+
+    def other(words: str) -> Callable[[Column, Column], Column]:
+        return lambda h, at: F.when(h != F.get(words, at), placed(h, at))
+
+    parts = []
+    for k in sizes:
+        parts += [F.transform(f"words{k}", placed), F.array_compact(F.transform(f"names{k}", other(f"words{k}")))]
+    return hashed.select(*ids, F.explode(F.concat(*parts)).alias("w")).select(*ids, "w.*")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, settings: LeakSettings | None = None) -> DataFrame:
@@ -146,7 +164,7 @@ def _item_windows(items: DataFrame, sizes: list[int]) -> DataFrame:
     found = None
     for k in sizes:
         rows = _windows(items.filter(F.col("size") == k), ["item", "names"], [k])
-        plain = F.exists(F.slice("names", F.col("at") + 1, k), lambda w: ~w.isin(NUMBER, NAME, UNIT))
+        plain = F.exists(F.slice("names", F.col("at") + 1, k), lambda w: ~w.isin(_hash_of(NUMBER), _hash_of(NAME), _hash_of(UNIT)))
         rows = rows.select("item", "at", "hash", plain.alias("plain"))
         found = rows if found is None else found.unionByName(rows)
     count = found.groupBy("item").agg(F.max("plain").alias("any"), F.count_distinct("at").alias("n_windows"))
@@ -158,7 +176,10 @@ def _covered(keyed: DataFrame, items: DataFrame, placed: DataFrame, candidates:
     docs = candidates.select("doc_id", "text_hash").distinct()
     same = F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.text_hash") == F.col("c.text_hash"))
     chosen = keyed.alias("k").join(docs.alias("c"), same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    texts = staged(_templated(chosen.withColumn("doc", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash")), "doc"), "leak-texts")
+    # few rows, but whole texts and much work: as many tasks as a shuffle has
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = chosen.withColumn("doc", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash")).repartition(tasks, "doc")
+    texts = staged(_templated(spread, "doc"), "leak-texts")
     pairs = candidates.withColumn("doc", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash"))
     wanted = pairs.select("doc", "item").join(placed.select("item", "at", "hash"), "item")
     hits = wanted.join(_windows(texts, ["doc"], sizes).withColumnRenamed("at", "doc_at"), ["doc", "hash"])
@@ -170,18 +191,24 @@ def _covered(keyed: DataFrame, items: DataFrame, placed: DataFrame, candidates:
     both = bands.join(items.select("item", "n", "size", F.col("raw").alias("i_raw"), F.col("words").alias("i_words"), F.col("names").alias("i_names")), "item")
     both = both.join(texts.select("doc", F.col("raw").alias("d_raw"), F.col("words").alias("d_words"), F.col("names").alias("d_names")), "doc")
 
+    name = _hash_of(NAME)
+
     def met(p: Column, q: Column) -> Column:
-        old, new = F.get("i_words", p), F.get("d_words", q)
-        names = (F.get("i_names", p) == NAME) & (F.get("d_names", q) == NAME)
-        return F.when((p >= 0) & (q >= 0), F.coalesce((old == new) | names, F.lit(False))).otherwise(False)
+        names = (F.get("i_names", p) == name) & (F.get("d_names", q) == name)
+        return F.when(q >= 0, F.coalesce((F.get("i_words", p) == F.get("d_words", q)) | names, F.lit(False))).otherwise(False)
+
+    def ran(at: Column, p: Column) -> Column:
+        """Token p is matched, in a run of three (or the whole of a shorter item)."""
+
+        def x(k: int) -> Column:
+            return F.when(p + k >= 0, F.coalesce(F.get(at, p + k), F.lit(False))).otherwise(False) if k else F.get(at, p)
 
-    def ran(p: Column, s: Column) -> Column:
-        """Token p is matched on diagonal s, in a run of three (or the whole of a shorter item)."""
-        x = [met(p + k, p + s + k) for k in (-2, -1, 0, 1, 2)]
-        return x[2] & ((F.col("n") < 3) | (x[0] & x[1]) | (x[1] & x[3]) | (x[3] & x[4]))
+        return x(0) & ((F.col("n") < 3) | (x(-2) & x(-1)) | (x(-1) & x(1)) | (x(1) & x(2)))
 
     spot = F.sequence(F.lit(0), F.col("n") - 1)
-    runs = F.transform("shifts", lambda s: F.struct(F.filter(spot, lambda p: ran(p, s)).alias("at"), s.alias("s")))
+    matched = F.transform("shifts", lambda s: F.struct(s.alias("s"), F.transform(spot, lambda p: met(p, p + s)).alias("met")))
+    both = both.withColumn("matched", matched)
+    runs = F.transform("matched", lambda m: F.struct(F.filter(spot, lambda p: ran(m["met"], p)).alias("at"), m["s"].alias("s")))
     ordered = both.withColumn("runs", runs).withColumn(
         "runs", F.transform("runs", lambda r: F.struct((-F.size(r["at"])).alias("k"), r["s"].alias("s"), r["at"].alias("at")))
     ).withColumn("runs", F.array_sort("runs"))
@@ -190,7 +217,7 @@ def _covered(keyed: DataFrame, items: DataFrame, placed: DataFrame, candidates:
     found = ordered.select("doc", "item", "n", "size", "i_raw", "i_words", "i_names", "d_raw", F.filter(place, lambda x: x["q"].isNotNull()).alias("at"))
     found = found.filter(100 * F.size("at") >= settings.percent * F.col("n"))
     slots = F.transform(
-        F.filter("at", lambda x: F.get("i_words", x["p"]).isin(NUMBER, UNIT) | (F.get("i_names", x["p"]) == NAME)),
+        F.filter("at", lambda x: F.get("i_words", x["p"]).isin(_hash_of(NUMBER), _hash_of(UNIT)) | (F.get("i_names", x["p"]) == name)),
         lambda x: F.struct(F.lower(F.get("i_raw", x["p"])).alias("old"), F.lower(F.get("d_raw", x["q"])).alias("new")),
     )
     kept = found.select("doc", "item", "n", "size", F.size("at").alias("n_covered"), slots.alias("slots"))
@@ -215,7 +242,9 @@ def _covered(keyed: DataFrame, items: DataFrame, placed: DataFrame, candidates:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, settings: LeakSettings | None = None) -> DataFrame:
     """The documents that leak no item, all columns as they are."""
-    found = staged(leaks(documents, benchmark, settings).select("doc_id", "text_hash").distinct(), "leaks").alias("f")
+    with staging(documents.sparkSession):
+        leaked = leaks(documents, benchmark, settings).select("doc_id", "text_hash").distinct()
+        found = staged(leaked, "leaks", outlast=True).alias("f")
     held = documents.select(F.struct("*").alias("d")).alias("h")
     same = F.col("h.d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.col("h.d.text").cast("string")) == F.col("f.text_hash"))
     return held.join(found, same, "left_anti").select("d.*")
