@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -49,12 +53,53 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def staged(rows: DataFrame, purpose: str) -> DataFrame:
+_open_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("staging", default=())
+
+
+def staged(rows: DataFrame, purpose: str, outlast: bool = False) -> DataFrame:
     """``rows`` written below the shared folder and read back.
 
     What follows starts from files: it is computed once, survives lost
-    executors, and is planned with the true size.
+    executors, and is planned with the true size. Inside :func:`staging` the
+    files belong to that scope, or with ``outlast`` to the one around it.
     """
     path = shared_folder(rows.sparkSession, purpose)
+    scopes = _open_scopes.get()
+    owner = scopes[:-1] if outlast else scopes
+    if owner:
+        owner[-1].append(path)
     rows.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """A scope that deletes what was staged in it when it ends.
+
+    Frames that read such files must have been computed by then; what has to
+    live on is staged with ``outlast``.
+    """
+    paths: list[str] = []
+    token = _open_scopes.set((*_open_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _open_scopes.reset(token)
+        path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            place = path_of(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """``d``, each row as a struct, and ``row``, a number that is its own whenever it is read.
+
+    Rows of Parquet files are told by a hash of their file and place, which does
+    not depend on how files are split over tasks; two of ten billion rows share
+    one with a chance of about one in a billion each. Other frames are staged.
+    """
+    whole = F.struct("*").alias("d")
+    try:
+        return documents.select(whole, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return staged(documents.select(whole, F.monotonically_increasing_id().alias("row")), "numbered", outlast=True)
