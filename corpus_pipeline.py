@@ -13,7 +13,7 @@ from cohortlens.llm.decontaminate import decontaminated  # noqa: E402
 from cohortlens.llm.line_quality import cleaned  # noqa: E402
 from cohortlens.llm.near_dedup import NearSettings, one_of_each  # noqa: E402
 from cohortlens.llm.packing import pack  # noqa: E402
-from cohortlens.session import staged  # noqa: E402
+from cohortlens.session import staged, staging  # noqa: E402
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that all stages keep, in sequences.
+
+    Null, empty and wordless texts go with the quality rules, as do rejected
+    documents; of repeated rows one stays. An empty table gives no pieces.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with staging(spark):  # what a stage has left goes once its result is written
+            docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"), outlast=True)
     return STAGES[-1][1](spark, docs, sf_dir)
