@@ -89,16 +89,19 @@ def fit(train: DataFrame, settings: Boosting = Boosting()) -> PipelineModel:
         rows.unpersist()
 
 
-FIT_PARTITIONS = 32
+#: Rows of one task while trees grow, and the most tasks.
+FIT_ROWS, MOST_FIT_TASKS = 25_000, 10_000
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt by their key into a fixed number of partitions.
+    """Rows dealt by their key, ``FIT_ROWS`` to a partition.
 
     The learner draws rows by partition, so the trees must not depend on the
-    number of cores or files.
+    number of cores or files; and every tree costs some ten jobs, so a small
+    table must not be cut into many tasks.
     """
-    return rows.repartition(FIT_PARTITIONS, "nct_id")
+    tasks = min(MOST_FIT_TASKS, -(-rows.count() // FIT_ROWS))
+    return rows.repartition(max(1, tasks), "nct_id")
 
 
 def probability(model: PipelineModel, features: DataFrame) -> DataFrame:
