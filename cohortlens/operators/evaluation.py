@@ -24,14 +24,41 @@ def score_columns(probability: Column, actual: Column) -> dict[str, Column]:
     return {"predicted_label": predicted, "correct": predicted == actual}
 
 
+#: Rows that a line of a score histogram stands for.
+WEIGHT = "n_rows"
+
+
+def score_histogram(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows counted by ``by``, score and both labels.
+
+    All measures below take it in the place of the rows, and give the same.
+    Histograms of parts of the rows are merged by :func:`merged_histograms`.
+    """
+    keys = [*by, "predicted_proba", "predicted_label", "actual_label"]
+    return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
+def merged_histograms(*parts: DataFrame) -> DataFrame:
+    """The histogram of all rows of several histograms with the same columns."""
+    keys = [c for c in parts[0].columns if c != WEIGHT]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum(WEIGHT).alias(WEIGHT))
+
+
+def _counted(scored: DataFrame, condition: Column) -> Column:
+    """How many rows meet a condition, whether they are rows or lines of a histogram."""
+    if WEIGHT in scored.columns:
+        return F.coalesce(F.sum(F.when(condition, F.col(WEIGHT))), F.lit(0).cast("long"))
+    return F.count_if(condition)
+
+
 def confusion(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts of the four outcomes, per value of ``by``."""
     said, was = F.col("predicted_label"), F.col("actual_label")
     return scored.groupBy(*by).agg(
-        F.count_if(said & was).alias("tp"),
-        F.count_if(~said & ~was).alias("tn"),
-        F.count_if(said & ~was).alias("fp"),
-        F.count_if(~said & was).alias("fn"),
+        _counted(scored, said & was).alias("tp"),
+        _counted(scored, ~said & ~was).alias("tn"),
+        _counted(scored, said & ~was).alias("fp"),
+        _counted(scored, ~said & was).alias("fn"),
     )
 
 
@@ -139,7 +166,7 @@ def auc_roc(scored: DataFrame, by: tuple[str, ...] = (), score: str = "predicted
     by = list(by)
     is_positive = F.col("actual_label")
     scores = scored.groupBy(*by, F.col(score).alias("_score")).agg(
-        F.count_if(is_positive).alias("_pos"), F.count_if(~is_positive).alias("_neg")
+        _counted(scored, is_positive).alias("_pos"), _counted(scored, ~is_positive).alias("_neg")
     )
     scores = scores.withColumn("_cell", _score_cell(F.col("_score")))
 
@@ -204,9 +231,11 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
     def pad(edge: Column) -> Column:
         return F.when(edge == 0, 0.001).otherwise(F.abs(edge) * 0.001)
 
-    ranged = scored.select("predicted_proba", "actual_label", bounds.alias("_r")).select(
+    weight = [WEIGHT] if WEIGHT in scored.columns else []
+    ranged = scored.select("predicted_proba", "actual_label", *weight, bounds.alias("_r")).select(
         "predicted_proba",
         "actual_label",
+        *weight,
         F.when(flat, F.col("_r.lo") - pad(F.col("_r.lo"))).otherwise(F.col("_r.lo")).alias("_lo"),
         F.when(flat, F.col("_r.hi") + pad(F.col("_r.hi"))).otherwise(F.col("_r.hi")).alias("_hi"),
         flat.alias("_flat"),
@@ -225,8 +254,8 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
         ranged.withColumn("bin", number)
         .groupBy("bin", "_lo", "_hi", "_flat")
         .agg(
-            F.count_if("actual_label").alias("_hits"),
-            F.count(F.lit(1)).alias("n"),
+            _counted(scored, F.col("actual_label")).alias("_hits"),
+            _counted(scored, F.lit(True)).alias("n"),
         )
         .select(
             "bin",

@@ -565,6 +565,23 @@ def calibration(spark, d):
     return rounded(evaluation.calibration(_v1(spark, d)))
 
 
+@query
+def quality_from_histogram(spark, d):
+    """Confusion, metrics and area of both versions from one staged histogram of two merged parts."""
+    rows = X.predictions(spark, d)
+    by = ("model_version",)
+    early = F.pmod(F.xxhash64("nct_id"), F.lit(2)) == 0
+    parts = [evaluation.score_histogram(rows.filter(c), by) for c in (early, ~early)]
+    whole = staged(evaluation.merged_histograms(*parts), "score-histogram")
+    areas = evaluation.auc_roc(whole, by).select("model_version", "auc_roc")
+    return rounded(evaluation.overall_metrics(whole, by).join(areas, "model_version"))
+
+
+@query
+def calibration_from_histogram(spark, d):
+    return rounded(evaluation.calibration(evaluation.score_histogram(_v1(spark, d))))
+
+
 @query
 def accuracy_by_phase(spark, d):
     trials = X.trials(spark, d, ("nct_id", "phase"))

@@ -678,3 +678,7 @@ ORACLE: dict[str, str] = {
     ),
     "reload_properties": _t("SELECT nct_id FROM trials"),
 }
+ORACLE["quality_from_histogram"] = (
+    f"SELECT * FROM ({ORACLE['metrics_overall']}) JOIN (SELECT model_version, auc_roc FROM ({ORACLE['auc']})) USING (model_version)"
+)
+ORACLE["calibration_from_histogram"] = ORACLE["calibration"]

@@ -153,3 +153,18 @@ def test_latest_run_per_version(spark):
     )
     got = {(r["model_version"], r["accuracy"]) for r in evaluation.latest_metrics(rows).collect()}
     assert got == {("v1", 0.6), ("v2", 0.7)}
+
+
+def test_histograms_give_what_their_rows_give(spark):
+    rows = spark.range(3000).select(
+        (F.col("id") % 2).alias("part"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("model_version"),
+        (F.pmod(F.hash("id"), F.lit(97)) / 96.0).alias("predicted_proba"), (F.pmod(F.hash("id", F.lit(1)), F.lit(3)) == 0).alias("actual_label"),
+    ).withColumn("predicted_label", F.col("predicted_proba") >= 0.5)
+    by = ("model_version",)
+    halves = [evaluation.score_histogram(rows.filter(F.col("part") == k), by) for k in (0, 1)]
+    whole = evaluation.merged_histograms(*halves)
+    assert whole.count() < 97 * 4 + 1 and whole.agg(F.sum(evaluation.WEIGHT)).first()[0] == 3000
+    for measure in (evaluation.overall_metrics, evaluation.auc_roc, evaluation.confusion):
+        assert sorted(map(tuple, measure(whole, by).collect())) == sorted(map(tuple, measure(rows, by).collect()))
+    for measure in (evaluation.calibration, evaluation.class_report, evaluation.confusion_shares):
+        assert list(map(tuple, measure(whole).collect())) == list(map(tuple, measure(rows).collect()))

@@ -17,7 +17,7 @@ EAGER = {
     "prediction_store", "metrics_store", "model_reload", "gbt_metrics", "gbt_scores",
     "gbt_score_by_id", "score_designs", "gbt_importance", "shap_importance", "cv_auc",
     "score_properties", "score_by_id_properties", "design_properties", "attribution_properties",
-    "importance_properties", "fold_properties", "stored_run", "reload_properties",
+    "quality_from_histogram", "importance_properties", "fold_properties", "stored_run", "reload_properties",
 }
 
 
