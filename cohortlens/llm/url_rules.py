@@ -2,8 +2,12 @@
 
 FP-growth finds combinations of URL tokens that go with unwanted labels; those
 above a support and a confidence become rules. A rule stands in an index under
-its rarest token, so a URL meets only the rules of its own tokens, and a rule
-holds if the URL has all of its tokens. Listed host and path rules come first.
+its rarest item, so a URL meets only the rules of its own items, and a rule holds if
+the URL has all of them. Listed host and path rules come first.
+
+Tokens that stand in the same labelled URLs are one item: every combination of
+them has the same support and confidence, so a URL with any of them meets the
+rules of all, and a long fixed path costs no more than one word.
 """
 
 from __future__ import annotations
@@ -74,23 +78,43 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(words(host_of(url), "h:"), words(path_of(url), "p:"), keys))
 
 
-def mined_rules(pages: DataFrame, labels: DataFrame, settings: MiningSettings) -> DataFrame:
-    """Staged: anchor, antecedent, confidence, support. Labels join by page_id = doc_id."""
+def token_items(baskets: DataFrame) -> DataFrame:
+    """token, item: tokens of the same baskets share an item, the smallest of them.
+
+    Sets of baskets are told by their size and two sums of hashes, reduced
+    before the shuffle, so a token of very many baskets is never gathered.
+    """
+    held = baskets.select("basket", F.explode("tokens").alias("token"))
+    sets = held.groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("basket")).alias("one"), F.bit_xor(F.xxhash64("basket", F.lit(1))).alias("two")
+    )
+    smallest = sets.groupBy("n", "one", "two").agg(F.min("token").alias("item"))
+    return sets.join(smallest, ["n", "one", "two"]).select("token", "item")
+
+
+def mined_rules(pages: DataFrame, labels: DataFrame, settings: MiningSettings) -> tuple[DataFrame, DataFrame]:
+    """Staged: (anchor, antecedent, confidence, support), and the token and item of all
+    items in rules. Labels join by page_id = doc_id."""
     marks = labels.groupBy("doc_id").agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("unwanted"))
-    baskets = pages.select("page_id", "url").join(marks, F.col("page_id") == F.col("doc_id")).select(
-        F.concat(url_tokens(F.col("url")), F.when(F.col("unwanted"), F.array(F.lit(UNWANTED))).otherwise(F.array().cast("array<string>"))).alias("items")
+    labelled = pages.select("page_id", "url").join(marks, F.col("page_id") == F.col("doc_id")).select(
+        F.monotonically_increasing_id().alias("basket"), url_tokens(F.col("url")).alias("tokens"), "unwanted"
     )
-    baskets = staged(baskets.filter(F.size("items") > 0), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=settings.support, minConfidence=settings.confidence).fit(baskets)
+    baskets = staged(labelled.filter((F.size("tokens") > 0) | F.col("unwanted")), "baskets")
+    items = staged(token_items(baskets), "token-items")
+    merged = baskets.select("basket", F.explode("tokens").alias("token")).join(items, "token").groupBy("basket").agg(F.collect_set("item").alias("items"))
+    mark = F.when(F.col("unwanted"), F.array(F.lit(UNWANTED))).otherwise(F.array().cast("array<string>"))
+    rows = baskets.join(merged, "basket", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), mark).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=settings.support, minConfidence=settings.confidence).fit(staged(rows, "baskets"))
     rules = model.associationRules.filter(F.array_contains("consequent", UNWANTED)).select("antecedent", "confidence", "support")
-    singles = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    singles = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
     anchors = (
-        rules.select("antecedent", F.explode("antecedent").alias("token"))
-        .join(singles, "token")
+        rules.select("antecedent", F.explode("antecedent").alias("item"))
+        .join(singles, "item")
         .groupBy("antecedent")
-        .agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
+        .agg(F.min_by("item", F.struct("freq", "item")).alias("anchor"))
     )
-    return staged(rules.join(anchors, "antecedent"), "url-rules")
+    found = staged(rules.join(anchors, "antecedent"), "url-rules")
+    return found, items.join(found.select(F.explode("antecedent").alias("item")).distinct(), "item").select("token", "item")
 
 
 def judged_urls(pages: DataFrame, labels: DataFrame, settings: MiningSettings | None = None, rules=LISTED) -> DataFrame:
@@ -104,12 +128,13 @@ def judged_urls(pages: DataFrame, labels: DataFrame, settings: MiningSettings |
     ignored.
     """
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    mined = mined_rules(narrow, labels, settings or MiningSettings())
-    urls = narrow.select("url").distinct().select("url", url_tokens(F.col("url")).alias("tokens"))
+    mined, items = mined_rules(narrow, labels, settings or MiningSettings())
+    tokens = narrow.select("url").distinct().select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
+    urls = tokens.join(items, "token").groupBy("url").agg(F.collect_set("item").alias("items"))
     met = (
-        urls.select("url", "tokens", F.explode("tokens").alias("anchor"))
+        urls.select("url", "items", F.explode("items").alias("anchor"))
         .join(mined, "anchor")
-        .filter(F.size(F.array_except("antecedent", "tokens")) == 0)
+        .filter(F.size(F.array_except("antecedent", "items")) == 0)
         .groupBy("url")
         .agg(F.max("confidence").alias("confidence"))
     )
