@@ -155,6 +155,7 @@ def _write(folder: str, lengths: np.ndarray):
             doc_ids: list[int | None] = []
             sizes: list[int] = []
             parts: list[np.ndarray] = []
+            waiting = 0
 
             def flush() -> int:
                 data = frame(doc_ids, sizes, np.concatenate(parts), codes, lengths)
@@ -171,8 +172,9 @@ def _write(folder: str, lengths: np.ndarray):
                     parts.append(np.frombuffer(ids, np.uint16))
                     sizes.append(len(parts[-1]))
                     made["ids"] += sizes[-1]
-                    if sum(sizes) >= FRAME_IDS:
-                        at = flush()
+                    waiting += sizes[-1]
+                    if waiting >= FRAME_IDS:
+                        at, waiting = flush(), 0
             if doc_ids:
                 at = flush()
             stream.write(np.array([*offsets, at], "<i8").tobytes() + struct.pack("<Q", len(offsets)) + MAGIC)
