@@ -9,11 +9,11 @@ which too little is left is rejected.
 Copies of one document must not make its own lines look like boilerplate, nor
 hide it: they are for near-duplicate removal, which keeps one of them. So the
 count takes two passes. The first finds the lines that stand in enough
-different texts. In the second a document counts by what is its own, the lines
-that are neither such a line nor a small edit of one: the smallest shingle of
-these lines. Copies agree in it, edited copies mostly; different documents
-differ, however much boilerplate stands around them. A document without lines
-of its own counts by its other frequent lines.
+different texts. In the second a document counts by what is its own, the set of
+its lines that are neither such a line nor a small edit of one. Copies agree in
+it, edited copies mostly; different documents differ, however much boilerplate
+stands around them and whatever other lines they share. A document without
+lines of its own counts by the smallest shingle of its other frequent lines.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortlens.llm.words import LOWER, utf8, window_hashes, word_hashes
-from cohortlens.session import staged
+from cohortlens.session import numbered, staged, staging
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -141,7 +144,7 @@ def frequent_lines(measures: DataFrame, settings: LineSettings) -> DataFrame:
     own = (
         marked.filter("common IS NULL").join(edits, ["row", "line"], "left")
         .filter(2 * F.coalesce("n_parts", F.lit(0)) < F.size("sketch"))
-        .groupBy("row").agg(F.min("least").alias("own"))
+        .groupBy("row").agg(F.bit_xor("line").alias("own"))
     )
     # the two smallest, so that each line finds the smallest of the others
     pair = marked.filter("common").groupBy("row").agg(F.min(F.struct("least", "line")).alias("one"))
@@ -188,42 +191,58 @@ def line_quality(documents: DataFrame, settings: LineSettings | None = None, hos
     return judged(measured(rows), settings or LineSettings())
 
 
-def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = []
-        for text, host, removed in zip(batch["text"], batch["host"], batch["removed"]):
-            if removed is None or not len(removed):
-                texts.append(text)
-                continue
-            salt = xxhash.xxh64_intdigest(b"" if host is None else b"h" + host.encode("utf-8", "surrogatepass"))
-            gone = set(removed)
-            kept = [
-                line
-                for line in utf8(text).split(b"\n")
-                if not (low := normal_line(line)) or _signed(xxhash.xxh64_intdigest(low, seed=salt)) not in gone
-            ]
-            texts.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
-        yield pd.DataFrame({"row": batch["row"], "cleaned": texts})
+def _without(schema: pa.Schema):
+    """Arrow function: rows ``d`` without the lines in ``removed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                yield rewritten(whole.slice(at, SLICE_ROWS))
+
+    def rewritten(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.column("d")
+        columns = dict(zip((f.name for f in rows.type), rows.flatten()))
+        touched = batch.column("removed").is_valid()
+        held = pa.table({"text": columns["text"], "host": batch.column("host"), "removed": batch.column("removed")}).filter(touched)
+        if held.num_rows:
+            texts = []
+            for text, host, removed in zip(*(held.column(c).to_pylist() for c in ("text", "host", "removed"))):
+                salt, gone = xxhash.xxh64_intdigest(b"" if host is None else b"h" + host.encode("utf-8", "surrogatepass")), set(removed)
+                kept = [
+                    line
+                    for line in utf8(text).split(b"\n")
+                    if not (low := normal_line(line)) or _signed(xxhash.xxh64_intdigest(low, seed=salt)) not in gone
+                ]
+                texts.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
+            columns["text"] = pc.replace_with_mask(columns["text"], touched, pa.array(texts, columns["text"].type))
+            if "n_chars" in columns:
+                columns["n_chars"] = pc.replace_with_mask(columns["n_chars"], touched, pa.array(map(len, texts), columns["n_chars"].type))
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
+
+    return run
+
+
+#: Rows rewritten at a time.
+SLICE_ROWS = 500
+
+#: Verdicts that change a document are broadcast up to so many rows and so many lines, and shuffled beyond.
+BROADCAST_ROWS, BROADCAST_LINES = 500_000, 2_000_000
 
 
 def cleaned(documents: DataFrame, settings: LineSettings | None = None, host: str = "source") -> DataFrame:
     """The documents that are kept, boilerplate lines taken out of their texts.
 
     All columns stay as they are but for ``text``, and ``n_chars`` where a text
-    changed. Same rules as ``line_quality``.
+    changed. Same rules as ``line_quality``. Only the rows that go or change are
+    listed, and the texts are read with that list beside them.
     """
-    numbered = staged(documents.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")), "quality-input")
-    narrow = numbered.select("row", "d.doc_id", "d.text", F.col(f"d.`{host}`").alias("host"))
-    verdict = judged(measured(narrow), settings or LineSettings()).filter("kept").select("row", "removed")
-    joined = numbered.join(verdict, "row")
-    same = joined.filter("removed IS NULL").select("d.*")
-    touched = staged(joined.filter("removed IS NOT NULL"), "touched")
-    texts = touched.select("row", "d.text", F.col(f"d.`{host}`").alias("host"), "removed").mapInPandas(_without, "row long, cleaned string")
-    changed = touched.join(texts, "row")
-    columns = []
-    for name in documents.columns:
-        value = F.col("cleaned") if name == "text" else F.col(f"d.`{name}`")
-        if name == "n_chars":
-            value = F.length("cleaned").cast(documents.schema[name].dataType)
-        columns.append(value.alias(name))
-    return same.unionByName(changed.select(*columns))
+    rows = numbered(documents)
+    owner = F.col(f"d.`{host}`").cast("string").alias("host")
+    with staging(documents.sparkSession):
+        verdict = judged(measured(rows.select("row", "d.doc_id", "d.text", owner)), settings or LineSettings())
+        listed = staged(verdict.filter("NOT kept OR removed IS NOT NULL").select("row", "kept", "removed"), "line-verdicts", outlast=True)
+    size = listed.agg(F.count("*").alias("rows"), F.sum(F.size("removed")).alias("lines")).first()
+    if size["rows"] <= BROADCAST_ROWS and (size["lines"] or 0) <= BROADCAST_LINES:
+        listed = F.broadcast(listed)
+    left = rows.join(listed, "row", "left").filter("kept IS NULL OR kept").select("d", owner, "removed")
+    return left.mapInArrow(_without(to_arrow_schema(documents.schema)), documents.schema)

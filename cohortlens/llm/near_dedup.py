@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
 from cohortlens.llm.words import STEP, mixed, shingle_set, words
-from cohortlens.session import staged
+from cohortlens.session import numbered, staged, staging
 
 BITS = 2
 
@@ -394,8 +394,8 @@ def near_duplicates(documents: DataFrame, settings: NearSettings | None = None)
     first row is kept. No documents give no rows. Other columns are ignored.
     """
     settings = settings or NearSettings()
-    numbered = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return _assigned(signatures(numbered, settings), settings)
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return _assigned(signatures(rows, settings), settings)
 
 
 def _assigned(signed: DataFrame, settings: NearSettings) -> DataFrame:
@@ -427,7 +427,10 @@ def one_of_each(documents: DataFrame, settings: NearSettings | None = None) -> D
     repeat are near-duplicates of each other, but for those without words.
     """
     settings = settings or NearSettings()
-    numbered = staged(documents.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")), "dedup-input")
-    signed = signatures(numbered.select("row", "d.doc_id", "d.text"), settings)
-    first = _assigned(signed, settings).filter("first").select("row")
-    return numbered.join(first, "row", "left_semi").select("d.*")
+    rows = numbered(documents)
+    with staging(documents.sparkSession):
+        signed = signatures(rows.select("row", "d.doc_id", "d.text"), settings)
+        gone = staged(_assigned(signed, settings).filter("NOT first").select("row"), "near-copies", outlast=True)
+    # the rows that go are fewer than those that stay: the texts are read with their list beside them
+    listed = F.broadcast(gone) if gone.count() <= settings.broadcast_ids else gone
+    return rows.join(listed, "row", "left_anti").select("d.*")
