@@ -100,6 +100,15 @@ def _templated(frame: DataFrame, *ids: str) -> DataFrame:
     return hashed.select(*ids, "raw", "words", name_hashes("raw", "words").alias("names"))
 
 
+def _once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """``frame`` with ``value`` worked out once a row.
+
+    A generator of one element keeps the optimiser from moving the expression
+    into lambdas and filters that use it, where it would be repeated.
+    """
+    return frame.select(*[c for c in frame.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def _items(benchmark: DataFrame, settings: LeakSettings) -> DataFrame:
     """item, item_id, n, size (of its windows), raw, words, names."""
     named = benchmark.select("item_id", F.col("text").cast("string").alias("text")).withColumn("item", F.xxhash64("item_id", "text"))
@@ -207,20 +216,19 @@ def _covered(keyed: DataFrame, items: DataFrame, placed: DataFrame, candidates:
 
     spot = F.sequence(F.lit(0), F.col("n") - 1)
     matched = F.transform("shifts", lambda s: F.struct(s.alias("s"), F.transform(spot, lambda p: met(p, p + s)).alias("met")))
-    both = both.withColumn("matched", matched)
+    both = _once(both, "matched", matched)
     runs = F.transform("matched", lambda m: F.struct(F.filter(spot, lambda p: ran(m["met"], p)).alias("at"), m["s"].alias("s")))
-    ordered = both.withColumn("runs", runs).withColumn(
-        "runs", F.transform("runs", lambda r: F.struct((-F.size(r["at"])).alias("k"), r["s"].alias("s"), r["at"].alias("at")))
-    ).withColumn("runs", F.array_sort("runs"))
+    longest_first = F.array_sort(F.transform(runs, lambda r: F.struct((-F.size(r["at"])).alias("k"), r["s"].alias("s"), r["at"].alias("at"))))
+    ordered = _once(both.drop("shifts"), "runs", longest_first).drop("matched")
     # every item token at the diagonal of the longest match that has it
     place = F.transform(spot, lambda p: F.struct(p.alias("p"), (p + F.get(F.filter("runs", lambda r: F.array_contains(r["at"], p)), F.lit(0))["s"]).alias("q")))
-    found = ordered.select("doc", "item", "n", "size", "i_raw", "i_words", "i_names", "d_raw", F.filter(place, lambda x: x["q"].isNotNull()).alias("at"))
+    found = _once(ordered, "at", F.filter(place, lambda x: x["q"].isNotNull()))
     found = found.filter(100 * F.size("at") >= settings.percent * F.col("n"))
     slots = F.transform(
         F.filter("at", lambda x: F.get("i_words", x["p"]).isin(_hash_of(NUMBER), _hash_of(UNIT)) | (F.get("i_names", x["p"]) == name)),
         lambda x: F.struct(F.lower(F.get("i_raw", x["p"])).alias("old"), F.lower(F.get("d_raw", x["q"])).alias("new")),
     )
-    kept = found.select("doc", "item", "n", "size", F.size("at").alias("n_covered"), slots.alias("slots"))
+    kept = _once(found, "slots", slots).select("doc", "item", "n", "size", F.size("at").alias("n_covered"), "slots")
     olds = F.array_distinct(F.transform("slots", lambda x: x["old"]))
     most = F.transform(
         olds,
