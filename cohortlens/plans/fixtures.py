@@ -110,16 +110,17 @@ def _members(mask: Column, names: Column, at=lambda i: i, label=lambda x: x) ->
 def _lines(spark: SparkSession, sf_dir: str, need_part: bool, need_supplier: bool) -> DataFrame:
     """Order lines folded to one row per order.
 
-    Sets of conditions, types and countries travel as bit masks: ``bit_or`` is
-    a hash aggregate with partial merge, so an order with very many lines
-    leaves each task as a single row.
+    Sets of conditions, types and countries travel as bit masks, suppliers as a
+    set of keys, so an order with very many lines leaves each task as a single
+    row. A distinct count would move all lines by order and supplier first, and
+    then once more by order.
     """
     lines = table(spark, sf_dir, "lineitem")
     wanted = [
         F.count(F.lit(1)).alias("n_lines"),
         F.min("l_shipdate").alias("first_ship"),
         F.max("l_shipdate").alias("last_ship"),
-        F.count_distinct("l_suppkey").alias("n_suppliers"),
+        F.size(F.collect_set("l_suppkey")).alias("n_suppliers"),
     ]
     if need_part:
         # bits are made once per part, not once per line
@@ -149,6 +150,11 @@ def _lines(spark: SparkSession, sf_dir: str, need_part: bool, need_supplier: boo
 
 def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame:
     """One trial per order, with the given columns."""
+    return as_trials(spark, sf_dir, trial_parts(spark, sf_dir, columns), columns)
+
+
+def trial_parts(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame:
+    """``nct_id`` and what :func:`as_trials` makes the given columns from: half as wide as they are."""
     wanted = set(columns)
     orders = table(spark, sf_dir, "orders")
     df = orders
@@ -160,9 +166,13 @@ def trials(spark: SparkSession, sf_dir: str, columns=TRIAL_COLUMNS) -> DataFrame
         # the folded lines are partitioned by order already and grow with the
         # data: meet them there rather than broadcast them
         df = df.join(folded.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return df.withColumn("nct_id", F.expr("concat('NCT', format_string('%08d', o_orderkey))"))
 
+
+def as_trials(spark: SparkSession, sf_dir: str, df: DataFrame, columns=TRIAL_COLUMNS) -> DataFrame:
+    """The given trial columns, each row from its own parts alone."""
+    wanted = set(columns)
     stage = {
-        "nct_id": F.expr("concat('NCT', format_string('%08d', o_orderkey))"),
         "overall_status": F.expr(
             """CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED'
                     WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'RECRUITING'

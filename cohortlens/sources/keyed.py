@@ -15,6 +15,7 @@ Nothing is overwritten or deleted, so a version stays readable.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import xxhash
@@ -67,24 +68,33 @@ class KeyedTable:
     def _bucket(self, buckets: int) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, tasks: int) -> str:
+    def _write(self, rows: DataFrame, tasks: int, finish: Callable[[DataFrame], DataFrame] | None = None) -> str:
         """Rows with their bucket, to bucket folders of a new name below ``data``."""
         name = f"data/{uuid.uuid4().hex}"
+        dealt = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", self.key)
         (
-            rows.repartition(tasks, "bucket")
-            .sortWithinPartitions("bucket", self.key)
+            (finish(dealt) if finish else dealt)
             .write.partitionBy("bucket")
             .option(f"parquet.bloom.filter.enabled#{self.key}", "true")
             .parquet(f"{self.path}/{name}")
         )
         return name
 
-    def create(self, rows: DataFrame, buckets: int = 64) -> int:
+    def create(
+        self, rows: DataFrame, buckets: int = 64, derive: Callable[[DataFrame], DataFrame] | None = None
+    ) -> int:
         """Version 0 from rows with one row per key; ``buckets`` stays fixed, so take
-        the size the table will have by some 128 MB."""
+        the size the table will have by some 128 MB.
+
+        With ``derive`` the rows hold the key and what the columns are made from;
+        it adds the columns, row by row, once the rows are in their buckets, so
+        that wide columns are neither moved nor sorted.
+        """
         kinds = self._folders([]).schema
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).withColumn("bucket", self._bucket(buckets))
-        name = self._write(rows, min(buckets, 2000))
+        layout = [F.col(f.name).cast(f.dataType) for f in kinds]
+        finish = (lambda dealt: derive(dealt).select(*layout, "bucket")) if derive else None
+        rows = (rows if derive else rows.select(*layout)).withColumn("bucket", self._bucket(buckets))
+        name = self._write(rows, min(buckets, 2000), finish)
         filled = self.spark.read.parquet(f"{self.path}/{name}").select("bucket").distinct() if not rows.isEmpty() else None
         found = [r["bucket"] for r in filled.collect()] if filled is not None else []  # no more rows than buckets
         folders = {str(b): f"{name}/bucket={b}" for b in found}

@@ -112,3 +112,16 @@ def test_trials_are_merged_into_their_buckets(spark, trials, tmp_path):
     assert (done.inserted, done.updated) == (0, few.count())
     now = tables.trials_by_key(spark, path)
     assert now.read().filter("title = 'again'").count() == few.count() and now.read().count() == trials.count()
+
+
+def test_derived_columns_are_made_in_the_buckets(spark, tmp_path):
+    made = keyed.KeyedTable(spark, str(tmp_path / "derived"), LAYOUT)
+    parts = spark.range(300).select(F.format_string("NCT%08d", "id").alias("nct_id"), "id")
+
+    def derive(dealt):
+        text = dealt._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in text and "title" not in text
+        return dealt.select("*", F.repeat(F.lit("wide"), 9).alias("title"), F.col("id").alias("n"), F.lit("x").alias("ingested_at"))
+
+    made.create(parts, buckets=7, derive=derive)
+    assert made.read().count() == 300 and made.lookup("NCT00000042").collect()[0][:3] == ("NCT00000042", "wide" * 9, 42)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import charts, evaluation, search, splits, statistics, upsert
+from cohortlens.plans import fixtures
 from cohortlens.plans.catalog import QUERIES
 from cohortlens.sources import tables
 
@@ -108,3 +109,17 @@ def test_area_counts_pairs_over_reduced_scores(spark):
 def test_training_set_is_one_pass_without_shuffle(stored):
     text = plan(splits.training_set(stored))
     assert "Exchange" not in text and ">= 0.6" in text and "PushedFilters: [IsNotNull" in text
+
+
+def test_order_lines_move_once_by_order(spark):
+    """Suppliers are counted without an exchange by order and supplier."""
+    lines = plan(fixtures.trials(spark, SMALL, ("nct_id", "locations_count", "title")))
+    assert not re.search(r"hashpartitioning\(l_orderkey#\d+L?, l_suppkey", lines)
+
+
+def test_suppliers_are_counted_once_and_nulls_not(spark, tmp_path):
+    day = "timestamp_ntz'2020-01-01'"
+    lines = spark.sql(f"SELECT * FROM VALUES (1L, 5L, 7L, {day}), (1L, 5L, 7L, {day}), (1L, 5L, 8L, {day}), (1L, 5L, NULL, {day}), (2L, 5L, NULL, {day}) AS t(l_orderkey, l_partkey, l_suppkey, l_shipdate)")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    folded = fixtures._lines(spark, str(tmp_path), False, False).select("l_orderkey", "n_lines", "n_suppliers")
+    assert sorted(map(tuple, folded.collect())) == [(1, 4, 2), (2, 1, 0)]
