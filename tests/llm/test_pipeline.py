@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -187,3 +188,11 @@ def test_run_on_empty_tables(spark, folder):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{place}/{name}.parquet")
     assert corpus_pipeline.run(spark, place).collect() == []
+
+
+def test_lines_are_measured_in_slices():
+    rows = 2 * line_quality.SLICE_ROWS + 3
+    batch = pd.DataFrame({"row": range(rows), "doc_id": [str(k) for k in range(rows)], "text": ["a b\nc"] * rows, "host": [None] * rows}, index=range(9, 9 + rows))
+    parts = list(line_quality._measures(iter([batch])))
+    assert max(map(len, parts)) <= line_quality.SLICE_ROWS
+    assert [r for p in parts for r in p["row"]] == list(range(rows)) and all((p["n_words"] == 3).all() for p in parts)
