@@ -123,3 +123,9 @@ def test_suppliers_are_counted_once_and_nulls_not(spark, tmp_path):
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     folded = fixtures._lines(spark, str(tmp_path), False, False).select("l_orderkey", "n_lines", "n_suppliers")
     assert sorted(map(tuple, folded.collect())) == [(1, 4, 2), (2, 1, 0)]
+
+
+def test_pages_are_dealt_out_before_documents_are_made(spark):
+    text = fixtures.study_pages(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = text.split("RepartitionByExpression [page_number", 1)
+    assert "protocolSection" in above and "protocolSection" not in below
