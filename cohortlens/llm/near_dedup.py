@@ -25,12 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.words import STEP, mixed, shingle_set, words
+from cohortlens.llm.words import STEP, WORD_HASH, mixed, shingle_set, words
 from cohortlens.session import numbered, staged, staging
 
 BITS = 2
@@ -110,25 +111,35 @@ def estimated(x: np.ndarray, y: np.ndarray, count: int) -> np.ndarray:
     return (equal - chance) / (1.0 - chance)
 
 
+#: Rows that are signed at a time: the words and blobs of a whole batch are many times its size.
+SLICE_ROWS = 500
+
+SIGNED = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.string()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("pressed", pa.binary())]
+)
+
+
 def _signatures(settings: NearSettings):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = settings.multipliers()
         press = zstandard.ZstdCompressor(level=3).compress
+
+        def signed(text: str | None) -> tuple:
+            parts = words(text)
+            if not parts:
+                return 0, None, None, None, None
+            shingles = shingle_set(parts, settings.shingle)
+            least = minima(shingles, a, b)
+            digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+            return len(shingles), digest, band_keys(least, settings), packed(least), press(b" ".join(parts))
+
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                parts = words(text)
-                if not parts:
-                    rows.append((0, None, None, None, None))
-                    continue
-                shingles = shingle_set(parts, settings.shingle)
-                least = minima(shingles, a, b)
-                digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-                rows.append((len(shingles), digest, band_keys(least, settings), packed(least), press(b" ".join(parts))))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "signature", "pressed"])
-            out.insert(0, "row", batch["row"])
-            out.insert(1, "doc_id", batch["doc_id"])
-            yield out
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                made = zip(*[signed(text.as_py()) for text in part.column("text")])
+                values = [pa.array(list(column), SIGNED.field(k).type) for k, column in enumerate(made, 2)]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id").cast(pa.string()), *values], schema=SIGNED)
+        WORD_HASH.clear()  # the worker goes on to other work
 
     return run
 
@@ -179,6 +190,7 @@ def _confirm(settings: NearSettings):
                 linked.append(_linked(other, held, settings))
             keep = np.array(linked, bool)
             yield pd.DataFrame({"a": batch["a"][keep], "b": batch["b"][keep]})
+        WORD_HASH.clear()
 
     return run
 
@@ -268,6 +280,7 @@ def _block_links(settings: NearSettings):
                             links.append((int(x[0][m]), int(y[0][n])))
                 if links:
                     yield pd.DataFrame(links, columns=["a", "b"])
+        WORD_HASH.clear()
 
     return run
 
@@ -278,7 +291,7 @@ def signatures(documents: DataFrame, settings: NearSettings) -> DataFrame:
         "row", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     layout = "row long, doc_id string, n_shingles long, digest binary, bands array<long>, signature binary, pressed binary"
-    made = narrow.mapInPandas(_signatures(settings), layout)  # ids as text: pandas would turn a column with nulls into doubles
+    made = narrow.mapInArrow(_signatures(settings), layout)
     return staged(made.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
 
 

@@ -1,8 +1,10 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from cohortlens.llm import near_dedup
 from cohortlens.llm.near_dedup import NearSettings, estimated, minima, near_duplicates, packed
 from cohortlens.llm.words import shingle_set, words
 
@@ -99,3 +101,13 @@ def test_estimate_is_corrected_for_chance():
 def test_shingles_of_short_texts():
     assert len(shingle_set(words("a b"), 5)) == 1 and len(shingle_set(words(" "), 5)) == 0
     assert len(shingle_set(words("a b a b a"), 2)) == 2
+
+
+def test_documents_are_signed_in_slices():
+    texts = [f"one two three four five six {k}" for k in range(1_200)] + [None, " "]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(1_202)), "doc_id": [str(k) for k in range(1_202)], "text": texts})
+    made = list(near_dedup._signatures(near_dedup.NearSettings())(iter([batch])))
+    assert max(part.num_rows for part in made) <= near_dedup.SLICE_ROWS and not near_dedup.WORD_HASH
+    rows = pa.Table.from_batches(made).to_pylist()
+    assert [r["row"] for r in rows] == list(range(1_202)) and len({r["digest"] for r in rows}) == 1_201
+    assert [r["n_shingles"] for r in rows] == [6] * 1_200 + [0, 0]
