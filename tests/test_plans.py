@@ -129,3 +129,17 @@ def test_pages_are_dealt_out_before_documents_are_made(spark):
     text = fixtures.study_pages(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     above, below = text.split("RepartitionByExpression [page_number", 1)
     assert "protocolSection" in above and "protocolSection" not in below
+
+
+@pytest.mark.parametrize("name, unread", [
+    ("normalize_arrays", "eligibilityModule"), ("normalize_core", "conditionsModule"), ("raw_documents", "armGroups"),
+])
+def test_documents_are_parsed_for_what_is_asked(spark, name, unread):
+    schemas = re.findall(r"from_json\((StructField.*?)\), \(", plan(QUERIES[name](spark, SMALL)))
+    assert schemas and not any(unread in s for s in schemas)
+
+
+@pytest.mark.parametrize("name", ["raw_documents", "quarantine", "page_source"])
+def test_lists_are_not_sorted_in_every_row(spark, name):
+    rows = re.sub(r"Subquery.*", "", plan(QUERIES[name](spark, SMALL)), flags=re.S)
+    assert "array_sort" not in rows

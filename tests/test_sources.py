@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from cohortlens import schemas
 from cohortlens.operators import upsert
-from cohortlens.operators.normalize import normalise
+from cohortlens.operators.normalize import normalise, parts_for
+from cohortlens.plans import fixtures as X
+from cohortlens.schemas import NORMALISED_COLUMNS
 from cohortlens.sources import studies, synthetic, tables
 
 
@@ -232,3 +234,31 @@ def test_synthetic_trials_keep_to_their_ranges(spark):
     assert str(row[3]) >= "2005-01-01" and str(row[4]) <= "2020-12-31"
     assert (row[5], row[6]) == (1, 3) and abs(row[7] - 0.55) < 0.03
     assert row[8] == "NCT90000000" and 130 < row[9] < 170
+
+
+def test_parts_of_a_study_give_the_same_columns(spark):
+    good = {
+        "protocolSection": {
+            "identificationModule": {"nctId": "NCT1", "briefTitle": "t"},
+            "statusModule": {"overallStatus": "COMPLETED", "startDateStruct": {"date": "2020"}, "completionDateStruct": {"date": "May 2021"}},
+            "designModule": {"phases": ["PHASE2"], "enrollmentInfo": {"count": 7}, "numberArms": 2},
+            "conditionsModule": {"conditions": ["Asthma"]},
+            "contactsLocationsModule": {"locations": [{"country": "PERU"}, {"country": "PERU"}]},
+        },
+        "resultsSection": {"a": "b"},
+    }
+    texts = [json.dumps(good), json.dumps(good).replace("7", '"many"'), json.dumps(good)[:-30], "{}", "no json", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "raw_json string")
+    whole = normalise(studies.parse_studies(rows))
+    for column in NORMALISED_COLUMNS:
+        some = normalise(studies.parse_studies(rows, parts_for((column,))), columns=(column,))
+        assert some.columns == [column]
+        assert list(map(str, some.collect())) == list(map(str, whole.select(column).collect())), column
+
+
+@pytest.mark.parametrize("mask, expected", [(0b11, ["Breast Cancer", "Type 2 Diabetes"]), (1 << 17 | 1, ["Breast Cancer", "COPD"]), (0, []), (None, None)])
+def test_names_of_a_mask_are_in_order(spark, mask, expected):
+    names = X._members(F.lit(mask).cast("long"), X.BRAND_CONDITIONS)
+    assert spark.range(1).select(names.alias("n")).first().n == expected
+    every = spark.range(1).select(X._members(F.lit(2**25 - 1).cast("long"), X.BRAND_CONDITIONS).alias("n")).first().n
+    assert every == sorted(X.BRAND_CONDITIONS)
