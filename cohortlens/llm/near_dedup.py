@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
-from cohortlens.llm.words import STEP, WORD_HASH, mixed, shingle_set, words
+from cohortlens.llm.words import STEP, WORD_HASH, forget, mixed, shingle_set, words
 from cohortlens.session import numbered, staged, staging
 
 BITS = 2
@@ -139,7 +139,7 @@ def _signatures(settings: NearSettings):
                 made = zip(*[signed(text.as_py()) for text in part.column("text")])
                 values = [pa.array(list(column), SIGNED.field(k).type) for k, column in enumerate(made, 2)]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id").cast(pa.string()), *values], schema=SIGNED)
-        WORD_HASH.clear()  # the worker goes on to other work
+        forget()
 
     return run
 
@@ -190,7 +190,7 @@ def _confirm(settings: NearSettings):
                 linked.append(_linked(other, held, settings))
             keep = np.array(linked, bool)
             yield pd.DataFrame({"a": batch["a"][keep], "b": batch["b"][keep]})
-        WORD_HASH.clear()
+        forget()
 
     return run
 
@@ -280,7 +280,7 @@ def _block_links(settings: NearSettings):
                             links.append((int(x[0][m]), int(y[0][n])))
                 if links:
                     yield pd.DataFrame(links, columns=["a", "b"])
-        WORD_HASH.clear()
+        forget()
 
     return run
 

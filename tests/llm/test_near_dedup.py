@@ -111,3 +111,22 @@ def test_documents_are_signed_in_slices():
     rows = pa.Table.from_batches(made).to_pylist()
     assert [r["row"] for r in rows] == list(range(1_202)) and len({r["digest"] for r in rows}) == 1_201
     assert [r["n_shingles"] for r in rows] == [6] * 1_200 + [0, 0]
+
+
+def test_a_worker_gives_its_memory_back():
+    import pyarrow as pa
+
+    from cohortlens.llm import line_quality, words
+
+    assert words.WORD_HASH.limit <= 100_000
+    words.word_hashes([str(k).encode() for k in range(words.WORD_HASH.limit + 5)])
+    assert 0 < len(words.WORD_HASH) <= words.WORD_HASH.limit
+    called = []
+    whole = pa.default_memory_pool
+    try:
+        pa.default_memory_pool = lambda: called.append(1) or whole()
+        assert list(line_quality._measures(iter([]))) == []
+        assert list(near_dedup._signatures(near_dedup.NearSettings())(iter([]))) == []
+    finally:
+        pa.default_memory_pool = whole
+    assert len(called) == 2 and not words.WORD_HASH
