@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.components import connected_components
 from cohortlens.llm.words import STEP, WORD_HASH, forget, mixed, shingle_set, words
-from cohortlens.session import numbered, staged, staging
+from cohortlens.session import numbered, staged, staging, text_batches
 
 BITS = 2
 
@@ -292,7 +292,8 @@ def signatures(documents: DataFrame, settings: NearSettings) -> DataFrame:
     )
     layout = "row long, doc_id string, n_shingles long, digest binary, bands array<long>, signature binary, pressed binary"
     made = narrow.mapInArrow(_signatures(settings), layout)
-    return staged(made.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
+    with text_batches(documents.sparkSession):
+        return staged(made.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, settings: NearSettings) -> DataFrame:

@@ -16,11 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.bpe_ids import encoded
-from cohortlens.session import shared_folder
+from cohortlens.session import shared_folder, text_batches
+
+#: Texts are encoded in runs of about so many bytes, and pieces made of so many rows at a time,
+#: as the stages before have left little memory.
+RUN_BYTES, SLICE_ROWS = 1 << 20, 500
+
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @dataclass(frozen=True)
@@ -90,15 +97,19 @@ def _packed_group(settings: PackSettings):
     return run
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the rows, ``SLICE_ROWS`` at a time, their ids read where Arrow holds them."""
     for batch in batches:
-        rows = []
-        for doc_id, total, ids, pieces in zip(batch["doc_id"], batch["n_tokens"], batch["ids"], batch["pieces"]):
-            wide = np.frombuffer(ids, np.uint16).astype("<u4")
-            for p in pieces:
-                part = wide[p["start"] : p["start"] + p["length"]]
-                rows.append((doc_id, p["start"], p["length"], zlib.crc32(part.tobytes()), total, p["sequence_id"], p["offset"]))
-        yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            part, rows = batch.slice(at, SLICE_ROWS), []
+            names = (part.column(c) for c in ("doc_id", "n_tokens", "ids", "pieces"))
+            for doc_id, total, ids, pieces in zip(*names):
+                wide = np.frombuffer(ids.as_buffer(), np.uint16).astype("<u4")
+                doc_id, total = doc_id.as_py(), total.as_py()
+                for p in pieces.as_py():
+                    run = wide[p["start"] : p["start"] + p["length"]]
+                    rows.append((doc_id, p["start"], p["length"], zlib.crc32(run), total, p["sequence_id"], p["offset"]))
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.int64()) for column in zip(*rows)], names=PIECE)
 
 
 def packing_plan(tokens: DataFrame, settings: PackSettings) -> DataFrame:
@@ -118,9 +129,9 @@ def pack(documents: DataFrame, settings: PackSettings | None = None, path: str |
     columns are ignored.
     """
     place = shared_folder(documents.sparkSession, "encoded")
-    encoded(documents, path).write.option("compression", "zstd").parquet(place)
+    with text_batches(documents.sparkSession):
+        encoded(documents, path, RUN_BYTES, forget=True).write.option("compression", "zstd").parquet(place)
     tokens = documents.sparkSession.read.parquet(place)
     plan = packing_plan(tokens, settings or PackSettings())
-    joined = tokens.join(plan, "row").select(F.col("doc_id").cast("string").alias("doc_id"), "n_tokens", "ids", "pieces")
-    layout = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return joined.mapInPandas(_digests, layout).withColumn("doc_id", F.col("doc_id").cast("long"))
+    joined = tokens.join(plan, "row").select("doc_id", "n_tokens", "ids", "pieces")
+    return joined.mapInArrow(_digests, ", ".join(f"{name} long" for name in PIECE))

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cohortlens import session
 from cohortlens.llm import bpe_ids, decontaminate, license_scan, line_quality, packing, sharding, token_counts, token_files, url_rules, warc
 
 SMALL = "/root/testdata/sf0.001"
@@ -299,3 +300,44 @@ def test_licenses(spark):
     whole = next(r for r in found if r["doc_id"] == 1)
     assert whole["coverage"] == 1.0 and rows[0][1][whole["start"] : whole["end"]] == mit.rstrip(".")
     assert 0.85 < next(r for r in found if r["doc_id"] == 2)["coverage"] < 0.95
+
+
+def test_packing_encodes_a_batch_in_small_runs(monkeypatch):
+    """What a worker holds at a time must not grow with its Arrow batches."""
+    sizes = []
+
+    def counting(path):
+        def encode(texts):
+            sizes.append(texts.nbytes)
+            return np.full(len(texts), bpe_ids.END, np.uint16), np.arange(1, len(texts) + 1)
+
+        return encode
+
+    monkeypatch.setattr(bpe_ids, "encoder", counting)
+    texts = pa.array(["some words " * 300] * 2_000)
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(2_000)), "text": texts})
+    done = list(bpe_ids.with_ids("", packing.RUN_BYTES)(iter([batch])))
+    assert pa.Table.from_batches(done)["row"].to_pylist() == list(range(2_000))
+    assert texts.nbytes > 3 * packing.RUN_BYTES and max(sizes) < 1.1 * packing.RUN_BYTES
+
+
+def test_ids_of_small_runs_are_those_of_the_batch():
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(len(ODD))), "text": pa.array(ODD, pa.string())})
+    one, many = (pa.Table.from_batches(bpe_ids.with_ids(bpe_ids.tokenizer_path(), n)(iter([batch]))) for n in (bpe_ids.CHUNK_BYTES, 10))
+    assert one.combine_chunks().to_pydict() == many.combine_chunks().to_pydict()
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with session.text_batches(spark):
+        rows = spark.range(0, 3 * session.TEXT_ROWS, 1, 1).mapInArrow(lambda bs: (pa.record_batch({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert len(rows) == 3 and max(rows)["n"] <= session.TEXT_ROWS
+    assert spark.conf.get(name) == before
+
+
+def test_a_packing_worker_forgets():
+    batch = pa.RecordBatch.from_pydict({"row": pa.array([1]), "text": pa.array(["one word"])})
+    for forget in (False, True):
+        list(bpe_ids.with_ids(bpe_ids.tokenizer_path(), packing.RUN_BYTES, forget)(iter([batch])))
+        assert bool(bpe_ids.encoder.cache_info().currsize) is not forget
