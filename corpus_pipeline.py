@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of at most 2,048 tokens."""
-    return pack(docs)
+    return pack(docs, frugal=True)  # the stages before leave little memory
 
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]

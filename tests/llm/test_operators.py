@@ -341,3 +341,9 @@ def test_a_packing_worker_forgets():
     for forget in (False, True):
         list(bpe_ids.with_ids(bpe_ids.tokenizer_path(), packing.RUN_BYTES, forget)(iter([batch])))
         assert bool(bpe_ids.encoder.cache_info().currsize) is not forget
+
+
+def test_frugal_packing_gives_the_same_pieces(spark, documents):
+    rows = documents.select("doc_id", "text").coalesce(1)
+    plain, frugal = (sorted(packing.pack(rows, frugal=f).collect()) for f in (False, True))
+    assert plain == frugal and len(plain) >= rows.count()
