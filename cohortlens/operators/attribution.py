@@ -10,6 +10,10 @@ over the other features. That is a polynomial of a degree below the number of
 features on the path, so a few Gauss points give it exactly: the cost of a leaf
 grows with the square of its path, not with its subsets.
 
+What a leaf gives a row depends on nothing but which of the path's features the
+row meets. For paths of a few features this is worked out once for every such
+pattern, and rows look it up.
+
 Workers get the trees alone, as arrays of nodes; the paths of one tree at a
 time are laid out beside the rows of an Arrow batch.
 """
@@ -28,8 +32,12 @@ from pyspark.sql import functions as F
 from cohortlens.constants import FEATURE_COLUMNS
 from cohortlens.session import shared_folder
 
-#: Numbers in one block of (rows x leaves x path features), and laid-out path features kept between batches.
-_BLOCK, _KEPT = 1 << 20, 1 << 21
+#: Numbers in one block of (rows x leaves x path features), numbers of laid-out paths kept between batches, and the
+#: most features of paths whose patterns are worked out beforehand.
+_BLOCK, _KEPT, _TABLE = 1 << 18, 1 << 23, 6
+
+#: Rows that one task explains: it lays out all trees, which takes as long as some thousand rows.
+TASK_ROWS, MOST_TASKS = 10_000, 10_000
 
 #: One node of a tree; ``left`` is -1 at a leaf.
 NODE = np.dtype(
@@ -65,6 +73,12 @@ class Paths:
 
     def __init__(self, values, features, lows, highs, shares):
         self.values, self.features, self.lows, self.highs, self.shares = values, features, lows, highs, shares
+        self.patterns = None
+
+    def size(self) -> int:
+        """Numbers that are kept with the paths."""
+        leaves, k = self.features.shape
+        return self.features.size * (1 + (2**k if k <= _TABLE else 0))
 
 
 def leaf_paths(nodes: np.ndarray) -> list[Paths]:
@@ -94,38 +108,84 @@ def base_value(trees: list[np.ndarray]) -> float:
     return float(sum((p.values * p.shares.prod(axis=1)).sum() for nodes in trees for p in leaf_paths(nodes)))
 
 
+def _by_pattern(met: np.ndarray, paths: Paths) -> np.ndarray:
+    """Shapley values (rows x leaves x path features) of rows that meet the features ``met`` of each leaf."""
+    k = paths.features.shape[1]
+    points, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
+    points, weights = (points + 1) / 2, weights / 2
+    # a condition that nobody followed and the row does not meet leaves nothing of the leaf
+    void = ((met == 0) & (paths.shares == 0)).any(axis=2)
+    total = np.zeros_like(met)
+    for t, w in zip(points, weights):
+        factor = paths.shares * (1 - t) + met * t
+        factor[factor == 0] = 1.0
+        total += w * factor.prod(axis=2)[:, :, None] / factor
+    total *= (met - paths.shares) * np.where(void, 0.0, paths.values)[:, :, None]
+    return total
+
+
+class Patterns:
+    """For each feature: its bounds on the paths, the pattern bits of every leaf between two bounds, and what each
+    leaf that has the feature gives to it by pattern."""
+
+    def __init__(self, paths: Paths):
+        leaves, k = paths.features.shape
+        numbers = np.arange(2**k)
+        met = (numbers[:, None] >> np.arange(k) & 1).astype(float)[:, None, :]
+        given = _by_pattern(np.repeat(met, leaves, axis=1), paths)
+        self.features = []
+        for f in np.unique(paths.features):
+            leaf, j = np.nonzero(paths.features == f)
+            low, high = paths.lows[leaf, j], paths.highs[leaf, j]
+            edges = np.unique(np.concatenate([low, high]))
+            edges = edges[np.isfinite(edges)]
+            # a value has so many edges below it; it is above a bound that is one of them
+            below = np.arange(len(edges) + 1)[:, None]
+            inside = (below > np.where(np.isinf(low), -1, np.searchsorted(edges, low))) & (
+                below <= np.where(np.isinf(high), len(edges), np.searchsorted(edges, high))
+            )
+            bits = (inside << j).T.astype(np.intp)
+            starts = np.arange(len(leaf))[:, None] * 2**k
+            self.features.append((int(f), edges, bits, leaf, starts, given[:, leaf, j].T.ravel()))
+        self.leaves = leaves
+
+    def add(self, x: np.ndarray, out: np.ndarray) -> None:
+        pattern = np.zeros((self.leaves, len(x)), np.intp)
+        for f, edges, bits, leaf, *_ in self.features:
+            pattern[leaf] += bits.take(np.searchsorted(edges, x[:, f]), axis=1, mode="clip")
+        for f, _, _, leaf, starts, given in self.features:
+            out[:, f] += given.take(pattern[leaf] + starts, mode="clip").sum(axis=0)
+
+
 def path_attributions(x: np.ndarray, paths: Paths, out: np.ndarray) -> None:
     """Adds to ``out`` the Shapley values of every row for the leaves of ``paths``."""
     leaves, k = paths.features.shape
     if not k:
         return
-    points, weights = np.polynomial.legendre.leggauss((k + 1) // 2)
-    points, weights = (points + 1) / 2, weights / 2
     step = max(1, _BLOCK // (leaves * k))
+    if k <= _TABLE:
+        if paths.patterns is None:
+            paths.patterns = Patterns(paths)
+        for at in range(0, len(x), step):
+            paths.patterns.add(x[at : at + step], out[at : at + step])
+        return
     one_hot = np.zeros((leaves * k, x.shape[1]))
     one_hot[np.arange(leaves * k), paths.features.ravel()] = 1.0
     for at in range(0, len(x), step):
         seen = x[at : at + step][:, paths.features]
         met = ((seen > paths.lows) & (seen <= paths.highs)).astype(float)
-        # a condition that nobody followed and the row does not meet leaves nothing of the leaf
-        void = ((met == 0) & (paths.shares == 0)).any(axis=2)
-        total = np.zeros_like(met)
-        for t, w in zip(points, weights):
-            factor = paths.shares * (1 - t) + met * t
-            factor[factor == 0] = 1.0
-            total += w * factor.prod(axis=2)[:, :, None] / factor
-        total *= (met - paths.shares) * np.where(void, 0.0, paths.values)[:, :, None]
+        total = _by_pattern(met, paths)
         out[at : at + step] += total.reshape(len(total), leaves * k) @ one_hot
 
 
 def _laid_out(trees: list[np.ndarray], kept: dict[int, list[Paths]]) -> Iterator[list[Paths]]:
     """Paths tree by tree; those of the first trees are kept for the next batch."""
-    held = sum(p.features.size for groups in kept.values() for p in groups)
+    held = sum(p.size() for groups in kept.values() for p in groups)
     for number, nodes in enumerate(trees):
         groups = kept.get(number)
         if groups is None:
             groups = leaf_paths(nodes)
-            size = sum(p.features.size for p in groups)
+            size = sum(p.size() for p in groups)
             if held + size <= _KEPT:
                 kept[number], held = groups, held + size
         yield groups
@@ -157,7 +217,9 @@ def attributions(model: PipelineModel, features: DataFrame, key: str = "nct_id")
 
     kind = features.schema[key].dataType.simpleString()
     schema = ", ".join([f"{key} {kind}", *[f"{n} double" for n in names], "base double"])
-    return features.select(key, *names).mapInPandas(explain, schema)
+    rows = features.select(key, *names)
+    tasks = min(MOST_TASKS, max(1, -(-rows.count() // TASK_ROWS)))
+    return rows.repartition(tasks).mapInPandas(explain, schema)
 
 
 def mean_attribution(explained: DataFrame) -> DataFrame:

@@ -273,3 +273,28 @@ def test_jobs_run_side_by_side_and_fail_aloud(spark):
 
     with pytest.raises(ValueError, match="one"):
         model.side_by_side(spark, [work(0), fails], "t")
+
+
+def test_patterns_of_short_paths_equal_the_polynomial(monkeypatch):
+    draw = np.random.default_rng(4)
+    trees = [random_tree(draw, 6, 9) for _ in range(3)]
+    x = np.round(draw.uniform(size=(300, 9)), 2)
+    for nodes in trees:  # some rows lie on a bound
+        x[:50, 3] = next((t["threshold"] for t in nodes if t["feature"] == 3), 0.5)
+    found = []
+    for most in (6, 0):
+        monkeypatch.setattr(attribution, "_TABLE", most)
+        out = np.zeros_like(x)
+        for groups in attribution._laid_out(trees, {}):
+            for paths in groups:
+                attribution.path_attributions(x, paths, out)
+                assert (paths.patterns is not None) == (0 < paths.features.shape[1] <= most)
+        found.append(out)
+    assert np.abs(found[0]).max() > 0.1 and np.allclose(*found, atol=1e-12)
+
+
+def test_rows_are_explained_by_several_tasks(spark, trained, monkeypatch):
+    monkeypatch.setattr(attribution, "TASK_ROWS", 40)
+    rows = trained.holdout.coalesce(1)
+    explained = attribution.attributions(trained.model, rows)
+    assert explained.count() == rows.count() and explained.rdd.getNumPartitions() == -(-rows.count() // 40)
